@@ -77,6 +77,15 @@ class Index:
         x = v.astype(np.float64)
         return np.c_[x, np.sqrt(np.maximum(self.norm - (x * x).sum(1), 0))]
 
+    def asked(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of queries, which lie in the plane of the last coordinate 0: squared norms, distances to pivots, and the
+        annulus nearest to each."""
+        x = q.astype(np.float64)
+        d = self.distances(np.c_[x, np.zeros(len(x))])
+        to = d[:, self.pivot]
+        gap = np.maximum(0, np.maximum(self.low - to, to - self.high))
+        return (x * x).sum(1), d, (gap + 1e-9 * to).argmin(1)
+
     def distances(self, x: np.ndarray) -> np.ndarray:
         d = (x * x).sum(1)[:, None] + (self.pivots**2).sum(1)[None, :] - 2 * (x @ self.pivots.T)
         return np.sqrt(np.maximum(d, 0))
@@ -242,13 +251,11 @@ def searched(pairs: DataFrame, annuli: DataFrame, chunks: DataFrame, index: Inde
             qids = np.frombuffer(r["qids"], np.int64)
             qv = np.frombuffer(r["qvecs"], np.int64).reshape(len(qids), dim)
             known = dict(zip(np.frombuffer(r["tq"] or b"", np.int64).tolist(), np.frombuffer(r["tt"] or b"").tolist(), strict=True))
-            d = index.distances(index.lifted(qv))
-            home, _, step = index.keyed(qv)
+            qq, d, home = index.asked(qv)
             p = index.pivot[r["a"]]
-            qq = (qv.astype(np.float64) ** 2).sum(1)
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for j in range(len(qids)):
-                at_home = index.first[home[j], step[j]] == r["a"]
+                at_home = home[j] == r["a"]
                 if r["own"] and not at_home:
                     continue
                 tau = known.get(int(qids[j]), -np.inf)
@@ -295,16 +302,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, *, id_col: str =
                 qids = np.frombuffer(b.column("ids")[0].as_py(), np.int64)
                 qv = np.frombuffer(b.column("vecs")[0].as_py(), np.int64).reshape(len(qids), index.dim)
                 if own:
-                    home, _, step = index.keyed(qv)
-                    a = np.unique(index.first[home, step])
+                    a = np.unique(index.asked(qv)[2])
                     salt = np.zeros(len(a), np.int64)
                 else:
                     tau = np.full(len(qids), -np.inf)
                     if b.column("tq")[0].as_py() is not None:
                         known = dict(zip(np.frombuffer(b.column("tq")[0].as_py(), np.int64).tolist(), np.frombuffer(b.column("tt")[0].as_py()).tolist(), strict=True))
                         tau = np.array([known.get(i, -np.inf) for i in qids.tolist()])
-                    d = index.distances(index.lifted(qv))
-                    qq = (qv.astype(np.float64) ** 2).sum(1)
+                    qq, d, _ = index.asked(qv)
                     need = [bool((index.best(qq, np.maximum(0, np.maximum(index.low[i] - d[:, p], d[:, p] - index.high[i]))) >= tau).any()) for i, p in enumerate(index.pivot)]
                     a = np.repeat(np.flatnonzero(need), index.salts[need])
                     salt = np.concatenate([np.arange(s) for s in index.salts[need]]) if len(a) else np.zeros(0, np.int64)
