@@ -144,7 +144,7 @@ def contamination(
         held = lambda c: F.concat(*(F.col(f"{c}_{i}") for i in range(passes)))
         # runs of several passes may overlap: sort pairs by start and fold them
         def fold(c: str):
-            pairs = F.array_sort(F.transform(F.sequence(F.lit(0), F.size(held(c)) / 2 - 1), lambda i: F.struct(held(c)[(i * 2).cast("int")].alias("a"), held(c)[(i * 2 + 1).cast("int")].alias("b"))))
+            pairs = F.array_sort(F.transform(F.sequence(F.lit(0), (F.size(held(c)) / 2 - 1).cast("int")), lambda i: F.struct(held(c)[(i * 2).cast("int")].alias("a"), held(c)[(i * 2 + 1).cast("int")].alias("b"))))
             empty = F.array().cast("array<struct<a:bigint,b:bigint>>")
             step = lambda acc, x: F.when(
                 (F.size(acc) > 0) & (F.element_at(acc, -1)["b"] >= x["a"]),
