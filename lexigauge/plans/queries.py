@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import script, text
 from ..functions.measure import PRESETS, Measure, n_units
 from ..operators import metrics as M
+from ..operators import morphology, training
 from ..operators.encode import encode, tokenizer
 from ..operators.facts import with_groups
 from ..operators.vocab import numbered
@@ -343,6 +344,79 @@ def entropy_redundancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.redundancy(document_facts(spark, sf_dir)))
 
 
+# A small lexicon for the joins below.
+LEXICON = [("en", "nation", "na-tion"), ("en", "eating", "eat-ing"), ("en", "than", "than"), ("en", "thing", "th-ing"), ("de", "einheit", "ein-heit"), ("de", "verkeit", "ver-keit"), ("de", "unter", "unter"), ("fr", "aire", "aire"), ("fr", "mention", "men-tion"), ("es", "mente", "mente"), ("es", "estado", "est-ado")]
+LEXICON_SQL = "lexicon(language, word, parts) AS (VALUES " + ", ".join(map(str, LEXICON)) + ")"
+MARKS = ".,!?;:\"()[]{}"
+
+
+def _lexicon(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(a, "small", w, p.split("-"), 0) for a, w, p in LEXICON], "language string, dataset string, word string, morphemes array<string>, dataset_priority int")
+
+
+@query(
+    f"""WITH {LEXICON_SQL}, w AS (SELECT language, trim(lower(unnest(tokens)), '{MARKS}') AS word FROM (SELECT lang AS language, regexp_extract_all(text, '{SPLIT}') AS tokens FROM documents))
+SELECT w.language, w.word, count(*) AS n, CAST(len(string_split(parts, '-')) AS BIGINT) AS morphemes FROM w JOIN lexicon USING (language, word) GROUP BY w.language, w.word, parts"""
+)
+def word_morpheme_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words counted before they meet the lexicon."""
+    word = F.regexp_replace(F.lower(F.col("t")), r"^[.,!?;:\"()\[\]{}]+|[.,!?;:\"()\[\]{}]+$", "")
+    t = encode(documents(spark, sf_dir), [tokenizer("whitespace")]).select("language", F.explode("tokens").alias("t")).select("language", word.alias("word"))
+    x = morphology.lookup(t.groupBy("language", "word").agg(F.count("*").alias("n")), _lexicon(spark))
+    return x.select("language", "word", "n", F.size("morphemes").cast("bigint").alias("morphemes"))
+
+
+@query()
+def morphological_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by tokenizer and language: alignment is no SQL; it is tested on written cases."""
+    return rounded(morphology.by_language(morphology.alignment(encode(documents(spark, sf_dir), [tokenizer("char"), tokenizer("whitespace")]), _lexicon(spark))))
+
+
+@query(
+    f"""WITH {TOKENS}, r AS (SELECT unnest(string_split(array_to_string(list_transform(tokens, lambda t: CASE WHEN length(t) = 1 THEN t ELSE chr(1) END), ''), chr(1))) AS seq FROM tok WHERE tokenizer = 'word_punct')
+SELECT seq, count(*) AS cnt FROM r WHERE length(seq) > 1 GROUP BY seq"""
+)
+def run_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = encode(documents(spark, sf_dir), [tokenizer("word_punct")]).withColumn("cnt", F.lit(1).cast("bigint"))
+    return training.run_counts(t, F.col("tokens"))
+
+
+@query(f"SELECT word, count(*) AS cnt FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents) WHERE word <> '' GROUP BY word ORDER BY cnt DESC, word LIMIT 1000")
+def training_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature is a top-k: the 1000 most frequent words."""
+    return training.top(training.word_counts(documents(spark, sf_dir)), 1000, "word")
+
+
+def _stored() -> list:
+    import public_tokenizers as P
+
+    return [tokenizer("huggingface", name="byte_bpe", path=P.path("byte_bpe_50k.json")), tokenizer("sentencepiece", name="piece_bpe", path=P.path("piece_bpe_32k.model"))]
+
+
+@query()
+def stored_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokenizers from files: no SQL has them; tests compare ids with the libraries."""
+    return rounded(M.fertility(document_facts(spark, sf_dir, tokenizers=_stored())))
+
+
+@query()
+def stored_utilization(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(M.vocabulary_utilization(document_facts(spark, sf_dir, tokenizers=_stored())))
+
+
+@query()
+def factored_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Casing and script marks: a text function in Python, tested on written cases."""
+    from ..functions.factor import factored
+
+    return documents(spark, sf_dir).select("doc_id", factored(F.col("text"), True)["text"].alias("factored"))
+
+
+@query()
+def casing_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", script.mark_casing(F.col("text")).alias("marked"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
