@@ -7,6 +7,7 @@ rows as Parquet in the shared folder and hands them, read again, to the next.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexigauge.llm import decontam, dedup, packing, pii, quality
 from lexigauge.llm.common import stored, table
@@ -28,8 +29,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind."""
-    return pii.redacted(docs)
+    """Documents with personal data replaced by its kind; n_chars follows the text."""
+    out = pii.redacted(docs)
+    return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
