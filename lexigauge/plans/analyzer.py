@@ -63,6 +63,13 @@ class Analyzer:
         self.facts.docs.unpersist()
         self.facts.counts.unpersist()
 
+    def register_views(self, prefix: str = "") -> list[str]:
+        """Facts and metrics as temporary views, for Spark SQL; their names."""
+        views = {"doc_facts": self.facts.docs, "token_counts": self.facts.counts, **self.frames()}
+        for name, df in views.items():
+            df.createOrReplaceTempView(prefix + name)
+        return [prefix + n for n in views]
+
     def frames(self, keys: Sequence[str] = ("tokenizer",), facts: Facts | None = None) -> dict[str, DataFrame]:
         """The metrics' frames by name."""
         f = facts or self.facts

@@ -119,6 +119,8 @@ def test_mixed(spark):
     docs = spark.createDataFrame([(1, "en", "a b")], "doc_id long, language string, text string")
     toks = spark.createDataFrame([("ids", "en", "1", None, ["1", "5"])], "tokenizer string, language string, doc_id string, text string, tokens array<string>")
     a = Analyzer.mixed(docs, [tokenizer("char")], toks)
+    assert "mixed_gini" not in a.register_views("mixed_")
+    assert spark.sql("select sum(cnt) from mixed_token_counts").first()[0] == 5
     assert a.results()["vocabulary_utilization"]["per_tokenizer"]["ids"]["global_vocab_size"] == 6
     with pytest.raises(ValueError):
         Analyzer.mixed(docs, [tokenizer("char", name="ids")], toks)
