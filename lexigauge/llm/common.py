@@ -82,6 +82,15 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{top.rstrip('/')}/lexigauge/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's scratch tables; call it when no result that reads them is needed any more."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if top:
+        sc = spark.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(f"{top.rstrip('/')}/lexigauge/{sc.applicationId}")
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """df written to the shared folder and read back: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
