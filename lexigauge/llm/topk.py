@@ -50,13 +50,11 @@ def whole(lists: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
-def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of integer rows; in floating point where that is exact too."""
-    if not len(a) or not len(b):
-        return np.zeros((len(a), len(b)), np.int64)
-    if float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < 2.0**53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+def exact(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Integer rows as they are multiplied: in floating point where all inner products are exact, else as integers."""
+    if len(a) and len(b) and float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < 2.0**53:
+        return a.astype(np.float64), b.astype(np.float64)
+    return a, b
 
 
 @dataclass
@@ -225,10 +223,10 @@ def search_one(index: Index, q: np.ndarray, qid: int, qq: float, dq: float, tau:
             break
         a, b = (max(0, left - STRIDE), left) if gl <= gr else (right, min(len(dist), right + STRIDE))
         left, right = (a, right) if gl <= gr else (left, b)
-        s, i = products(vecs[a:b], q[None, :])[:, 0], ids[a:b]
+        s, i = vecs[a:b] @ q, ids[a:b]
         keep = (s >= tau) & (i != qid)
         if keep.any():
-            got_s, got_i = np.r_[got_s, s[keep]], np.r_[got_i, i[keep]]
+            got_s, got_i = np.r_[got_s, s[keep].astype(np.int64)], np.r_[got_i, i[keep]]
             if len(got_s) > k:
                 top = np.lexsort((got_i, -got_s))[:k]
                 got_s, got_i = got_s[top], got_i[top]
@@ -253,6 +251,7 @@ def searched(pairs: DataFrame, annuli: DataFrame, chunks: DataFrame, index: Inde
             known = dict(zip(np.frombuffer(r["tq"] or b"", np.int64).tolist(), np.frombuffer(r["tt"] or b"").tolist(), strict=True))
             qq, d, home = index.asked(qv)
             p = index.pivot[r["a"]]
+            mv, mq = exact(vecs, qv)
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for j in range(len(qids)):
                 at_home = home[j] == r["a"]
@@ -266,7 +265,7 @@ def searched(pairs: DataFrame, annuli: DataFrame, chunks: DataFrame, index: Inde
                         continue  # searched before
                     if index.best(qq[j], gap) < tau:
                         continue
-                s, i = search_one(index, qv[j], int(qids[j]), float(qq[j]), dq, tau, k, ids, dist, vecs)
+                s, i = search_one(index, mq[j], int(qids[j]), float(qq[j]), dq, tau, k, ids, dist, mv)
                 out.append((np.full(len(s), qids[j]), i, s))
             cat = lambda n: np.concatenate([o[n] for o in out]) if out else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(cat(n), pa.int64()) for n in range(3)], names=["query_id", "vec_id", "score"])
