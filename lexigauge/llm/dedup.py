@@ -1,14 +1,18 @@
 """Near-duplicates by fast similarity sketching, banding and exact verification.
 
-A sketch has T coordinates. In round i every shingle is hashed to one coordinate with a
-value i + fraction, and each coordinate keeps its smallest value; rounds T and later send
-every shingle to coordinate i - T, so every coordinate is filled after 2T rounds at most,
+A sketch has COORDS coordinates. In round i every shingle is hashed to one coordinate with a
+value i + fraction, and each coordinate keeps its smallest value; rounds COORDS and later send
+every shingle to coordinate i - COORDS, so every coordinate is filled after 2 COORDS rounds at most,
 and after one or two for all but short texts. Two sketches agree on a coordinate with a
 probability of the sets' Jaccard similarity, concentrated as for independent hashing.
 
 Texts with equal shingle sets are one class from the start. Sketches are cut into bands;
-classes that share a band are candidates. Candidates are linked when their full shingle
-sets are similar enough, and linked classes form components.
+classes that share a band are candidates. Joined through the heads of their bands,
+candidates form clusters, outside of which no link can be. Within clusters the full
+shingle sets are compared, in pairs of blocks of bounded size, by counting common shingles
+as a matrix product; of the links found, a block gives back those that join what is not
+joined yet. Clusters of more than CAP classes are first joined up by comparing each band's
+members with its head, and then compared band by band where that left more than one part.
 """
 
 from __future__ import annotations
@@ -20,16 +24,19 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import LOWER, OWN, checkpointed, pieces, stored, utf8
 from .graph import components
 
 #: Coordinates, and bands of ROWS coordinates: at similarity 0.85 a pair is missed with probability (1 - 0.85^5)^24 < 1e-6.
-T, BANDS, ROWS = 120, 24, 5
-#: Cross-component pairs of a bucket whose sketches agree on less than this share of coordinates are not verified (wrong for 0.85 with probability < 1e-6).
-LEAST_AGREE = 0.65
-#: Members of a bucket that one task compares with as many others.
+COORDS, BANDS, ROWS = 120, 24, 5
+#: Classes of a block; two blocks meet in a task.
 BLOCK = 256
+#: Clusters of more classes are compared band by band.
+CAP = 20_000
+#: Classes of small clusters that one group has, about; shingles counted at a time.
+TOGETHER, WIDE = 2_000, 8_192
 
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -67,7 +74,7 @@ def shingles(text: bytes | None, get, size: int) -> np.ndarray:
     return np.unique(s)
 
 
-def sketches(sets: list[np.ndarray], t: int = T) -> np.ndarray:
+def sketches(sets: list[np.ndarray], t: int = COORDS) -> np.ndarray:
     """Sketches of many sets at once: a row of t 64-bit values for each set, zeros for empty ones."""
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
     out = np.full((len(sets), t), full, np.uint64)
@@ -96,8 +103,16 @@ def band_keys(sketch: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nd
     return keys
 
 
+def halves(raw: bytes) -> tuple[int | None, int | None]:
+    """A set's 128-bit digest as two signed longs; none for an empty set."""
+    if not raw:
+        return None, None
+    d = xxhash.xxh3_128_intdigest(raw)
+    return tuple(((d >> k & (2**64 - 1)) ^ (1 << 63)) - (1 << 63) for k in (64, 0))
+
+
 def signed(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """id, n, d0 and d1 (a 128-bit digest of the set), bands, small (one byte a coordinate)."""
+    """id, n, d0 and d1 (a 128-bit digest of the set), bands."""
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,25 +120,30 @@ def signed(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
         for b in pieces(batches, 512):
             sets = [shingles(x, get, size) for x in utf8(b.column(1))]
             sk = sketches(sets)
-            digest = [xxhash.xxh3_128_intdigest(s.tobytes()) if len(s) else None for s in sets]
-            half = lambda k: pa.array([None if d is None else ((d >> k & (2**64 - 1)) ^ (1 << 63)) - (1 << 63) for d in digest], pa.int64())
+            d = [halves(x.tobytes()) for x in sets]
             flat = pa.array(band_keys(sk).astype(np.int64).ravel())
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), flat)
-            small = pa.array([r.tobytes() for r in (sk & np.uint64(0xFF)).astype(np.uint8)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), half(64), half(0), bands, small], names=[id_col, "n", "d0", "d1", "bands", "small"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in d], pa.int64()), pa.array([x for _, x in d], pa.int64()), bands], names=[id_col, "n", "d0", "d1", "bands"])
 
-    return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {id_type}, n long, d0 long, d1 long, bands array<long>, small binary")
+    return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {id_type}, n long, d0 long, d1 long, bands array<long>")
 
 
 def with_sets(df: DataFrame, size: int) -> DataFrame:
-    """k, s (the sorted shingle hashes as bytes) from k, text."""
+    """df (text, d0, d1 and more) with s, the sorted shingle hashes as bytes, for text; rows whose text isn't the class's go.
+
+    The latter happens where rows of different texts have one id.
+    """
+    schema = T.StructType([f for f in df.schema.fields if f.name != "text"] + [T.StructField("s", T.BinaryType())])
+    at, rest = df.columns.index("text"), [c for c in df.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = WordHash().__getitem__
         for b in pieces(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x, get, size).tobytes() for x in utf8(b.column(1))], pa.binary())], names=["k", "s"])
+            sets = [shingles(x, get, size).tobytes() for x in utf8(b.column(at))]
+            own = [halves(s) == d for s, d in zip(sets, zip(b.column("d0").to_pylist(), b.column("d1").to_pylist(), strict=True), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(sets, pa.binary())], names=[*rest, "s"]).filter(pa.array(own, pa.bool_()))
 
-    return df.mapInArrow(run, "k long, s binary")
+    return df.mapInArrow(run, schema)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -143,40 +163,78 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return x.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def unresolved(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of a bucket's members in different components whose sizes and sketches allow a link.
+def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of a left and a right set."""
+    flat = np.concatenate([*left, *right])
+    row = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    _, col, times = np.unique(flat, return_inverse=True, return_counts=True)
+    keep = times[col] > 1  # others are in no intersection
+    row, col = row[keep], np.unique(col[keep], return_inverse=True)[1]
+    out = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    for a in range(0, int(col[-1]) + 1 if len(col) else 0, WIDE):
+        i, j = np.searchsorted(col, [a, a + WIDE])
+        m = np.zeros((len(left) + len(right), min(WIDE, int(col[j - 1]) - a + 1)), np.float32)
+        m[row[i:j], col[i:j] - a] = 1
+        out += m[: len(left)] @ m[len(left) :].T
+    return out
+
 
-    Buckets are compared in blocks of about BLOCK members, so no bucket is gathered in one
-    task however many members it has; only pairs that pass are written.
-    """
-    m = members.withColumn("parts", F.ceil(F.count("*").over(_bucket()) / BLOCK).cast("int"))
-    m = m.withColumn("i", F.pmod(F.xxhash64("k", F.lit(7)), F.col("parts")).cast("int"))
-    m = m.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(F.col("i"), j).alias("lo"), F.greatest(F.col("i"), j).alias("hi")))))
-    m = m.select("band", "pair.lo", "pair.hi", "i", "k", "c", "n", "small")
+def joining(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Of links between parts, those that join parts not joined by the ones before."""
+    up: dict[int, int] = {}
 
-    def compare(t: pa.Table) -> pa.Table:
-        i, lo, hi = (t[c].to_numpy() for c in ("i", "lo", "hi"))
-        k, c, n = (t[x].to_numpy() for x in ("k", "c", "n"))
-        small = np.frombuffer(b"".join(t["small"].to_pylist()), np.uint8).reshape(len(k), -1)
-        left, right = np.flatnonzero(i == lo[0]), np.flatnonzero(i == hi[0])
-        out_a, out_b = [], []
-        for x in left:
-            y = right if lo[0] != hi[0] else right[right > x]
-            y = y[c[y] != c[x]]
-            y = y[den * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y])]
-            y = y[(small[y] == small[x]).mean(1) >= LEAST_AGREE] if len(y) else y
-            out_a.append(np.minimum(k[x], k[y]))
-            out_b.append(np.maximum(k[x], k[y]))
-        cat = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(cat(out_a), pa.int64()), "b": pa.array(cat(out_b), pa.int64())})
+    def top(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
 
-    return m.groupBy("band", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
+    out = []
+    for x, y in zip(left.tolist(), right.tolist(), strict=True):
+        a, b = top(x), top(y)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            out.append((x, y))
+    return out
+
+
+def linked(n: np.ndarray, c: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Links between parts c of left and right rows, enough to join all that are linked."""
+    if not len(left) or not len(right) or (c[left] == c[right][0]).all() and (c[right] == c[right][0]).all():
+        return []
+    both = common([sets[i] for i in left], [sets[i] for i in right])
+    ok = (den * both >= num * (n[left][:, None] + n[right][None, :] - both)) & (c[left][:, None] != c[right][None, :])
+    i, j = np.nonzero(ok)
+    return joining(c[left][i], c[right][j])
+
+
+def compared(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Links a, b between parts: members have g (the group to compare within), m (its size), k, c (the part k is in), n, s.
 
+    Groups of up to BLOCK members go many to a task; larger ones are dealt into blocks, of
+    which each two meet once. What a task gets is bounded in either case.
+    """
+    groups = max(1, -(-members.where(F.col("m") <= BLOCK).count() // TOGETHER))
+    parts = F.when(F.col("m") <= BLOCK, 1).otherwise(F.ceil(F.col("m") / BLOCK)).cast("int")
+    m = members.withColumn("parts", parts).withColumn("i", F.pmod(F.xxhash64("k", F.lit(7)), F.col("parts")).cast("int"))
+    m = m.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(F.col("i"), j).alias("lo"), F.greatest(F.col("i"), j).alias("hi")))))
+    many = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("g"), F.lit(groups))).otherwise(F.col("g"))
+    m = m.select(many.alias("key"), F.col("parts") == 1, F.col("pair.lo").alias("lo"), F.col("pair.hi").alias("hi"), "g", "i", "k", "c", "n", "s").toDF("key", "small", "lo", "hi", "g", "i", "k", "c", "n", "s")
 
-def _bucket():
-    from pyspark.sql import Window
+    def compare(t: pa.Table) -> pa.Table:
+        i, g, k, c, n = (t[x].to_numpy() for x in ("i", "g", "k", "c", "n"))
+        lo, hi, small = t["lo"][0].as_py(), t["hi"][0].as_py(), t["small"][0].as_py()
+        sets = [np.frombuffer(x, np.uint64) for x in t["s"].to_pylist()]
+        out: list[tuple[int, int]] = []
+        order = np.argsort(g, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(g[order])) + 1):
+            rows = rows[np.unique(k[rows], return_index=True)[1]]  # a class once
+            out += linked(n, c, sets, rows if small or lo == hi else rows[i[rows] == lo], rows if small or lo == hi else rows[i[rows] == hi], num, den)
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    return Window.partitionBy("band")
+    return m.groupBy("key", "small", "lo", "hi").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -193,31 +251,29 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sig = stored(signed(src, id_col, "text", size), "signatures")
     # equal sets are one class k (hash of the digest's halves), summed up before the shuffle
     key = F.xxhash64("d0", "d1")
-    classes = sig.where("n > 0").groupBy(key.alias("k")).agg(F.min(id_col).alias("least"), F.max("n").alias("n"), F.max("small").alias("small"), F.max("bands").alias("bands"))
+    classes = sig.where("n > 0").groupBy(key.alias("k")).agg(F.min(id_col).alias("least"), F.max("n").alias("n"), F.max("d0").alias("d0"), F.max("d1").alias("d1"), F.max("bands").alias("bands"))
     classes = stored(classes, "classes")
-    spread = classes.select("k", "n", F.explode("bands").alias("band"))
+    spread = classes.select("k", F.explode("bands").alias("band"))
     heads = spread.groupBy("band").agg(F.min("k").alias("a"), F.count("*").alias("m")).where("m > 1").select("band", "a")
     shared = stored(spread.join(heads, "band"), "buckets")  # members of buckets with two classes or more
-    wanted = checkpointed(shared.select("k").distinct())
-    # one text for each class that shares a bucket
-    texts = src.join(sig.select(id_col, key.alias("k")).join(classes.select("k", F.col("least").alias("l2")), "k").where(F.col(id_col).eqNullSafe(F.col("l2"))).join(wanted, "k").select("k", F.col(id_col).alias("l")), F.col(id_col).eqNullSafe(F.col("l")))
-    sets = stored(with_sets(texts.select("k", "text"), size).dropDuplicates(["k"]), "sets")
-    sizes = classes.select(F.col("k").alias("a"), F.col("n").alias("na"))
-    close = lambda x, y: den * F.least(x, y) >= num * F.greatest(x, y)
-    # first every member with its bucket's head: that joins up groups of copies without comparing them all
-    stars = shared.where("k <> a").select("a", F.col("k").alias("b"), "n").distinct().join(sizes, "a").where(close(F.col("n"), F.col("na"))).select("a", "b")
-    links = stored(verified(stars, sets, num, den), "links")
+    stars = shared.where("k <> a").select("a", F.col("k").alias("b")).distinct()
+    cluster = components(stars).select(F.col("node").alias("k"), F.col("component").alias("g"))
+    cluster = checkpointed(cluster.join(cluster.groupBy("g").agg(F.count("*").alias("m")), "g"))
+    # one text for each class of a cluster, found by its least id
+    wanted = classes.select("k", "least", "n", "d0", "d1").join(cluster, "k")
+    texts = src.join(wanted, F.col(id_col).eqNullSafe(F.col("least"))).select("text", "k", "g", "m", "n", "d0", "d1")
+    members = with_sets(texts, size).select("g", "m", "k", F.col("k").alias("c"), "n", "s")
+    if sig.groupBy(id_col).agg(F.count("*").alias("m")).where("m > 1").limit(1).count():
+        members = members.dropDuplicates(["k"])  # ids repeat
+    large = cluster.where(F.col("m") > CAP).limit(1).count() > 0
+    if large:
+        members = stored(members, "sets")
+    links = stored(compared(members.where(F.col("m") <= CAP), num, den), "links")
+    if large:
+        links = links.unionByName(large_links(members.where(F.col("m") > CAP), shared, stars, num, den))
     found = components(links)
-    member = shared.select("band", "k").join(found.select(F.col("node").alias("k"), "component"), "k", "left").select("band", "k", F.coalesce("component", "k").alias("c"))
-    # then what is still apart within a bucket
-    apart = member.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("band")
-    open_ = member.join(apart, "band").join(classes.select("k", "n", "small"), "k")
-    more = unresolved(open_, num, den).join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = stored(verified(more, sets, num, den), "links")
-    if more.limit(1).count():
-        found = components(links.unionByName(more))
     ids = classes.select("k", "least").join(found.select(F.col("node").alias("k"), "component"), "k", "left").withColumn("c", F.coalesce("component", "k"))
-    ids = stored(ids.select("k", "least", "c"), "members")
+    ids = checkpointed(ids.select("k", "least", "c"))
     least = ids.groupBy("c").agg(F.min("least").alias("component_id"))
     at = ids.join(least, "c").select("k", "component_id")
     out = sig.select(id_col, "n", key.alias("k"), (F.col("n") > 0).alias("any")).join(at, "k", "left")
@@ -225,6 +281,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select(id_col, F.col("n").alias("n_shingles"), component.alias("component_id"), F.col(id_col).eqNullSafe(component).alias("kept"))
 
 
+def large_links(members: DataFrame, shared: DataFrame, stars: DataFrame, num: int, den: int) -> DataFrame:
+    """Links within clusters too large to compare as a whole: first with bands' heads, then band by band where parts remain."""
+    sets = members.select("k", "n", "s")
+    mine = members.select("k")
+    first = stored(verified(stars.join(mine, F.col("a") == F.col("k"), "left_semi"), sets, num, den), "links")
+    part = components(first).select(F.col("node").alias("k"), F.col("component").alias("c"))
+    rows = shared.select("band", "k").join(mine, "k", "left_semi").join(part, "k", "left").withColumn("c", F.coalesce("c", "k"))
+    apart = rows.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m")).where("c0 < c1").select(F.col("band").alias("g"), "m")
+    rows = rows.withColumnRenamed("band", "g").join(apart, "g").join(sets, "k")
+    return first.unionByName(compared(rows.select("g", "m", "k", "c", "n", "s"), num, den))
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """The contract's rows: three-word shingles, similarity 0.85."""
     return near_duplicates(docs, size=3, num=85)

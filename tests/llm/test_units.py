@@ -65,11 +65,11 @@ def test_components(spark):
     assert {r.node: r.component for r in graph.components(links).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 8: 8, 9: 8}
 
 
-def test_near_duplicates_brute_force(spark):
-    """Families whose members drift, so that links form chains and some pairs of a bucket are not linked."""
-    rng = random.Random(2)
+def families(seed):
+    """Documents whose family members drift, so that links form chains and some pairs of a bucket are not linked; their components."""
+    rng = random.Random(seed)
     docs, n = [], 0
-    for f in range(12):
+    for f in range(8):
         words = [f"w{rng.randint(0, 5000)}" for _ in range(60)]
         for _ in range(14):
             docs.append((n, " ".join(words)))
@@ -77,7 +77,13 @@ def test_near_duplicates_brute_force(spark):
             words = list(words)
             for _ in range(rng.choice([0, 1, 1, 2])):
                 words[rng.randrange(60)] = f"x{f}{rng.randint(0, 5000)}"
-    got = {r.doc_id: r for r in dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), size=3, num=85).collect()}
+    base = [f"b{i}" for i in range(80)]
+    for _ in range(60):  # one large family around a base
+        w = list(base)
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(80)] = f"y{rng.randint(0, 10**6)}"
+        docs.append((n, " ".join(w)))
+        n += 1
     sets = {i: {tuple(w[k : k + 3]) for k in range(len(w) - 2)} for i, t in docs for w in [t.split()]}
     root = {i: i for i in sets}
 
@@ -91,15 +97,25 @@ def test_near_duplicates_brute_force(spark):
             if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
-    assert {i: r.component_id for i, r in got.items()} == {i: find(i) for i in sets}
+    return docs, {i: find(i) for i in sets}
 
 
-def test_unresolved_pairs_of_a_bucket(spark, monkeypatch):
-    """Every pair of a bucket's different components meets, over several blocks."""
-    monkeypatch.setattr(dedup, "BLOCK", 8)
-    rows = [(1, k, k, 100, bytes([1] * 120)) for k in range(50)]
-    got = dedup.unresolved(spark.createDataFrame(rows, "band long, k long, c long, n long, small binary"), 85, 100).collect()
-    assert len(got) == len({(r.a, r.b) for r in got}) == 50 * 49 // 2
+@pytest.mark.parametrize(("block", "cap"), [(256, 20_000), (8, 20_000), (8, 3)])
+def test_near_duplicates_brute_force(spark, monkeypatch, block, cap):
+    """In whole clusters, in many blocks, and band by band."""
+    monkeypatch.setattr(dedup, "BLOCK", block)
+    monkeypatch.setattr(dedup, "CAP", cap)
+    docs, want = families(block + cap)
+    got = dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), size=3, num=85).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_common_shingles(monkeypatch):
+    monkeypatch.setattr(dedup, "WIDE", 5)
+    rng = np.random.default_rng(0)
+    sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (1, 10, 40, 30, 7)]
+    got = dedup.common(sets[:2], sets[2:])
+    assert (got == [[len(np.intersect1d(a, b)) for b in sets[2:]] for a in sets[:2]]).all()
 
 
 def brute_hits(text, items):
