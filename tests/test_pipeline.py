@@ -148,6 +148,28 @@ def test_training(spark, tmp_path):
     assert training.train_bpe(docs, 300, end_suffix="Ġ").get_vocab_size() > 256
 
 
+def library_bpe(texts, size):
+    from tokenizers import Tokenizer, models, pre_tokenizers, trainers
+
+    t = Tokenizer(models.BPE(unk_token="<unk>"))
+    t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    t.train_from_iterator(texts, trainers.BpeTrainer(vocab_size=size, special_tokens=["<unk>"], initial_alphabet=pre_tokenizers.ByteLevel.alphabet(), show_progress=False))
+    return t
+
+
+def test_training_is_the_library(spark):
+    """Counts beyond 1000 keep their proportions; runs of spaces count, too."""
+    texts = ["cd " * 3000 + "ab " * 1500 + "aaaa  abab\n\n  cdcdcd xyz" * 7, None, "", "abcabc bcbc aab " * 50]
+    docs = spark.createDataFrame([(x,) for x in texts], "text string")
+    for size in (258, 262, 300):
+        got, want = (json.loads(t.to_str()) for t in (training.train_bpe(docs, size), library_bpe([x for x in texts if x], size)))
+        assert got["model"]["merges"] == want["model"]["merges"]
+        assert got["model"]["vocab"] == want["model"]["vocab"] and got["added_tokens"] == want["added_tokens"]
+    corpus = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")
+    got, want = (json.loads(t.to_str())["model"] for t in (training.train_bpe(corpus, 2000), library_bpe([r.text for r in corpus.collect()], 2000)))
+    assert got["merges"] == want["merges"] and got["vocab"] == want["vocab"]
+
+
 def test_sinks(spark, tmp_path):
     x = spark.createDataFrame([("char", "en", 1, "ab", ["a", "b"])], "tokenizer string, language string, doc_id long, text string, tokens array<string>")
     t = tokenizer("pretokenized", name="char", vocab={"b": 1, "a": 0})
