@@ -203,6 +203,41 @@ def test_hmm_likelihood_is_exact_and_rises():
     assert e[2].sum() == pytest.approx(sum(map(len, seq)))
 
 
+def test_hmm_counts_whole_texts():
+    rng = np.random.default_rng(3)
+    p = hmm.initial(np.full(6, 1 / 6), 3)
+    texts = [rng.integers(0, 6, n) for n in (1, 700, 7, 513, 256)]
+    start, step, emit, ll = hmm.expected(p, *hmm.runs(texts))
+    want = [np.zeros(3), np.zeros((3, 3)), np.zeros((6, 3))]
+    for x in texts:
+        f, b = [p.start * p.emit[x[0]]], [np.ones(3)]
+        f[0] = f[0] / f[0].sum()
+        for o in x[1:]:
+            f.append(f[-1] @ p.step * p.emit[o])
+            f[-1] /= f[-1].sum()
+        for o in x[:0:-1]:
+            b.insert(0, p.step @ (p.emit[o] * b[0]))
+            b[0] /= b[0].sum()
+        g = [u * v / (u * v).sum() for u, v in zip(f, b, strict=True)]
+        want[0] += g[0]
+        for o, q in zip(x, g, strict=True):
+            want[2][o] += q
+        for i in range(len(x) - 1):
+            xi = f[i][:, None] * p.step * (p.emit[x[i + 1]] * b[i + 1])
+            want[1] += xi / xi.sum()
+    for got, w in zip((start, step, emit), want, strict=True):
+        assert got == pytest.approx(w, rel=1e-8)
+    assert step.sum() == pytest.approx(sum(len(x) - 1 for x in texts))
+    assert ll == pytest.approx(hmm.likelihood(p, texts).sum())
+
+
+def test_hmm_classes_grow(spark):
+    counts = spark.createDataFrame([("", 5), *((f"w{i}", 1000 - 3 * i) for i in range(330))], "token string, c long")
+    assert hmm.Model(spark, counts, 10, 1000, 2).classes == 301
+    assert hmm.Model(spark, counts, 10, 50, 2).classes == 50
+    assert hmm.Model(spark, counts, 320, 1000, 2).classes == 320
+
+
 def test_ordinal_with_four_grades():
     rng = np.random.default_rng(0)
     n = 600
