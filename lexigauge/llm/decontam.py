@@ -28,9 +28,9 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(ALNUM).split() if text else []
 
 
-def windows_of(items: list[tuple[str, bytes | None]], window: int) -> dict[tuple[bytes, ...], list[str]]:
+def windows_of(items: list[tuple[str | None, bytes | None]], window: int) -> dict[tuple[bytes, ...], list[str | None]]:
     """Windows and the items that hold them; an item shorter than a window is one window."""
-    out: dict[tuple[bytes, ...], list[str]] = {}
+    out: dict[tuple[bytes, ...], list[str | None]] = {}
     for item, text in items:
         w = words(text)
         for i in range(max(1, len(w) - window + 1) if w else 0):
@@ -43,7 +43,7 @@ def windows_of(items: list[tuple[str, bytes | None]], window: int) -> dict[tuple
 class Automaton:
     """Patterns over word numbers; number 0 is any word that no pattern has."""
 
-    def __init__(self, items: list[tuple[str, bytes | None]], window: int):
+    def __init__(self, items: list[tuple[str | None, bytes | None]], window: int):
         import ahocorasick
 
         found = windows_of(items, window)
@@ -55,14 +55,14 @@ class Automaton:
         if found:
             self.auto.make_automaton()
 
-    def scan(self, text: bytes | None) -> tuple[int, list[tuple[int, int]], set[str]]:
+    def scan(self, text: bytes | None) -> tuple[int, list[tuple[int, int]], set[str | None]]:
         """Word count, merged runs of hit words (end exclusive), items found."""
         w = words(text)
         if not self.any or not w:
             return len(w), [], set()
         get = self.ids.get
         runs: list[tuple[int, int]] = []
-        items: set[str] = set()
+        items: set[str | None] = set()
         for end, (n, held) in self.auto.iter(tuple([get(x, 0) for x in w])):
             items.update(held)
             start = end - n + 1
@@ -88,7 +88,7 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def scanner(items: list[tuple[str, bytes | None]], window: int) -> Callable[[], Callable]:
+def scanner(items: list[tuple[str | None, bytes | None]], window: int) -> Callable[[], Callable]:
     key = "decontam:" + hashlib.sha256(repr((window, items)).encode()).hexdigest()
 
     def make() -> Callable:
@@ -100,7 +100,7 @@ def scanner(items: list[tuple[str, bytes | None]], window: int) -> Callable[[],
                 k, runs, held = auto.scan(text)
                 n.append(k)
                 hit.append(list(chain.from_iterable(runs)))
-                found.append(sorted(held))
+                found.append(sorted(held, key=lambda x: (x is None, x or "")))
                 at.append(spans(text, runs) if runs else [])
             return [n, hit, found, at]
 
@@ -111,12 +111,12 @@ def scanner(items: list[tuple[str, bytes | None]], window: int) -> Callable[[],
 
 def grouped_items(bench: DataFrame, item_col: str, text_col: str, max_bytes: int):
     """The benchmark in groups of bounded size, one at a time on the driver."""
-    b = bench.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("item is not null and text is not null")
+    b = bench.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     total = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // max_bytes) or 1
     for g in range(n):
         part = b if n == 1 else b.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == g)
-        yield n, sorted({(r["item"], r["text"].encode()) for r in part.collect()})
+        yield n, sorted({(r["item"], r["text"].encode()) for r in part.collect()}, key=lambda x: (x[0] is None, x[0] or "", x[1]))
 
 
 def contamination(
@@ -126,8 +126,8 @@ def contamination(
 
     spans are code points of the original text (start, end, ...). A document is
     contaminated when a word is hit and share * n_hit >= n_words. Null and empty texts
-    have no words; null items and null item ids take no part; repeated items count once by
-    id; repeated documents are scanned each for itself; an empty benchmark hits nothing.
+    have no words; items with a null text take no part; repeated items count once by id, and
+    all items with a null id as one, which is null in items; repeated documents are scanned each for itself; an empty benchmark hits nothing.
     Benchmarks beyond max_bytes are scanned in several passes of bounded automata, and the
     hits of the passes are merged.
     """

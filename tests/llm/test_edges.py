@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, extra columns with clashing names."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +49,18 @@ def test_decontamination(docs, none, bench):
     assert decontam.clean(docs, bench).columns == docs.columns
 
 
+def test_decontamination_null_item(spark):
+    d = spark.createDataFrame([(1, "x one two three y"), (2, "four five"), (3, "no")], "doc_id long, text string")
+    b = spark.createDataFrame([(None, "one two three"), (None, "four five"), (7, "two three"), (8, None)], "item_id long, text string")
+    rows = {r.doc_id: r for r in decontam.digest(d, b).collect()}
+    digest = lambda x: hashlib.sha256(x).hexdigest()
+    # as in the SQL: a null id is counted once and is not in the list
+    assert [(r.n_hit, r.n_items, r.items_sha256, r.contaminated) for _, r in sorted(rows.items())] == [(3, 2, digest(b"7"), True), (2, 1, digest(b""), True), (0, 0, digest(b""), False)]
+    assert {r.doc_id for r in decontam.clean(d, b).collect()} == {3}
+    parts = {r.doc_id: r for r in decontam.contamination(d, b, max_bytes=8).collect()}
+    assert [(parts[i]["__lx_n_hit"], parts[i]["__lx_n_items"]) for i in (1, 2, 3)] == [(3, 2), (2, 1), (0, 0)]
+
+
 def test_packing(docs, none):
     rows = packing.packed(docs).collect()
     assert {r.doc_id for r in rows} == {1, 2, 3, None, 4, 5, 6, 7}
