@@ -11,6 +11,8 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import OWN, annotate, cached_in_worker, pieces, stored, utf8
-from .sampling import bounded, held_out
+from .sampling import bounded_each, held_out
 
-#: Labelled rows that a fit uses at most, about.
+#: Labelled rows of each language that a fit uses at most, about.
 SAMPLE = 12_000
-#: Words, and n-grams of each length, that a model keeps at most: the most frequent.
+#: Words, and n-grams of each length, that a model keeps of each language at most: its most frequent.
 WORDS, GRAMS = 100_000, 40_000
 LONGEST = 5
 #: Occurrences that make a word or n-gram known.
@@ -128,20 +130,24 @@ class Rows(dict):
 
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, words_kept: int = WORDS, grams_kept: int = GRAMS) -> Model:
-    """Fit on about sample rows with a language; null texts say nothing."""
-    rows = docs.where(F.col(lang_col).isNotNull())
-    rows = bounded(rows, id_col, sample).select(F.col(lang_col).cast("string"), F.col(text_col).cast("string"))
+    """Fit on about sample rows of each language; null texts say nothing."""
+    rows = bounded_each(docs, lang_col, id_col, sample).select(F.col(lang_col).cast("string"), F.col(text_col).cast("string"))
     langs = sorted(r[0] for r in rows.select(lang_col).distinct().collect())
     counts = counted(rows).where(F.col("k") > 0)
     wide = counts.groupBy("n", "item").agg(*[F.sum(F.when(F.col("lang") == x, F.col("k")).otherwise(0)).alias(f"l{i}") for i, x in enumerate(langs)], F.sum("k").alias("all")).where(F.col("all") >= LEAST) if langs else None
     wide = stored(wide, "langid") if langs else None
+    own = [f"l{i}" for i in range(len(langs))]
+    sizes = {r["n"]: r for r in wide.groupBy("n").agg(*[F.count_if(F.col(c) > 0).alias(c) for c in own]).collect()} if langs else {}
     tables: list[dict[str, list[int]]] = []
     for n in range(LONGEST + 1):
-        t = {}
-        if langs:
-            top = wide.where(F.col("n") == n).orderBy(F.desc("all"), "item").limit(grams_kept if n else words_kept).toArrow()
-            cols = [top[f"l{i}"].to_pylist() for i in range(len(langs))]
-            t = dict(zip(top["item"].to_pylist(), zip(*cols, strict=True), strict=True))
+        most, here, t = grams_kept if n else words_kept, wide.where(F.col("n") == n) if langs else None, {}
+        if n in sizes:
+            over = [c for c in own if sizes[n][c] > most]
+            within = [F.col(c) > 0 for c in own if c not in over]
+            parts = [here.where(reduce(or_, within))] if within else []
+            for part in parts + [here.orderBy(F.desc(c), "item").limit(most) for c in over]:
+                top = part.toArrow()
+                t.update(zip(top["item"].to_pylist(), zip(*(top[c].to_pylist() for c in own), strict=True), strict=True))
         tables.append(t)
     return Model(langs, tables)
 

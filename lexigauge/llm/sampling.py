@@ -23,6 +23,16 @@ def bounded(df: DataFrame, id_col: str, rows: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(STEPS)) < int(rows / n * STEPS))
 
 
+def bounded_each(df: DataFrame, by: str, id_col: str, rows: int) -> DataFrame:
+    """About rows rows of df for each value of by (a few strings, null left out), or all of those that have fewer."""
+    over = [(r[0], r["n"]) for r in df.where(F.col(by).isNotNull()).groupBy(F.col(by).cast("string")).agg(F.count("*").alias("n")).collect() if r["n"] > rows]
+    at = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(STEPS))
+    bound = F.lit(STEPS)
+    for value, n in over:
+        bound = F.when(F.col(by).cast("string") == value, int(rows / n * STEPS)).otherwise(bound)
+    return df.where(F.col(by).isNotNull() & (at < bound))
+
+
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int):
     """A bounded sample of (label, text) on the driver's side, sorted so that fitting is repeatable.
 

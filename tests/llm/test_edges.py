@@ -77,6 +77,17 @@ def test_language(docs, none):
     assert {r["__lx_lang_pred"] for r in langid.predicted(docs, langid.fit(none)).collect()} == {"und"}
 
 
+def test_language_rare(spark):
+    hot = [(i, f"alpha beta gamma w{i % 50} w{i % 49}x", "hot") for i in range(2000)]
+    d = spark.createDataFrame([*hot, *((5000 + i, "omega psi chi", "rare") for i in range(3))], "doc_id long, text string, lang string")
+    m = langid.fit(d, sample=100, words_kept=5, grams_kept=5)
+    assert m.langs == ["hot", "rare"]
+    assert {"omega", "psi", "chi", "alpha", "beta", "gamma"} <= set(m.tables[0][0])
+    assert len(m.tables[0][0]) == 8 and all(len(t[0]) <= 10 for t in m.tables[1:])
+    asked = spark.createDataFrame([(1, "psi omega"), (2, "gamma beta")], "doc_id long, text string")
+    assert [r["__lx_lang_pred"] for r in langid.predicted(asked, m).orderBy("doc_id").collect()] == ["rare", "hot"]
+
+
 def test_near_duplicates(docs, none):
     rows = dedup.near_duplicates(docs, size=3, num=85).collect()
     by = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in rows}
