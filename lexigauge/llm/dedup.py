@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, OWN, checkpointed, pieces, stored, utf8
+from .common import LOWER, OWN, annotate, checkpointed, pieces, stored, utf8
 from .graph import components
 
 #: Coordinates, and bands of ROWS coordinates: at similarity 0.85 a pair is missed with probability (1 - 0.85^5)^24 < 1e-6.
@@ -247,6 +247,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     their fate if their texts are alike, else each text has its own. Extra columns are
     ignored. Ids are integers.
     """
+    out = marked(docs, id_col, text_col, size, num, den)
+    return out.select(id_col, F.col("n").alias("n_shingles"), "component_id", F.col(id_col).eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def marked(docs: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int) -> DataFrame:
+    """id, n, d0, d1, c (the component's key, null without shingles), component_id of every row of docs."""
     src = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text"))
     sig = stored(signed(src, id_col, "text", size), "signatures")
     # equal sets are one class k (hash of the digest's halves), summed up before the shuffle
@@ -275,10 +281,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ids = classes.select("k", "least").join(found.select(F.col("node").alias("k"), "component"), "k", "left").withColumn("c", F.coalesce("component", "k"))
     ids = checkpointed(ids.select("k", "least", "c"))
     least = ids.groupBy("c").agg(F.min("least").alias("component_id"))
-    at = ids.join(least, "c").select("k", "component_id")
-    out = sig.select(id_col, "n", key.alias("k"), (F.col("n") > 0).alias("any")).join(at, "k", "left")
+    at = ids.join(least, "c").select("k", "c", "component_id")
+    out = sig.select(id_col, "n", "d0", "d1", key.alias("k"), (F.col("n") > 0).alias("any")).join(at, "k", "left")
     component = F.when(F.col("any"), F.col("component_id")).otherwise(F.col(id_col))
-    return out.select(id_col, F.col("n").alias("n_shingles"), component.alias("component_id"), F.col(id_col).eqNullSafe(component).alias("kept"))
+    return out.select(id_col, "n", "d0", "d1", F.when(F.col("any"), F.col("c")).alias("c"), component.alias("component_id"))
 
 
 def large_links(members: DataFrame, shared: DataFrame, stars: DataFrame, num: int, den: int) -> DataFrame:
@@ -298,13 +304,37 @@ def digest(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs, size=3, num=85)
 
 
+def with_digests(docs: DataFrame, size: int) -> DataFrame:
+    """docs with OWN-prefixed d0 and d1 of each text's shingles."""
+
+    def make():
+        get = WordHash().__getitem__
+
+        def f(texts):
+            d = [halves(shingles(x, get, size).tobytes()) for x in texts]
+            return [[x for x, _ in d], [x for _, x in d]]
+
+        return f
+
+    return annotate(docs, "text", [("d0", "long"), ("d1", "long")], make)
+
+
 def distinct_documents(docs: DataFrame, size: int = 5, num: int = 80) -> DataFrame:
-    """One document of each near-duplicate group, with its own columns; of repeated rows of one id, one stays."""
-    marks = near_duplicates(docs, size=size, num=num)
-    kept = marks.where("kept").groupBy("doc_id").agg(F.count("*").alias("m"))
-    own = [F.col(f"d.`{c}`") for c in docs.columns]
-    kept = kept.select(F.col("doc_id").alias(OWN + "id"), (F.col("m") > 1).alias(OWN + "many"))
-    x = docs.alias("d").join(kept, F.col("d.doc_id").eqNullSafe(F.col(OWN + "id")))
-    once = x.where(~F.col(OWN + "many")).select(*own)
-    again = x.where(OWN + "many").select(*own).dropDuplicates(["doc_id", "text"])
-    return once.unionByName(again)
+    """One document of each near-duplicate group, with its own columns, also where ids repeat or are null.
+
+    Texts without shingles are no group: they stay, of repeated rows of one id and text one.
+    """
+    marks = marked(docs, "doc_id", "text", size, num, 100)
+    whole = F.struct("doc_id", "d0", "d1")
+    kept = marks.where(F.col("c").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("c").agg(F.min(whole).alias("x")).select("x.*")
+    kept = kept.unionByName(marks.where("c is null").select("doc_id", "d0", "d1").distinct())
+    kept = stored(kept.toDF(*(OWN + x for x in ("id", "e0", "e1"))), "kept")
+    repeated = stored(marks.groupBy("doc_id").agg(F.count("*").alias("m")).where("m > 1").select(F.col("doc_id").alias(OWN + "id")), "repeated")
+    same = F.col("doc_id").eqNullSafe(F.col(OWN + "id"))
+    if not repeated.limit(1).count():
+        return docs.join(kept, same, "left_semi")
+    once = docs.join(repeated, same, "left_anti").join(kept, same, "left_semi")
+    again = with_digests(docs.join(repeated, same, "left_semi"), size)
+    again = again.join(kept, same & F.col(OWN + "d0").eqNullSafe(F.col(OWN + "e0")) & F.col(OWN + "d1").eqNullSafe(F.col(OWN + "e1")), "left_semi")
+    again = again.withColumn(OWN + "empty", F.when(F.col(OWN + "d0").isNull(), F.col("text"))).dropDuplicates(["doc_id", OWN + "d0", OWN + "d1", OWN + "empty"])
+    return once.unionByName(again.select(*[F.col(f"`{c}`") for c in docs.columns]))

@@ -98,6 +98,18 @@ def test_near_duplicates(docs, none):
     assert kept.columns == docs.columns and kept.where("doc_id = 1").count() == 1
 
 
+def test_distinct_documents_repeated_ids(spark):
+    a, b, c, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abce")
+    near = c + " more"
+    rows = [(1, a, 0), (2, b, 1), (2, a, 2), (None, c, 3), (None, near, 4), (5, e, 5), (5, e + " more", 6), (5, e.upper(), 7), (6, "", 8), (6, "", 9), (9, b, 10), (None, a, 11)]
+    kept = dedup.distinct_documents(spark.createDataFrame(rows, "doc_id long, text string, row int"))
+    assert kept.columns == ["doc_id", "text", "row"]
+    groups = [{0, 2, 11}, {1, 10}, {3, 4}, {5, 6, 7}, {8, 9}]
+    got = [r.row for r in kept.collect()]
+    assert sorted(next(i for i, g in enumerate(groups) if r in g) for r in got) == [0, 1, 2, 3, 4]
+    assert 0 in got and 1 in got
+
+
 def test_language_model(docs, none):
     x = docs.select("doc_id", "text")
     counts = hmm.counted(x.select("text"))
