@@ -7,12 +7,12 @@ and after one or two for all but short texts. Two sketches agree on a coordinate
 probability of the sets' Jaccard similarity, concentrated as for independent hashing.
 
 Texts with equal shingle sets are one class from the start. Sketches are cut into bands;
-classes that share a band are candidates. Joined through the heads of their bands,
-candidates form clusters, outside of which no link can be. Within clusters the full
-shingle sets are compared, in pairs of blocks of bounded size, by counting common shingles
-as a matrix product; of the links found, a block gives back those that join what is not
-joined yet. Clusters of more than CAP classes are first joined up by comparing each band's
-members with its head, and then compared band by band where that left more than one part.
+classes that share a band are candidates, and only those. Joined through the heads of their
+bands, candidates form clusters, outside of which no link can be. The full shingle sets
+of candidates are compared by counting common shingles as a matrix product: a cluster
+that fits a block as a whole; larger ones first with the most central member of each bucket, and
+then, in blocks, where different parts of a bucket remain. What is compared gives back only links
+that join something, so their number grows with that of the members.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,8 +33,6 @@ from .graph import components
 COORDS, BANDS, ROWS = 120, 24, 5
 #: Classes of a block; two blocks meet in a task.
 BLOCK = 256
-#: Clusters of more classes are compared band by band.
-CAP = 20_000
 #: Classes of small clusters that one group has, about; shingles counted at a time.
 TOGETHER, WIDE = 2_000, 8_192
 
@@ -146,38 +144,23 @@ def with_sets(df: DataFrame, size: int) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those pairs a, b whose full sets have den * intersection >= num * union."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(den * both >= num * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    x = pairs.join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
-    x = x.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a")
-    return x.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
-
-
-def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections of a left and a right set."""
-    flat = np.concatenate([*left, *right])
-    row = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+def common(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
+    """Sizes of all intersections of a left and a right set; without right, of any two left ones."""
+    every = [*left, *(right or [])]
+    flat = np.concatenate(every)
+    row = np.repeat(np.arange(len(every)), [len(x) for x in every])
     _, col, times = np.unique(flat, return_inverse=True, return_counts=True)
     keep = times[col] > 1  # others are in no intersection
     row, col = row[keep], np.unique(col[keep], return_inverse=True)[1]
-    out = np.zeros((len(left), len(right)), np.float32)
+    second = slice(len(left) if right is not None else 0, None)
+    out = np.zeros((len(left), len(left if right is None else right)), np.float32)
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
     for a in range(0, int(col[-1]) + 1 if len(col) else 0, WIDE):
         i, j = np.searchsorted(col, [a, a + WIDE])
-        m = np.zeros((len(left) + len(right), min(WIDE, int(col[j - 1]) - a + 1)), np.float32)
+        m = np.zeros((len(every), min(WIDE, int(col[j - 1]) - a + 1)), np.float32)
         m[row[i:j], col[i:j] - a] = 1
-        out += m[: len(left)] @ m[len(left) :].T
+        out += m[: len(left)] @ m[second].T
     return out
 
 
@@ -200,41 +183,40 @@ def joining(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def linked(n: np.ndarray, c: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Links between parts c of left and right rows, enough to join all that are linked."""
-    if not len(left) or not len(right) or (c[left] == c[right][0]).all() and (c[right] == c[right][0]).all():
+def linked(n: np.ndarray, c: np.ndarray, sets: list[np.ndarray], bands: np.ndarray | None, left: np.ndarray, right: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Links between parts c of left and right rows (that share a band, if bands are given), enough to join all that are linked."""
+    if not len(left) or not len(right) or (c[left] == c[right][0]).all() and (c[right] == c[left][0]).all():
         return []
-    both = common([sets[i] for i in left], [sets[i] for i in right])
+    both = common([sets[i] for i in left], None if np.array_equal(left, right) else [sets[i] for i in right])
     ok = (den * both >= num * (n[left][:, None] + n[right][None, :] - both)) & (c[left][:, None] != c[right][None, :])
+    if bands is not None and ok.any():
+        ok &= np.logical_or.reduce([x[left][:, None] == x[right][None, :] for x in bands.T])
     i, j = np.nonzero(ok)
     return joining(c[left][i], c[right][j])
 
 
-def compared(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Links a, b between parts: members have g (the group to compare within), m (its size), k, c (the part k is in), n, s.
+def compared(rows: DataFrame, few: int, num: int, den: int) -> DataFrame:
+    """Links a, b between parts: of each g, rows of the left with rows of the right.
 
-    Groups of up to BLOCK members go many to a task; larger ones are dealt into blocks, of
-    which each two meet once. What a task gets is bounded in either case.
+    rows have g, lo, hi (which with g say what meets; null: all rows of g), left, right, k, c (the
+    part k is in), n, s, bands (null where any pair may link). The few rows with a null lo go many g to a task.
     """
-    groups = max(1, -(-members.where(F.col("m") <= BLOCK).count() // TOGETHER))
-    parts = F.when(F.col("m") <= BLOCK, 1).otherwise(F.ceil(F.col("m") / BLOCK)).cast("int")
-    m = members.withColumn("parts", parts).withColumn("i", F.pmod(F.xxhash64("k", F.lit(7)), F.col("parts")).cast("int"))
-    m = m.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(F.col("i"), j).alias("lo"), F.greatest(F.col("i"), j).alias("hi")))))
-    many = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("g"), F.lit(groups))).otherwise(F.col("g"))
-    m = m.select(many.alias("key"), F.col("parts") == 1, F.col("pair.lo").alias("lo"), F.col("pair.hi").alias("hi"), "g", "i", "k", "c", "n", "s").toDF("key", "small", "lo", "hi", "g", "i", "k", "c", "n", "s")
+    groups = max(1, -(-few // TOGETHER))
+    key = F.when(F.col("lo").isNull(), F.pmod(F.xxhash64("g"), F.lit(groups))).otherwise(F.col("g"))
+    x = rows.select(key.alias("key"), F.coalesce("lo", F.lit(-1)).cast("long").alias("lo"), F.coalesce("hi", F.lit(-1)).cast("long").alias("hi"), "g", "left", "right", "k", "c", "n", "s", "bands")
 
     def compare(t: pa.Table) -> pa.Table:
-        i, g, k, c, n = (t[x].to_numpy() for x in ("i", "g", "k", "c", "n"))
-        lo, hi, small = t["lo"][0].as_py(), t["hi"][0].as_py(), t["small"][0].as_py()
+        g, c, n = (t[x].to_numpy() for x in ("g", "c", "n"))
+        left, right = (t[x].to_numpy(zero_copy_only=False).astype(bool) for x in ("left", "right"))
         sets = [np.frombuffer(x, np.uint64) for x in t["s"].to_pylist()]
+        bands = None if t["bands"].null_count else np.array(t["bands"].to_pylist(), np.int64)
         out: list[tuple[int, int]] = []
         order = np.argsort(g, kind="stable")
-        for rows in np.split(order, np.flatnonzero(np.diff(g[order])) + 1):
-            rows = rows[np.unique(k[rows], return_index=True)[1]]  # a class once
-            out += linked(n, c, sets, rows if small or lo == hi else rows[i[rows] == lo], rows if small or lo == hi else rows[i[rows] == hi], num, den)
+        for at in np.split(order, np.flatnonzero(np.diff(g[order])) + 1):
+            out += linked(n, c, sets, bands, at[left[at]], at[right[at]], num, den)
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    return m.groupBy("key", "small", "lo", "hi").applyInArrow(compare, "a long, b long")
+    return x.groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -244,8 +226,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     union of the full sets of size-word shingles); kept marks the row that has it. Null and
     empty texts have no shingles and stand alone. Rows with a null id link like others; if
     all of a component are null, component_id is null and they are kept. Repeated ids share
-    their fate if their texts are alike, else each text has its own. Extra columns are
-    ignored. Ids are integers.
+    their fate if their texts are alike, else each text has its own. Very long texts are
+    shingled whole. Extra columns are ignored; an empty table gives no rows. Ids are integers.
     """
     out = marked(docs, id_col, text_col, size, num, den)
     return out.select(id_col, F.col("n").alias("n_shingles"), "component_id", F.col(id_col).eqNullSafe(F.col("component_id")).alias("kept"))
@@ -255,48 +237,101 @@ def marked(docs: DataFrame, id_col: str, text_col: str, size: int, num: int, den
     """id, n, d0, d1, c (the component's key, null without shingles), component_id of every row of docs."""
     src = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text"))
     sig = stored(signed(src, id_col, "text", size), "signatures")
-    # equal sets are one class k (hash of the digest's halves), summed up before the shuffle
-    key = F.xxhash64("d0", "d1")
-    classes = sig.where("n > 0").groupBy(key.alias("k")).agg(F.min(id_col).alias("least"), F.max("n").alias("n"), F.max("d0").alias("d0"), F.max("d1").alias("d1"), F.max("bands").alias("bands"))
-    classes = stored(classes, "classes")
+    # equal sets are one class, summed up before the shuffle and numbered by the table it is written to
+    alike = sig.where("n > 0").groupBy("d0", "d1").agg(F.min(id_col).alias("least"), F.max("n").alias("n"), F.max("bands").alias("bands"))
+    classes = stored(alike.withColumn("k", F.monotonically_increasing_id()), "classes")
     spread = classes.select("k", F.explode("bands").alias("band"))
-    heads = spread.groupBy("band").agg(F.min("k").alias("a"), F.count("*").alias("m")).where("m > 1").select("band", "a")
+    heads = spread.groupBy("band").agg(F.min("k").alias("a"), F.count("*").alias("m")).where("m > 1")
     shared = stored(spread.join(heads, "band"), "buckets")  # members of buckets with two classes or more
-    stars = shared.where("k <> a").select("a", F.col("k").alias("b")).distinct()
-    cluster = components(stars).select(F.col("node").alias("k"), F.col("component").alias("g"))
+    cluster = components(shared.select("a", F.col("k").alias("b"))).select(F.col("node").alias("k"), F.col("component").alias("g"))
     cluster = checkpointed(cluster.join(cluster.groupBy("g").agg(F.count("*").alias("m")), "g"))
-    # one text for each class of a cluster, found by its least id
-    wanted = classes.select("k", "least", "n", "d0", "d1").join(cluster, "k")
-    texts = src.join(wanted, F.col(id_col).eqNullSafe(F.col("least"))).select("text", "k", "g", "m", "n", "d0", "d1")
-    members = with_sets(texts, size).select("g", "m", "k", F.col("k").alias("c"), "n", "s")
-    if sig.groupBy(id_col).agg(F.count("*").alias("m")).where("m > 1").limit(1).count():
-        members = members.dropDuplicates(["k"])  # ids repeat
-    large = cluster.where(F.col("m") > CAP).limit(1).count() > 0
+    members = with_sets(class_texts(src, id_col, sig, classes.join(cluster, "k"), size), size)
+    small = cluster.where(F.col("m") <= BLOCK).count()
+    large = cluster.where(F.col("m") > BLOCK).limit(1).count() > 0
     if large:
         members = stored(members, "sets")
-    links = stored(compared(members.where(F.col("m") <= CAP), num, den), "links")
+    null, yes = F.lit(None).cast("long"), F.lit(True)
+    links = stored(compared(members.where(F.col("m") <= BLOCK).select("g", null.alias("lo"), null.alias("hi"), yes.alias("left"), yes.alias("right"), "k", F.col("k").alias("c"), "n", "s", "bands"), small, num, den), "links")
     if large:
-        links = links.unionByName(large_links(members.where(F.col("m") > CAP), shared, stars, num, den))
+        links = links.unionByName(large_links(members.where(F.col("m") > BLOCK), shared, num, den))
     found = components(links)
-    ids = classes.select("k", "least").join(found.select(F.col("node").alias("k"), "component"), "k", "left").withColumn("c", F.coalesce("component", "k"))
-    ids = checkpointed(ids.select("k", "least", "c"))
+    ids = classes.select("d0", "d1", "k", "least").join(found.select(F.col("node").alias("k"), "component"), "k", "left").withColumn("c", F.coalesce("component", "k"))
+    ids = checkpointed(ids.select("d0", "d1", "least", "c"))
     least = ids.groupBy("c").agg(F.min("least").alias("component_id"))
-    at = ids.join(least, "c").select("k", "c", "component_id")
-    out = sig.select(id_col, "n", "d0", "d1", key.alias("k"), (F.col("n") > 0).alias("any")).join(at, "k", "left")
-    component = F.when(F.col("any"), F.col("component_id")).otherwise(F.col(id_col))
-    return out.select(id_col, "n", "d0", "d1", F.when(F.col("any"), F.col("c")).alias("c"), component.alias("component_id"))
+    at = ids.join(least, "c").select("d0", "d1", "c", "component_id")
+    out = sig.select(id_col, "n", "d0", "d1").join(at, ["d0", "d1"], "left")
+    return out.select(id_col, "n", "d0", "d1", "c", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(id_col)).alias("component_id"))
+
+
+def class_texts(src: DataFrame, id_col: str, sig: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """wanted (a row a class) with a text of it: the one of its least id, or, where that is null or repeats, one with its digest."""
+    out = ["text", "k", "g", "m", "n", "d0", "d1", "bands"]
+    repeated = sig.groupBy(id_col).agg(F.count("*").alias("times")).where(f"times > 1 or `{id_col}` is null")
+    if not repeated.limit(1).count():
+        return src.join(wanted, F.col(id_col) == F.col("least")).select(out)
+    odd = stored(repeated.select(F.col(id_col).alias("odd")), "odd")
+    same = lambda c: F.col(c).eqNullSafe(F.col("odd"))
+    one = src.join(wanted.join(odd, same("least"), "left_anti"), F.col(id_col) == F.col("least")).select(out)
+    rows = with_digests(src.join(odd, same(id_col), "left_semi").select("text"), size)
+    rows = rows.groupBy(F.col(OWN + "d0").alias("d0"), F.col(OWN + "d1").alias("d1")).agg(F.first("text").alias("text"))
+    return one.unionByName(wanted.join(odd, same("least"), "left_semi").join(rows, ["d0", "d1"]).select(out))
 
 
-def large_links(members: DataFrame, shared: DataFrame, stars: DataFrame, num: int, den: int) -> DataFrame:
-    """Links within clusters too large to compare as a whole: first with bands' heads, then band by band where parts remain."""
+def large_links(members: DataFrame, shared: DataFrame, num: int, den: int) -> DataFrame:
+    """Links within clusters of more than a block, of pairs that share a band, in two steps of which neither gathers a cluster.
+
+    First every member is compared with the most central member of each of its buckets,
+    the one whose own buckets are largest; that joins most of a group of copies with as many links as
+    members. Then, in buckets where several parts remain, members are compared that are in different parts.
+    """
     sets = members.select("k", "n", "s")
-    mine = members.select("k")
-    first = stored(verified(stars.join(mine, F.col("a") == F.col("k"), "left_semi"), sets, num, den), "links")
+    mine = checkpointed(shared.select("band", "k", "m").join(members.select("k"), "k", "left_semi"))
+    central = mine.groupBy("k").agg(F.sum("m").alias("score"))
+    hubs = mine.join(central, "k").groupBy("band").agg(F.max(F.struct("score", "k")).alias("x")).select("band", F.col("x.k").alias("a"))
+    stars = checkpointed(with_hubs(mine.join(hubs, "band").where("k <> a").select("a", "k").distinct()))
+    first = stored(compared(stars.join(sets, "k"), stars.where("lo is null").count(), num, den), "links")
     part = components(first).select(F.col("node").alias("k"), F.col("component").alias("c"))
-    rows = shared.select("band", "k").join(mine, "k", "left_semi").join(part, "k", "left").withColumn("c", F.coalesce("c", "k"))
-    apart = rows.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m")).where("c0 < c1").select(F.col("band").alias("g"), "m")
-    rows = rows.withColumnRenamed("band", "g").join(apart, "g").join(sets, "k")
-    return first.unionByName(compared(rows.select("g", "m", "k", "c", "n", "s"), num, den))
+    rows = checkpointed(mine.select("band", "k").join(part, "k", "left").withColumn("c", F.coalesce("c", "k")))
+    apart = rows.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m")).where("c0 < c1").select("band", "m")
+    rows = checkpointed(in_blocks(rows.join(apart, "band")))
+    return first.unionByName(compared(rows.join(sets, "k"), rows.where("lo is null").count(), num, den))
+
+
+def no_bands():
+    return F.lit(None).cast("array<bigint>").alias("bands")
+
+
+def with_hubs(stars: DataFrame) -> DataFrame:
+    """Stars (a, k) as compared() takes them, without sets: a on the left with up to BLOCK of its k at a time."""
+    parts = stars.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("parts"))
+    lo = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("k"), F.col("parts")))
+    ends = stars.join(parts, "a").select(F.col("a").alias("g"), lo.alias("lo"), F.lit(False).alias("left"), "k")
+    hubs = parts.select("a", "parts", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("lo"))
+    hubs = hubs.select(F.col("a").alias("g"), F.when(F.col("parts") > 1, F.col("lo")).alias("lo"), F.lit(True).alias("left"), F.col("a").alias("k"))
+    return ends.unionByName(hubs).select("g", "lo", F.col("lo").alias("hi"), "left", (~F.col("left")).alias("right"), "k", F.col("k").alias("c"), no_bands())
+
+
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """Rows (band, k, c, m, the bucket's size) as compared() takes them, without sets: blocks of about BLOCK members of which each two meet.
+
+    A part of more than BLOCK members has blocks of its own, which do not meet each other;
+    members of smaller parts share blocks.
+    """
+    big = rows.groupBy("band", "c").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK).withColumn("own", F.ceil(F.col("size") / BLOCK).cast("long"))
+    per = big.groupBy("band").agg(F.sum("size").alias("sizes"), F.sum("own").alias("owns"))
+    w = Window.partitionBy("band").orderBy("c")
+    big = big.select("band", "c", "own", (F.sum("own").over(w) - F.col("own")).alias("at"))
+    x = rows.join(per, "band", "left").join(big, ["band", "c"], "left")
+    mixed = F.ceil((F.col("m") - F.coalesce("sizes", F.lit(0))) / BLOCK).cast("long")
+    x = x.withColumn("mixed", mixed).withColumn("at", F.col("at") + F.col("mixed"))
+    deal = F.xxhash64("k", F.lit(7))
+    x = x.withColumn("i", F.when(F.col("own").isNull(), F.pmod(deal, F.col("mixed"))).otherwise(F.col("at") + F.pmod(deal, F.col("own"))))
+    all_ = F.col("mixed") + F.coalesce("owns", F.lit(0))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), all_ - 1), lambda j: F.col("own").isNull() | (j < F.col("at")) | (j >= F.col("at") + F.col("own")))
+    one = all_ == 1
+    x = x.select(F.col("band").alias("g"), "k", "c", "i", one.alias("one"), F.explode(others).alias("j"))
+    lo, hi = F.least("i", "j"), F.greatest("i", "j")
+    return x.select("g", F.when(~F.col("one"), lo).alias("lo"), F.when(~F.col("one"), hi).alias("hi"), (F.col("i") == lo).alias("left"), (F.col("i") == hi).alias("right"), "k", "c", no_bands())
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -63,6 +63,21 @@ def test_sketch_agrees_with_similarity():
 def test_components(spark):
     links = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (2, 1), (9, 8), (8, 9), (7, 7)], "a long, b long")
     assert {r.node: r.component for r in graph.components(links).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 8: 8, 9: 8}
+    assert graph.components(links.where("a > 99")).count() == 0
+    rng = random.Random(6)
+    pairs = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(i + 1000, i + 1001) for i in range(100)]
+    root = {x: x for p in pairs for x in p}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    linked = {x for a, b in pairs if a != b for x in (a, b)}
+    assert {r.node: r.component for r in graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()} == {x: find(x) for x in linked}
 
 
 def families(seed):
@@ -100,22 +115,51 @@ def families(seed):
     return docs, {i: find(i) for i in sets}
 
 
-@pytest.mark.parametrize(("block", "cap"), [(256, 20_000), (8, 20_000), (8, 3)])
-def test_near_duplicates_brute_force(spark, monkeypatch, block, cap):
-    """In whole clusters, in many blocks, and band by band."""
+@pytest.mark.parametrize("block", [256, 8, 2])
+def test_near_duplicates_brute_force(spark, monkeypatch, block):
+    """In whole clusters, and in stars and blocks."""
     monkeypatch.setattr(dedup, "BLOCK", block)
-    monkeypatch.setattr(dedup, "CAP", cap)
-    docs, want = families(block + cap)
+    docs, want = families(block)
     got = dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), size=3, num=85).collect()
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_links_grow_with_the_members(spark, monkeypatch):
+    """Near copies of one text: what is handed on is in proportion to them."""
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(120)]
+    whole, sizes = dedup.components, []
+    monkeypatch.setattr(dedup, "components", lambda x: sizes.append(x.distinct().count()) or whole(x))
+    for n in (600, 1800):
+        docs = []
+        for i in range(n):
+            w = list(base)
+            for _ in range(rng.randint(0, 4)):
+                w[rng.randrange(120)] = f"y{rng.randint(0, 10**6)}"
+            docs.append((i, " ".join(w)))
+        got = dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), size=3, num=85).collect()
+        assert sum(r.component_id == 0 for r in got) >= 0.99 * n
+        assert sizes[-1] < 4 * n
+
+
+def test_near_duplicates_hot_ids(spark):
+    """Many different texts under one id and under null: each class finds its text by digest."""
+    t = lambda f, i: " ".join(f"{f}{k}" for k in range(40)) + f" v{i}"
+    rows = [(0, t(f"f{i // 2}x", i)) for i in range(40)] + [(None, t(f"g{i // 2}x", i)) for i in range(40)] + [(5, t("f3x", 99)), (6, t("g4x", 99))]
+    got = dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=3, num=80).collect()
+    assert len(got) == len(rows)
+    assert {r.component_id for r in got if r.doc_id == 0} == {0}
+    assert sorted(r.component_id is None for r in got if r.doc_id is None) == [False] * 2 + [True] * 38
+    assert {r.doc_id: r.component_id for r in got if r.doc_id in (5, 6)} == {5: 0, 6: 6}
+
+
 def test_common_shingles(monkeypatch):
     monkeypatch.setattr(dedup, "WIDE", 5)
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (1, 10, 40, 30, 7)]
     got = dedup.common(sets[:2], sets[2:])
     assert (got == [[len(np.intersect1d(a, b)) for b in sets[2:]] for a in sets[:2]]).all()
+    assert (dedup.common(sets) == [[len(np.intersect1d(a, b)) for b in sets] for a in sets]).all()
 
 
 def brute_hits(text, items):
