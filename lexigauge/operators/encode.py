@@ -24,7 +24,10 @@ from ..functions.script import PREPROCESS
 
 @dataclass(frozen=True)
 class Tokenizer:
-    """name, tokens(text column), vocabulary (token to id; None if open), unknown id, preprocessor name."""
+    """name, tokens(text column), vocabulary (token to id; None if open), unknown id, preprocessor name.
+
+    spell gives the strings of a list of ids; tokenizers without it have strings as tokens.
+    """
 
     name: str
     tokens: Callable[[Column], Column]
@@ -33,6 +36,7 @@ class Tokenizer:
     preprocess: str | None = None
     decode: Callable[[Column], Column] | None = None
     pieces: Callable[[Column], Column] | None = None
+    spell: Callable[[list[int]], list[str]] | None = field(default=None, compare=False, repr=False)
 
     @property
     def vocab_size(self) -> int | None:
@@ -88,6 +92,10 @@ def _arrow(f: Callable[[list[str]], list], kind: str) -> Callable[[Column], Colu
     return udf
 
 
+def _named(token: str | None, i: int) -> str:
+    return token if token is not None else f"<UNK_{i}>"
+
+
 def huggingface(config: dict[str, Any]) -> Tokenizer:
     """A tokenizers JSON file at path; special tokens that its post-processor adds are counted (special=False leaves them out)."""
     path, special = config["path"], config.get("special", True)
@@ -101,7 +109,7 @@ def huggingface(config: dict[str, Any]) -> Tokenizer:
 
     vocab = tok.get_vocab()
     unk = next((vocab[u] for u in (config.get("unk"), getattr(tok.model, "unk_token", None), "<unk>", "[UNK]", "<UNK>") if u and u in vocab), None)
-    return Tokenizer(config.get("name", "huggingface"), _arrow(encode, "array<int>"), vocab, unk, config.get("preprocess"), _arrow(decode, "string"), _arrow(pieces, "array<string>"))
+    return Tokenizer(config.get("name", "huggingface"), _arrow(encode, "array<int>"), vocab, unk, config.get("preprocess"), _arrow(decode, "string"), _arrow(pieces, "array<string>"), lambda ids: [_named(_hf(path).id_to_token(i), i) for i in ids])
 
 
 def sentencepiece(config: dict[str, Any]) -> Tokenizer:
@@ -124,7 +132,7 @@ def sentencepiece(config: dict[str, Any]) -> Tokenizer:
         return out
 
     vocab = {sp.id_to_piece(i): i for i in range(sp.vocab_size())}
-    return Tokenizer(config.get("name", "sentencepiece"), _arrow(encode, "array<int>"), vocab, sp.unk_id() if sp.unk_id() >= 0 else None, config.get("preprocess"), _arrow(decode, "string"), _arrow(pieces, "array<string>"))
+    return Tokenizer(config.get("name", "sentencepiece"), _arrow(encode, "array<int>"), vocab, sp.unk_id() if sp.unk_id() >= 0 else None, config.get("preprocess"), _arrow(decode, "string"), _arrow(pieces, "array<string>"), lambda ids: _pieces(path).id_to_piece(ids))
 
 
 def ranked(config: dict[str, Any]) -> Tokenizer:
@@ -134,7 +142,8 @@ def ranked(config: dict[str, Any]) -> Tokenizer:
     encode = lambda texts: [_ranks(path, pattern).encode_ordinary(t) for t in texts]
     decode = lambda ids: [_ranks(path, pattern).decode(list(map(int, x))) for x in ids]
     vocab = {enc.decode_single_token_bytes(i).decode("latin-1"): i for i in range(enc.n_vocab) if i in set(enc._mergeable_ranks.values())} if config.get("vocab", True) else None
-    return Tokenizer(config.get("name", "ranked"), _arrow(encode, "array<int>"), vocab, None, config.get("preprocess"), _arrow(decode, "string"))
+    spell = lambda ids: [_ranks(path, pattern).decode_single_token_bytes(i).decode("utf-8", "replace") for i in ids]
+    return Tokenizer(config.get("name", "ranked"), _arrow(encode, "array<int>"), vocab, None, config.get("preprocess"), _arrow(decode, "string"), spell=spell)
 
 
 def bpe_files(config: dict[str, Any]) -> Tokenizer:
@@ -156,7 +165,8 @@ def bpe_files(config: dict[str, Any]) -> Tokenizer:
     encode = lambda texts: [e.ids for e in build(vocab_file, merges_file).encode_batch(texts)]
     with open(vocab_file, encoding="utf-8") as f:
         vocab = json.load(f)
-    return Tokenizer(config.get("name", "bpe_files"), _arrow(encode, "array<int>"), vocab, vocab.get("<unk>"), config.get("preprocess"))
+    spell = lambda ids: [_named(build(vocab_file, merges_file).id_to_token(i), i) for i in ids]
+    return Tokenizer(config.get("name", "bpe_files"), _arrow(encode, "array<int>"), vocab, vocab.get("<unk>"), config.get("preprocess"), spell=spell)
 
 
 def by_language(config: dict[str, Any]) -> Tokenizer:
@@ -180,16 +190,18 @@ def by_language(config: dict[str, Any]) -> Tokenizer:
         other = _pieces(p)
         if [other.id_to_piece(i) for i in range(other.vocab_size())] != [first.id_to_piece(i) for i in range(first.vocab_size())]:
             raise ValueError(f"{p} has another vocabulary than {paths[0]}")
-    return Tokenizer(config.get("name", "by_language"), _arrow(encode, "array<int>"), vocab, first.unk_id(), config.get("preprocess"))
+    return Tokenizer(config.get("name", "by_language"), _arrow(encode, "array<int>"), vocab, first.unk_id(), config.get("preprocess"), spell=lambda ids: _pieces(paths[0]).id_to_piece(ids))
 
 
 def pretokenized(config: dict[str, Any]) -> Tokenizer:
-    """A vocabulary alone: its rows come with tokens and it encodes nothing."""
+    """A vocabulary alone: its rows come with tokens (ids, if a vocabulary is given) and it encodes nothing."""
 
     def refuse(_: Column) -> Column:
         raise NotImplementedError(f"{config.get('name')} has tokens already")
 
-    return Tokenizer(config["name"], refuse, config.get("vocab"), config.get("unk_id"))
+    vocab = config.get("vocab")
+    names = {i: t for t, i in vocab.items()} if vocab else {}
+    return Tokenizer(config["name"], refuse, vocab, config.get("unk_id"), spell=(lambda ids: [_named(names.get(i), i) for i in ids]) if vocab else None)
 
 
 REGISTRY: dict[str, Callable[[dict[str, Any]], Tokenizer]] = {
@@ -241,13 +253,12 @@ def encode(corpus: DataFrame, tokenizers: list[Tokenizer], *, strict: bool = Fal
     """
     if len({t.name for t in tokenizers}) < len(tokenizers):
         raise ValueError("tokenizer names repeat")
-    src = corpus.where(F.col("text").isNotNull() & not_blank(F.col("text")))
-    out = None
-    for t in tokenizers:
-        x = src.select(F.lit(t.name).alias("tokenizer"), "language", "doc_id", "text", t.encode(F.col("text")).cast("array<string>").alias("tokens"))
-        out = x if out is None else out.unionByName(x)
-    if out is None:
+    if not tokenizers:
         raise ValueError("no tokenizers given")
+    src = corpus.where(F.col("text").isNotNull() & not_blank(F.col("text")))
+    # all tokenizers in one pass over the texts
+    each = F.array(*[F.struct(F.lit(t.name).alias("tokenizer"), t.encode(F.col("text")).cast("array<string>").alias("tokens")) for t in tokenizers])
+    out = src.select("language", "doc_id", "text", F.explode(each).alias("e")).select("e.tokenizer", "language", "doc_id", "text", "e.tokens")
     if strict:
         return out.withColumn("tokens", F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.raise_error(F.concat(F.lit("no tokens for a text of "), F.col("language")))))
     return out.where(F.size("tokens") > 0)
@@ -260,3 +271,27 @@ def tokenizers_table(spark, tokenizers: list[Tokenizer]) -> DataFrame:
 def vocabulary(spark, tokenizers: list[Tokenizer]) -> DataFrame:
     """tokenizer, token_id, token of all that have a vocabulary."""
     return spark.createDataFrame([(t.name, i, s) for t in tokenizers if t.vocab for s, i in t.vocab.items()], "tokenizer string, token_id int, token string")
+
+
+def spelled(tokens: DataFrame, tokenizers: list[Tokenizer]) -> DataFrame:
+    """tokens with strings in place of ids, for tokenizers that have ids; the others' rows stay as they are.
+
+    A worker loads a tokenizer's file once, so a vocabulary is neither joined nor sent.
+    """
+    of = {t.name: t.spell for t in tokenizers if t.spell is not None}
+    if not of:
+        return tokens
+
+    @F.pandas_udf("array<string>")
+    def strings(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for names, lists in batches:
+            yield pd.Series([x if x is None or n not in of else of[n]([int(i) for i in x]) for n, x in zip(names, lists, strict=True)], index=names.index, dtype=object)
+
+    return tokens.withColumn("tokens", strings("tokenizer", "tokens"))
+
+
+def spelled_counts(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """counts with token, its string, and token_id: a join on the vocabulary's few rows a tokenizer; tokens without one stay, with a null id."""
+    v = vocabulary.select("tokenizer", F.col("token_id").cast("string").alias("__id"), F.col("token").alias("__token"))
+    x = counts.join(v, (counts["tokenizer"] == v["tokenizer"]) & (counts["token"] == v["__id"]), "left").drop(v["tokenizer"])
+    return x.withColumn("token_id", F.col("__id").cast("int")).withColumn("token", F.coalesce("__token", "token")).drop("__id", "__token")

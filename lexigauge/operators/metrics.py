@@ -7,6 +7,8 @@ all languages, both come from one pass with grouping sets, with language null fo
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,44 +24,83 @@ def ratio(a: Column, b: Column, default: float | None = 0.0) -> Column:
     return q if default is None else F.coalesce(q, F.lit(default))
 
 
-def statistics(x: Column) -> list[Column]:
-    """The eight statistics of a group. The standard error of one value is null."""
-    return [
-        F.avg(x).alias("mean"),
-        F.percentile(x, F.lit(0.5)).alias("median"),
-        F.stddev_pop(x).alias("std"),
-        (F.stddev_samp(x) / F.sqrt(F.count(x))).alias("std_err"),
-        F.min(x).alias("min"),
-        F.max(x).alias("max"),
-        F.count(x).cast("bigint").alias("count"),
-        F.sum(x).alias("sum"),
-    ]
+#: Bins in each doubling of a value, when its median is looked for.
+BINS = 512
 
 
-def by_language(df: DataFrame, aggregates: list[Column], keys: Sequence[str] = ("tokenizer",)) -> DataFrame:
-    """Aggregates by keys and language, and by keys alone (language null)."""
-    full = [*keys, "language"]
-    return df.groupingSets([[F.col(c) for c in full], [F.col(c) for c in keys]], *[F.col(c) for c in full]).agg(*aggregates)
+def statistics(df: DataFrame, x: Column, keys: Sequence[str], language: bool = True, sums: Sequence[str] = ()) -> DataFrame:
+    """The eight statistics of x (not negative) by keys and language, and by keys alone (language null); without language by keys alone.
+
+    Equal values are counted first, in each task and then by value, and all else comes from
+    that one table, so that no task holds a group's values. The median is found in
+    two steps: bins of values are counted and added up in order, then only the values of the
+    middle bin are. The standard error of one value is null. sums: columns whose totals are given too.
+    """
+    by = [*keys, "language", "pooled"] if language else [*keys]
+    own = [*keys, "language"] if language else [*keys]
+    c = df.withColumn("x", x).groupBy(*own, "x").agg(F.count("*").alias("k"), *[F.sum(s).alias(s) for s in sums])
+    if language:
+        both = F.array(F.struct("language", F.lit(False).alias("pooled")), F.struct(F.lit(None).cast("string").alias("language"), F.lit(True).alias("pooled")))
+        c = c.withColumn("level", F.explode(both)).select(*keys, "level.language", "level.pooled", "x", "k", *sums)
+    k, v = F.col("k"), F.col("x")
+    n = F.sum(k)
+    mean, squares = F.sum(k * v) / n, F.sum(k * v * v)
+    spread = F.greatest(squares / n - mean * mean, F.lit(0.0))
+    out = c.groupBy(*by).agg(
+        mean.alias("mean"),
+        F.sqrt(spread).alias("std"),
+        F.when(n > 1, F.sqrt(spread / (n - 1))).alias("std_err"),
+        F.min(v).alias("min"),
+        F.max(v).alias("max"),
+        n.cast("bigint").alias("count"),
+        F.sum(k * v).alias("sum"),
+        *[F.sum(s).alias(s) for s in sums],
+    )
+    out = out.join(F.broadcast(medians(c, by).select(*[F.col(b).alias(f"__{b}") for b in by], "median")), _same(by), "left")
+    return out.select(*own, *STATS, *sums)
+
+
+def _same(by: Sequence[str]) -> Column:
+    """by's columns equal those of the other side, named with underscores before, nulls too."""
+    return reduce(and_, [F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by], F.lit(True))
+
+
+def medians(c: DataFrame, by: Sequence[str]) -> DataFrame:
+    """median by by from values x that occur k times."""
+    c = c.withColumn("bin", F.coalesce(F.floor(F.log2("x") * BINS), F.lit(-1 << 40)).cast("bigint"))
+    group = Window.partitionBy(*by)
+    up = lambda order: group.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    bins = c.groupBy(*by, "bin").agg(F.sum("k").alias("k"))
+    bins = bins.withColumn("upto", F.sum("k").over(up("bin"))).withColumn("n", F.sum("k").over(group))
+    # the two middle places, from 1; the same one for an odd number
+    low, high = F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)
+    holds = lambda place: (F.col("upto") >= place) & (F.col("upto") - F.col("k") < place)
+    middle = bins.where(holds(low) | holds(high)).select(*[F.col(b).alias(f"__{b}") for b in [*by, "bin"]], (F.col("upto") - F.col("k")).alias("before"), low.alias("low"), high.alias("high"))
+    near = c.join(F.broadcast(middle), _same([*by, "bin"])).select(*by, "bin", "x", "k", "before", "low", "high")
+    near = near.withColumn("upto", F.col("before") + F.sum("k").over(Window.partitionBy(*by, "bin").orderBy("x").rangeBetween(Window.unboundedPreceding, 0)))
+    first = lambda place: F.min(F.when(F.col("upto") >= F.col(place), F.col("x")))
+    return near.groupBy(*by).agg(((first("low") + first("high")) / 2).alias("median"))
 
 
 def fertility(f: Facts, keys: Sequence[str] = ("tokenizer",)) -> DataFrame:
     """Tokens per unit: the mean over texts, and the other statistics."""
-    return by_language(f.docs.where("n_units > 0").withColumn("x", F.col("n_tokens") / F.col("n_units")), statistics(F.col("x")), keys)
+    return statistics(f.docs.where("n_units > 0"), F.col("n_tokens") / F.col("n_units"), keys)
 
 
 def token_length(f: Facts, keys: Sequence[str] = ("tokenizer",)) -> DataFrame:
     """Characters per token over texts."""
-    return f.docs.where("has_text and n_tokens > 0").withColumn("x", F.col("n_chars") / F.col("n_tokens")).groupBy(*keys).agg(*statistics(F.col("x")))
+    return statistics(f.docs.where("has_text and n_tokens > 0"), F.col("n_chars") / F.col("n_tokens"), keys, False)
 
 
 def tokens_per_line(f: Facts, keys: Sequence[str] = ("tokenizer",)) -> DataFrame:
-    return f.docs.where("has_text").withColumn("x", F.col("n_tokens") / F.col("n_lines")).groupBy(*keys).agg(*statistics(F.col("x")), F.sum("n_lines").alias("total_lines"))
+    x = statistics(f.docs.where("has_text"), F.col("n_tokens") / F.col("n_lines"), keys, False, ["n_lines"])
+    return x.withColumnRenamed("n_lines", "total_lines")
 
 
 def compression(f: Facts, keys: Sequence[str] = ("tokenizer",)) -> DataFrame:
     """Units per token; a mean of 1 where there are no texts."""
-    x = f.docs.where("has_text and n_tokens > 0").withColumn("x", F.col("n_units") / F.col("n_tokens"))
-    return by_language(x, statistics(F.col("x")), keys).withColumn("mean", F.coalesce("mean", F.lit(1.0)))
+    x = statistics(f.docs.where("has_text and n_tokens > 0"), F.col("n_units") / F.col("n_tokens"), keys)
+    return x.withColumn("mean", F.coalesce("mean", F.lit(1.0)))
 
 
 def pooled(f: Facts, keys: Sequence[str]) -> DataFrame:
@@ -154,8 +195,7 @@ def lorenz(f: Facts, keys: Sequence[str] = ("tokenizer",)) -> DataFrame:
 def unknown_share(tokens: DataFrame, tokenizers: DataFrame, keys: Sequence[str] = ("tokenizer",)) -> DataFrame:
     """Per cent of tokens that are the unknown one, over texts; only tokenizers that have it."""
     t = tokens.join(F.broadcast(tokenizers.where("unk_id is not null").select("tokenizer", F.col("unk_id").cast("string").alias("u"))), "tokenizer")
-    x = t.withColumn("x", 100.0 * F.size(F.filter("tokens", lambda k: k == F.col("u"))) / F.size("tokens"))
-    return by_language(x, statistics(F.col("x")), keys)
+    return statistics(t, 100.0 * F.size(F.filter("tokens", lambda k: k == F.col("u"))) / F.size("tokens"), keys)
 
 
 def redundancy(f: Facts, keys: Sequence[str] = ("tokenizer",)) -> DataFrame:

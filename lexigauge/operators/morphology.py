@@ -66,7 +66,7 @@ def aligned(text: str, tokens: list[str]) -> list[tuple[str, list[str]]]:
 
 
 def align_words(tokens: DataFrame) -> DataFrame:
-    """tokenizer, language, word, tokens, n: distinct words (two letters at least) with their tokens and how often they occur."""
+    """tokenizer, language, word, tokens, n: distinct words (two letters at least) with their tokens (strings) and how often they occur."""
 
     @F.pandas_udf("array<struct<word string, tokens array<string>>>")
     def pairs(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -198,7 +198,11 @@ def morph_score(tokens: DataFrame, lexicon: DataFrame, *, skip_single: bool = Tr
     Words that are one token or one morpheme are left out (skip_single). There is no code
     to compare this with.
     """
-    s = alignment(tokens, lexicon)
+    return morph_scores(alignment(tokens, lexicon), skip_single=skip_single)
+
+
+def morph_scores(s: DataFrame, *, skip_single: bool = True) -> DataFrame:
+    """morph_score() of words that are aligned already."""
     if skip_single:
         s = s.where((F.size("tokens") > 1) & (F.size("morphemes") > 1))
     gold, cut = F.size("morphemes") - 1, F.size("tokens") - 1

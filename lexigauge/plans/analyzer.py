@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import Any
 
 from pyspark import StorageLevel
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.measure import Measure
 from ..operators import metrics as M
 from ..operators import morphology
-from ..operators.encode import Tokenizer, encode, tokenizers_table
+from ..operators.encode import Tokenizer, encode, spelled, spelled_counts, tokenizers_table, vocabulary
 from ..operators.facts import Facts, doc_facts, token_counts, with_groups
 from ..operators.validate import checked, estimated_vocabulary
 
@@ -23,6 +23,18 @@ def _stats(r: Any) -> dict[str, float]:
     return {s: r[s] for s in M.STATS}
 
 
+#: A further metric: a frame of facts and key columns, with the tokenizer among its columns.
+Metric = Callable[[Facts, Sequence[str]], DataFrame]
+METRICS: dict[str, Metric] = {}
+
+
+def register_metric(name: str, f: Metric) -> None:
+    """Every analyzer made from now on has this metric, by tokenizer and by group."""
+    if not callable(f):
+        raise TypeError("a metric is registered by a function of facts and keys")
+    METRICS[name] = f
+
+
 class Analyzer:
     """Tokens and facts of a corpus; results() runs the metrics.
 
@@ -30,9 +42,11 @@ class Analyzer:
     lets them go. Both are far smaller than the corpus.
     """
 
-    def __init__(self, tokens: DataFrame, tokenizers: DataFrame | None = None, *, measure: Measure = Measure(), lexicon: DataFrame | None = None, groups: DataFrame | None = None, strict: bool = False):
+    def __init__(self, tokens: DataFrame, tokenizers: DataFrame | None = None, *, measure: Measure = Measure(), lexicon: DataFrame | None = None, groups: DataFrame | None = None, strict: bool = False, known: Sequence[Tokenizer] = (), plugins: dict[str, Metric] | None = None):
         self.tokens = checked(tokens, tokenizers) if strict else tokens
-        self.lexicon, self.groups = lexicon, groups
+        self.lexicon, self.groups, self.known = lexicon, groups, list(known)
+        self.plugins = METRICS | (plugins or {})
+        self._aligned: DataFrame | None = None
         sizes = tokenizers if tokenizers is not None else estimated_vocabulary(tokens)
         keep = StorageLevel.MEMORY_AND_DISK
         self.facts = Facts(doc_facts(tokens, measure).persist(keep), token_counts(tokens).persist(keep), sizes, measure)
@@ -40,7 +54,7 @@ class Analyzer:
     @classmethod
     def of_corpus(cls, corpus: DataFrame, tokenizers: list[Tokenizer], **kw: Any) -> Analyzer:
         """corpus: doc_id, language, text."""
-        return cls(encode(corpus, tokenizers, strict=kw.get("strict", False)), tokenizers_table(corpus.sparkSession, tokenizers), **kw)
+        return cls(encode(corpus, tokenizers, strict=kw.get("strict", False)), tokenizers_table(corpus.sparkSession, tokenizers), known=tokenizers, **kw)
 
     @classmethod
     def of_tokens(cls, tokens: DataFrame, vocab_sizes: dict[str, int] | None = None, **kw: Any) -> Analyzer:
@@ -57,11 +71,13 @@ class Analyzer:
             raise ValueError(f"tokenizers given twice: {sorted(both)}")
         made = encode(corpus, tokenizers)
         sizes = tokenizers_table(spark, tokenizers).unionByName(estimated_vocabulary(tokens).withColumn("unk_id", F.lit(None).cast("int")))
-        return cls(made.unionByName(tokens.select(made.columns)), sizes, **kw)
+        return cls(made.unionByName(tokens.select(made.columns)), sizes, known=tokenizers, **kw)
 
     def close(self) -> None:
         self.facts.docs.unpersist()
         self.facts.counts.unpersist()
+        if self._aligned is not None:
+            self._aligned.unpersist()
 
     def register_views(self, prefix: str = "") -> list[str]:
         """Facts and metrics as temporary views, for Spark SQL; their names."""
@@ -85,8 +101,22 @@ class Analyzer:
             "tokenizer_fairness_gini": M.gini(f, keys),
             "language_costs": M.language_costs(f, keys),
             "lorenz_curve_data": M.lorenz(f, keys),
+            **self._unknown(keys, f),
+            **{n: g(f, keys) for n, g in self.plugins.items()},
         }
 
+    def _unknown(self, keys: Sequence[str], f: Facts) -> dict[str, DataFrame]:
+        """Per cent of unknown tokens, if any tokenizer has an unknown one."""
+        if f.tokenizers is None or "unk_id" not in f.tokenizers.columns:
+            return {}
+        groups = [k for k in keys if k != "tokenizer"]
+        tokens = with_groups(self.tokens, self.groups) if groups else self.tokens
+        return {"unknown_share": M.unknown_share(tokens, f.tokenizers, keys)}
+
+    def spelled_counts(self) -> DataFrame:
+        """Token counts with the tokens' strings and ids, of tokenizers that have a vocabulary."""
+        return spelled_counts(self.facts.counts, vocabulary(self.facts.counts.sparkSession, self.known))
+
     def results(self, only: Sequence[str] | None = None) -> dict[str, Any]:
         """Nested results; with a lexicon also morphology, with groups also grouped_analysis. only: tokenizers to compare."""
         rows = {n: d.collect() for n, d in self.frames().items()}
@@ -103,17 +133,31 @@ class Analyzer:
             out["grouped_analysis"] = {}
             for (kind, name), x in sorted(got.items()):
                 out["grouped_analysis"].setdefault(kind, {})[name] = nested(x, f.measure, only)
+            if self.lexicon is not None:
+                for kind, names in out["grouped_analysis"].items():
+                    for name, x in names.items():
+                        members = {r[0] for r in self.groups.where((F.col("group_type") == kind) & (F.col("group_name") == name)).select("language").collect()}
+                        x |= self.morphology(only, members)
         return out
 
-    def morphology(self, only: Sequence[str] | None = None) -> dict[str, Any]:
-        scored = morphology.alignment(self.tokens, self.lexicon)
+    def aligned(self) -> DataFrame:
+        """Scores of distinct words, kept while the analyzer is in use: a row for each tokenizer, language, word and its tokens."""
+        if self._aligned is None:
+            self._aligned = morphology.alignment(spelled(self.tokens, self.known), self.lexicon).persist(StorageLevel.MEMORY_AND_DISK)
+        return self._aligned
+
+    def morphology(self, only: Sequence[str] | None = None, languages: set[str] | None = None) -> dict[str, Any]:
+        """Morphological alignment and MorphScore, of all languages or some."""
+        scored = self.aligned()
+        if languages is not None:
+            scored = scored.where(F.col("language").isin(sorted(languages)))
         langs = morphology.by_language(scored)
         per: dict[str, Any] = {}
         for r in langs.collect():
             per.setdefault(r["tokenizer"], {}).setdefault(r["metric"], {})[r["language"]] = {k: r[k] for k in ("count", "mean", "std")}
         brief = {r["tokenizer"]: {k: v for k, v in r.asDict().items() if k != "tokenizer"} for r in morphology.summary(langs).collect()}
         ms: dict[str, Any] = {}
-        for r in morphology.morph_score(self.tokens, self.lexicon).collect():
+        for r in morphology.morph_scores(scored).collect():
             ms.setdefault(r["tokenizer"], {"per_language": {}})["per_language"][r["language"]] = {k: r[k] for k in ("morphscore_recall", "morphscore_precision", "micro_f1", "macro_f1", "num_samples")}
         for x in ms.values():
             langs_ = list(x["per_language"].values())
@@ -203,6 +247,14 @@ def nested(rows: dict[str, list], measure: Measure, only: Sequence[str] | None =
             continue
         c = costs[t]
         per("lorenz_curve_data", t).update(x_values=[x["x"] for x in p], y_values=[x["y"] for x in p], equality_line=[x["x"] for x in p], sorted_languages=[x[0] for x in c], sorted_costs=[x[1] for x in c], total_cost=sum(x[1] for x in c), n_languages=len(c))
+    for x in r.get("unknown_share", []):
+        p = out.setdefault("unknown_share", {"per_tokenizer": {t: {} for t in names}})["per_tokenizer"][x["tokenizer"]]
+        if x["language"] is None:
+            p["global"] = _stats(x)
+        else:
+            p.setdefault("per_language", {})[x["language"]] = _stats(x)
+    for n in set(r) - KNOWN:
+        out[n] = {"per_tokenizer": {t: [{k: v for k, v in x.asDict().items() if k not in ("tokenizer", *GROUP)} for x in r[n] if x["tokenizer"] == t] for t in names}}
     if len(names) > 1:
         pick = lambda n, *path: {t: _deep(out[n]["per_tokenizer"][t], path) for t in names}
         out["fertility"]["pairwise_comparisons"] = compared(pick("fertility", "global", "mean"))
@@ -212,6 +264,10 @@ def nested(rows: dict[str, list], measure: Measure, only: Sequence[str] | None =
     return out
 
 
+#: Frames that nested() gives a form of their own; those of further metrics stay rows.
+KNOWN = {"fertility", "token_length", "vocabulary_utilization", "type_token_ratio", "avg_tokens_per_line", "compression_ratio", "renyi_efficiency", "unigram_distribution_metrics", "tokenizer_fairness_gini", "language_costs", "lorenz_curve_data", "unknown_share"}
+
+
 def _deep(x: Any, path: Sequence[str]) -> Any:
     for k in path:
         x = x.get(k) if isinstance(x, dict) else None
