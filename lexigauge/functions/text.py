@@ -35,11 +35,12 @@ def sentences(c: Column, least: int = 5) -> Column:
     return _long_enough(F.split(c, r"(?U)[.!?]+\s+", -1), least)
 
 
-def chunks(c: Column, size: int = 500, most: int = 100) -> Column:
-    """Pieces of size code points, stripped and not empty, at most most; a shorter text is itself."""
+def chunks(c: Column, size: int = 500, most: int | None = 100) -> Column:
+    """Pieces of size code points, stripped and not empty, at most most (all if None); a shorter text is itself."""
     n = F.length(c)
     cut = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n / size).cast("int") - 1, F.lit(0))), lambda i: strip(F.substring(c, i * size + 1, F.lit(size))))
-    return F.when(n <= size, F.filter(F.array(c), not_blank)).otherwise(F.slice(F.filter(cut, lambda x: x != ""), 1, most))
+    some = F.filter(cut, lambda x: x != "")
+    return F.when(n <= size, F.filter(F.array(c), not_blank)).otherwise(some if most is None else F.slice(some, 1, most))
 
 
 def fallback_parts(c: Column, most: int = 100) -> Column:

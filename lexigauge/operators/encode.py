@@ -141,7 +141,7 @@ def ranked(config: dict[str, Any]) -> Tokenizer:
     enc = _ranks(path, pattern)
     encode = lambda texts: [_ranks(path, pattern).encode_ordinary(t) for t in texts]
     decode = lambda ids: [_ranks(path, pattern).decode(list(map(int, x))) for x in ids]
-    vocab = {enc.decode_single_token_bytes(i).decode("latin-1"): i for i in range(enc.n_vocab) if i in set(enc._mergeable_ranks.values())} if config.get("vocab", True) else None
+    vocab = {token.decode("latin-1"): i for token, i in enc._mergeable_ranks.items()} if config.get("vocab", True) else None
     spell = lambda ids: [_ranks(path, pattern).decode_single_token_bytes(i).decode("utf-8", "replace") for i in ids]
     return Tokenizer(config.get("name", "ranked"), _arrow(encode, "array<int>"), vocab, None, config.get("preprocess"), _arrow(decode, "string"), spell=spell)
 

@@ -66,9 +66,8 @@ class Analyzer:
     def mixed(cls, corpus: DataFrame, tokenizers: list[Tokenizer], tokens: DataFrame, **kw: Any) -> Analyzer:
         """Encoded texts beside tokens that were given; names must not meet."""
         spark = corpus.sparkSession
-        both = {t.name for t in tokenizers} & {r[0] for r in tokens.select("tokenizer").distinct().collect()}
-        if both:
-            raise ValueError(f"tokenizers given twice: {sorted(both)}")
+        if both := name_conflicts(tokenizers, tokens):
+            raise ValueError(f"tokenizers given twice: {both}")
         made = encode(corpus, tokenizers)
         sizes = tokenizers_table(spark, tokenizers).unionByName(estimated_vocabulary(tokens).withColumn("unk_id", F.lit(None).cast("int")))
         return cls(made.unionByName(tokens.select(made.columns)), sizes, known=tokenizers, **kw)
@@ -171,6 +170,11 @@ class Analyzer:
         return {"morphological_alignment": {"per_tokenizer": pick(per), "summary": pick(brief)}, "morphscore": {"per_tokenizer": pick(ms)}}
 
 
+def name_conflicts(tokenizers: list[Tokenizer], tokens: DataFrame) -> list[str]:
+    """Names of tokenizers that tokens have already. A table has few tokenizers."""
+    return sorted({t.name for t in tokenizers} & {r[0] for r in tokens.select("tokenizer").distinct().collect()})
+
+
 def compared(values: dict[str, float | None]) -> dict[str, dict[str, Any]]:
     """Each two tokenizers' values."""
     out = {}

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from ..functions import script, text
 from ..functions.measure import PRESETS, Measure, n_units
 from ..operators import metrics as M
-from ..operators import morphology, training
+from ..operators import morphology, training, validate
 from ..operators.encode import encode, tokenizer
 from ..operators.facts import with_groups
 from ..operators.vocab import numbered
+from .analyzer import name_conflicts
 from .corpus import capped, document_facts, documents, native_tokenizers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -226,24 +227,17 @@ def corpus_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capped(documents(spark, sf_dir), 50, ["doc_id"]).select("doc_id", "language")
 
 
-@query(
-    """SELECT origin, count(*) AS texts, CAST(sum(length(text)) AS BIGINT) AS chars FROM (
-SELECT 'documents' AS origin, text FROM documents UNION ALL SELECT 'benchmark', text FROM benchmark UNION ALL SELECT 'conversations', text FROM conversations) GROUP BY origin"""
-)
-def mixed_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet").select(F.lit(n).alias("origin"), "text")
-    return one("documents").unionByName(one("benchmark")).unionByName(one("conversations")).groupBy("origin").agg(F.count("*").alias("texts"), F.sum(F.length("text")).alias("chars"))
-
-
-@query("SELECT DISTINCT lang AS language FROM documents INTERSECT SELECT * FROM (VALUES ('de'), ('en'), ('sr'))")
+@query(f"SELECT tokenizer FROM (VALUES ('word_punct'), ('whitespace')) t(tokenizer) INTERSECT SELECT * FROM (VALUES ('word_punct'), ('other')) t(tokenizer)")
 def conflict_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("language").intersect(spark.createDataFrame([("de",), ("en",), ("sr",)], "language string"))
+    """Names that encoded and given tokens have both."""
+    given = documents(spark, sf_dir).select(F.explode(F.array(F.lit("word_punct"), F.lit("other"))).alias("tokenizer"))
+    return spark.createDataFrame([(x,) for x in name_conflicts(native_tokenizers(), given)], "tokenizer string")
 
 
-@query("SELECT 'missing' AS problem, language FROM ((SELECT * FROM (VALUES ('de'), ('en'), ('sr')) t(language)) EXCEPT SELECT lang FROM documents) UNION ALL SELECT 'unexpected', lang FROM (SELECT DISTINCT lang FROM documents EXCEPT SELECT * FROM (VALUES ('de'), ('en'), ('sr')))")
+@query("WITH want(language) AS (VALUES ('de'), ('en'), ('sr')) SELECT 'whitespace' AS tokenizer, language, 'missing' AS problem FROM (SELECT * FROM want EXCEPT SELECT lang FROM documents) UNION ALL SELECT 'whitespace', lang, 'unexpected' FROM (SELECT lang FROM documents EXCEPT SELECT * FROM want)")
 def missing_except(spark: SparkSession, sf_dir: str) -> DataFrame:
-    want, have = spark.createDataFrame([("de",), ("en",), ("sr",)], "language string"), documents(spark, sf_dir).select("language").distinct()
-    return want.exceptAll(have).select(F.lit("missing").alias("problem"), "language").unionByName(have.exceptAll(want).select(F.lit("unexpected").alias("problem"), "language"))
+    want = spark.createDataFrame([("whitespace", x) for x in ("de", "en", "sr")], "tokenizer string, language string")
+    return validate.coverage(encode(documents(spark, sf_dir), [tokenizer("whitespace")]), want).select("tokenizer", "language", "problem")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -252,12 +246,11 @@ def coverage_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {TOKENS}, t AS (SELECT tokenizer, language, len(tokens) AS n, length(text) AS c FROM tok)
-SELECT tokenizer, count(*) AS texts, CAST(sum(n) AS BIGINT) AS tokens, CAST(min(n) AS BIGINT) AS least, CAST(max(n) AS BIGINT) AS most, count(DISTINCT language) AS languages, count(*) FILTER (n > c) AS more_tokens_than_chars FROM t GROUP BY tokenizer"""
+    f"""WITH {TOKENS}, t AS (SELECT tokenizer, language, len(tokens) AS n FROM tok WHERE len(tokens) > 0)
+SELECT tokenizer, count(*) AS texts, CAST(sum(n) AS BIGINT) AS tokens, count(DISTINCT language) AS languages, CAST(min(n) AS BIGINT) AS least, CAST(max(n) AS BIGINT) AS most, 1.0::DOUBLE AS text_share FROM t GROUP BY tokenizer"""
 )
 def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = encode(documents(spark, sf_dir), native_tokenizers()).withColumn("n", F.size("tokens").cast("bigint"))
-    return t.groupBy("tokenizer").agg(F.count("*").alias("texts"), F.sum("n").alias("tokens"), F.min("n").alias("least"), F.max("n").alias("most"), F.countDistinct("language").alias("languages"), F.count_if(F.col("n") > F.length("text")).alias("more_tokens_than_chars"))
+    return validate.statistics(encode(documents(spark, sf_dir), native_tokenizers()))
 
 
 @query("SELECT doc_id, trim(regexp_replace(text, '[\\s\\x1c-\\x1f]+', ' ', 'g')) AS cleaned FROM documents")
@@ -290,10 +283,10 @@ def text_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH c AS (SELECT doc_id, text, unnest(range(0, CAST(greatest(ceil(length(text) / 500), 1) AS BIGINT))) AS i FROM documents),
 s AS (SELECT doc_id, i, CASE WHEN length(text) <= 500 THEN text ELSE {STRIP("substr(text, i * 500 + 1, 500)")} END AS part FROM c)
-SELECT doc_id, part FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM s WHERE part <> '') WHERE n <= 100"""
+SELECT doc_id, part FROM s WHERE part <> ''"""
 )
 def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", F.explode(text.chunks(F.col("text"))).alias("part"))
+    return documents(spark, sf_dir).select("doc_id", F.explode(text.chunks(F.col("text"), most=None)).alias("part"))
 
 
 @query(f"SELECT doc_id, {STRIP('''replace(replace(regexp_replace(text, ' +', ' ', 'g'), chr(10) || ' ', chr(10)), ' ' || chr(10), chr(10))''')} AS normal FROM documents")
@@ -311,7 +304,13 @@ def text_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", *[n_units(F.col("text"), PRESETS[n]).alias(n) for n in names], n_units(F.col("text"), Measure("words", include_empty=True)).alias("words_kept_empty"))
 
 
-TRANSLIT = "replace(replace(replace(text, 'lj', 'љ'), 'nj', 'њ'), 'dž', 'џ')"
+TRANSLIT = "text"
+for _two, _one in (("lj", "љ"), ("nj", "њ"), ("dž", "џ")):
+    for _a, _b in ((_two, _one), (_two.capitalize(), _one.upper()), (_two.upper(), _one.upper())):
+        TRANSLIT = f"replace({TRANSLIT}, '{_a}', '{_b}')"
+BACK = "text"
+for _two in ("LJ", "NJ", "DŽ"):
+    BACK = f"replace({BACK}, '{_two}', '{_two.capitalize()}')"
 
 
 @query(f"SELECT doc_id, translate(text, '{script.LATIN}', '{script.CYRILLIC}') AS cyrillic FROM documents")
@@ -319,17 +318,11 @@ def translit_to_cyrillic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", script.to_cyrillic(F.col("text")).alias("cyrillic"))
 
 
-@query(f"SELECT doc_id, {'translate(' + TRANSLIT + f''', '{script.LATIN}', '{script.CYRILLIC}')'''} AS cyrillic, text AS latin FROM documents WHERE NOT regexp_matches(text, 'LJ|NJ|DŽ|Lj|Nj|Dž')")
+@query(f"SELECT doc_id, translate({TRANSLIT}, '{script.LATIN}', '{script.CYRILLIC}') AS cyrillic, {BACK} AS latin FROM documents")
 def translit_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """To Cyrillic with digraphs as one letter and back, for texts whose digraphs are in one case."""
-    x = documents(spark, sf_dir).where(~F.regexp_like("text", F.lit("LJ|NJ|DŽ|Lj|Nj|Dž")))
+    """To Cyrillic with digraphs as one letter and back; digraphs in capitals come back with one capital."""
     c = script.to_cyrillic(F.col("text"), digraphs=True)
-    return x.select("doc_id", c.alias("cyrillic"), script.to_latin(c).alias("latin"))
-
-
-@query("SELECT doc_id, 'latin' AS script FROM documents")
-def script_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", script.dominant_script(F.col("text")).alias("script"))
+    return documents(spark, sf_dir).select("doc_id", c.alias("cyrillic"), script.to_latin(c).alias("latin"))
 
 
 @query(f"WITH {TOKENS}, v AS (SELECT tokenizer, token, CAST(row_number() OVER (PARTITION BY tokenizer ORDER BY sum(cnt) DESC, token) - 1 AS BIGINT) AS token_id FROM counts GROUP BY tokenizer, token) SELECT c.tokenizer, c.language, v.token_id, c.cnt FROM counts c JOIN v USING (tokenizer, token)")
@@ -412,11 +405,6 @@ def factored_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", factored(F.col("text"), True)["text"].alias("factored"))
 
 
-@query()
-def casing_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", script.mark_casing(F.col("text")).alias("marked"))
-
-
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

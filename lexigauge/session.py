@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -30,6 +32,21 @@ def get_session(app: str = "lexigauge", cores: int | None = None, **conf: str) -
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset, a temporary folder if driver and executors are one process, else ValueError."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if top:
+        return top
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="lexigauge-")
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/lexigauge/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors' Python, once a session: their path need not have it."""
     sc = spark.sparkContext

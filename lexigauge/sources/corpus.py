@@ -33,12 +33,12 @@ def _kept(df: DataFrame, text: Column) -> DataFrame:
     return x.where(F.col("text").isNotNull() & (F.col("text") != ""))
 
 
-def read_text(spark: SparkSession, path: str) -> DataFrame:
+def read_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One text a line; blank lines stay as empty texts, which encoding drops."""
     return spark.read.text(path).select(normalize(F.col("value")).alias("text"), F.input_file_name().alias("source"), F.monotonically_increasing_id().alias("pos"))
 
 
-def read_json(spark: SparkSession, path: str, lines: bool | None = None) -> DataFrame:
+def read_json(spark: SparkSession, path: str | list[str], lines: bool | None = None) -> DataFrame:
     """An array of objects with text, one such object, or one object a line; lines that are no JSON are skipped.
 
     lines None: the first character of the file's first line that is not blank decides.
@@ -62,9 +62,9 @@ def text_column(schema: T.StructType, wanted: str | None = None) -> str:
     return found
 
 
-def read_parquet(spark: SparkSession, path: str, column: str | None = None) -> DataFrame:
+def read_parquet(spark: SparkSession, path: str | list[str], column: str | None = None) -> DataFrame:
     """Only the text column is read. Null, blank and `nan` texts go."""
-    df = spark.read.parquet(path)
+    df = spark.read.parquet(*([path] if isinstance(path, str) else path))
     c = F.col(f"`{text_column(df.schema, column)}`")
     return _kept(df.where(c.isNotNull()), c).where("text <> 'nan'")
 
@@ -102,10 +102,16 @@ def listed(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_language(spark: SparkSession, path: str, language: str, most: int | None = None) -> DataFrame:
-    """All texts under path, or the first most by format, file and place."""
+    """All texts under path, or the first most by format, file and place. Files of one format are one scan, but for JSON, whose form each file has for itself."""
+    scans: list[tuple[int, DataFrame]] = []
+    files = listed(spark, path)
+    for kinds, read in ((("jsonl",), lambda fs: read_json(spark, fs, True)), (("parquet",), lambda fs: read_parquet(spark, fs)), (("txt", "text"), lambda fs: read_text(spark, fs))):
+        if mine := [f for f in files if _kind(f) in kinds]:
+            scans.append((RANK[kinds[0]], read(mine)))
+    scans += [(RANK.get(_kind(f), 0), read_file(spark, f)) for f in files if _kind(f) not in ("jsonl", "parquet", "txt", "text")]
     out = spark.createDataFrame([], "text string, source string, pos long, rank int")
-    for k, f in enumerate(listed(spark, path)):
-        out = out.unionByName(read_file(spark, f).withColumn("rank", F.lit(k)))
+    for rank, x in scans:
+        out = out.unionByName(x.withColumn("rank", F.lit(rank)))
     if most is not None:
         out = out.orderBy("rank", "source", "pos").limit(most)
     return out.select(F.lit(language).alias("language"), "text", "source", F.struct("rank", "pos").alias("place"))
@@ -121,7 +127,8 @@ def read_corpus(spark: SparkSession, metadata: LanguageMetadata, most: int | Non
             out = x if out is None else out.unionByName(x)
     if out is None:
         return spark.createDataFrame([], "language string, doc_id string, text string, source string")
-    return out.select("language", F.concat_ws("-", "language", "place.rank", "place.pos").alias("doc_id"), "text", "source")
+    name = F.substring_index("source", "/", -1)
+    return out.select("language", F.concat_ws("-", "language", "place.rank", "place.pos", name).alias("doc_id"), "text", "source")
 
 
 class LanguageMetadata:
@@ -247,12 +254,13 @@ def read_lexicons(spark: SparkSession, config: dict[str, str]) -> DataFrame:
 
 
 def training_set(df: DataFrame, name: str) -> DataFrame:
-    """id (name_n) and text without sentence tags; empty texts go. n is a hash, so no order is needed."""
+    """id (name_ and a digest of the text) and text without sentence tags; empty texts go."""
     x = df.select(strip(without_sentence_tags(F.col("text"))).alias("text")).where("text <> ''")
-    return x.select(F.concat(F.lit(f"{name}_"), F.hex(F.xxhash64("text"))).alias("id"), "text")
+    return x.select(F.concat(F.lit(f"{name}_"), F.substring(F.md5("text"), 1, 16)).alias("id"), "text")
 
 
 def split(df: DataFrame, share: float = 0.75, seed: int = 23, by: str = "id") -> tuple[DataFrame, DataFrame]:
-    """Training and test rows by a hash of by: the same row is always on the same side."""
-    low = F.pmod(F.xxhash64(F.lit(seed), F.col(by)), F.lit(1 << 20)) < int(share * (1 << 20))
+    """Training and test rows by a digest of seed and by: the same row is always on the same side."""
+    number = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(by).cast("string"))), 1, 8), 16, 10).cast("bigint")
+    low = number < int(share * (1 << 32))
     return df.where(low), df.where(~low)
