@@ -6,11 +6,14 @@ and behave alike for null and repeated ids.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -47,6 +50,17 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def portions(batches: Iterator[pa.RecordBatch], column: int, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about size bytes of a string column, a row at least."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        n = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        cuts = np.flatnonzero(np.diff((np.cumsum(n) - n) // size)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            yield batch.slice(a, b - a)
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     """A string column as bytes objects; null stays None."""
     if pa.types.is_null(column.type):
@@ -75,11 +89,18 @@ def annotate(df: DataFrame, text_col: str, fields: list[tuple[str, str]], make:
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the cluster's shared checkpoint folder; without that setting (tests), in a temporary folder."""
+    """A new path in the cluster's shared checkpoint folder."""
+    return f"{shared_folder(spark).rstrip('/')}/lexigauge/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset, a temporary folder if driver and executors are one process, else ValueError."""
     top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = "file://" + tempfile.mkdtemp(prefix="lexigauge-")
-    return f"{top.rstrip('/')}/lexigauge/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
+    if top:
+        return top
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="lexigauge-")
 
 
 def clear_scratch(spark: SparkSession) -> None:
@@ -103,8 +124,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """checkpoint() into the session's folder, which is set here only where it is unset (tests)."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        top = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(top or tempfile.mkdtemp(prefix="lexigauge-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(True)
 
 

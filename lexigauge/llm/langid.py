@@ -11,8 +11,6 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
-from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +20,9 @@ from pyspark.sql import functions as F
 from .common import OWN, annotate, cached_in_worker, pieces, stored, utf8
 from .sampling import bounded_each, held_out
 
-#: Labelled rows of each language that a fit uses at most, about.
-SAMPLE = 12_000
-#: Words, and n-grams of each length, that a model keeps of each language at most: its most frequent.
-WORDS, GRAMS = 100_000, 40_000
+#: Labelled rows of each language that a fit uses at most, about. All their words and n-grams are known.
+SAMPLE = 3_000
 LONGEST = 5
-#: Occurrences that make a word or n-gram known.
-LEAST = 3
 #: ASCII letters and all longer characters make words.
 LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -80,27 +74,25 @@ def counted(rows: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Log frequencies by language of known words and n-grams."""
+    """Log frequencies by language of known words (table 0) and n-grams: of each table the items and their counts by language."""
 
-    def __init__(self, langs: list[str], tables: list[dict[str, list[int]]]):
+    def __init__(self, langs: list[str], tables: list[tuple[list[str], np.ndarray]]):
         self.langs = langs
         self.tables: list[tuple[dict[str, int], np.ndarray]] = []
-        for t in tables:
-            k = np.array(list(t.values()), np.float64).reshape(len(t), len(langs))
-            total = k.sum(0) + 0.5 * (len(t) + 1)
-            logs = np.log((k + 0.5) / total)
-            self.tables.append(({x: i for i, x in enumerate(t)}, logs))
+        for items, k in tables:
+            total = k.sum(0) + 0.5 * (len(items) + 1)
+            self.tables.append(({x: i for i, x in enumerate(items)}, np.log((k + 0.5) / total).astype(np.float32)))
 
     def word(self, w: bytes) -> np.ndarray:
         at, logs = self.tables[0]
         s = w.decode("utf-8", "replace")
         if s in at:
-            return logs[at[s]]
+            return logs[at[s]].astype(np.float64)
         for n in range(LONGEST, 0, -1):
             at, logs = self.tables[n]
             if found := [at[g] for g in grams(w, n) if g in at]:
                 # an unseen word is one piece of evidence, not one for each n-gram
-                return logs[found].mean(0)
+                return logs[found].mean(0, dtype=np.float64)
         return np.zeros(len(self.langs))
 
 
@@ -129,26 +121,24 @@ class Rows(dict):
         return np.bincount(at, minlength=1) @ self.logs[: at.max() + 1] if len(at) > 50_000 else self.logs[at].sum(0)
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, words_kept: int = WORDS, grams_kept: int = GRAMS) -> Model:
-    """Fit on about sample rows of each language; null texts say nothing."""
-    rows = bounded_each(docs, lang_col, id_col, sample).select(F.col(lang_col).cast("string"), F.col(text_col).cast("string"))
-    langs = sorted(r[0] for r in rows.select(lang_col).distinct().collect())
-    counts = counted(rows).where(F.col("k") > 0)
-    wide = counts.groupBy("n", "item").agg(*[F.sum(F.when(F.col("lang") == x, F.col("k")).otherwise(0)).alias(f"l{i}") for i, x in enumerate(langs)], F.sum("k").alias("all")).where(F.col("all") >= LEAST) if langs else None
-    wide = stored(wide, "langid") if langs else None
-    own = [f"l{i}" for i in range(len(langs))]
-    sizes = {r["n"]: r for r in wide.groupBy("n").agg(*[F.count_if(F.col(c) > 0).alias(c) for c in own]).collect()} if langs else {}
-    tables: list[dict[str, list[int]]] = []
+def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
+    """Fit on about sample rows of each language that has a text, chosen row by row; null texts and languages say nothing.
+
+    Repeated rows count as often as they are chosen; without any row the model knows no language.
+    """
+    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("text is not null and lang is not null")
+    counts = stored(counted(bounded_each(rows, "lang", sample)), "langid")
+    langs = sorted(r[0] for r in rows.select("lang").distinct().collect())
+    if not langs:
+        return Model([], [([], np.zeros((0, 0)))] * (LONGEST + 1))
+    wide = counts.groupBy("n", "item").agg(*[F.sum(F.when(F.col("lang") == x, F.col("k")).otherwise(0)).alias(f"l{i}") for i, x in enumerate(langs)])
+    tables: list[tuple[list[str], np.ndarray]] = []
     for n in range(LONGEST + 1):
-        most, here, t = grams_kept if n else words_kept, wide.where(F.col("n") == n) if langs else None, {}
-        if n in sizes:
-            over = [c for c in own if sizes[n][c] > most]
-            within = [F.col(c) > 0 for c in own if c not in over]
-            parts = [here.where(reduce(or_, within))] if within else []
-            for part in parts + [here.orderBy(F.desc(c), "item").limit(most) for c in over]:
-                top = part.toArrow()
-                t.update(zip(top["item"].to_pylist(), zip(*(top[c].to_pylist() for c in own), strict=True), strict=True))
-        tables.append(t)
+        got = wide.where(F.col("n") == n).toArrow()
+        items = got["item"].to_pylist()
+        k = np.stack([got[f"l{i}"].to_numpy() for i in range(len(langs))], 1).astype(np.float64) if items else np.zeros((0, len(langs)))
+        order = np.argsort(np.array(items, dtype=object)) if items else np.zeros(0, np.int64)
+        tables.append(([items[i] for i in order], k[order]))
     return Model(langs, tables)
 
 
@@ -156,18 +146,21 @@ def predicted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
     """docs with OWN-prefixed lang_pred and score, the posterior of that language.
 
     Texts that are null or have no letter, and all texts if no language was learned, are
-    `und` with score 0. Ties go to the first language by name.
+    `und` with score 0. Ties go to the first language by name. Rows are independent, so
+    repeated rows and ids are alike; very long texts are read as a whole; an empty table gives
+    no rows. The model's size is bounded by the sample it was fitted on.
     """
     import pickle
 
-    blob = pickle.dumps((model.langs, model.tables))
+    blob = pickle.dumps((model.langs, [(list(at), logs) for at, logs in model.tables]))
     key = f"langid:{zlib.crc32(blob)}"
     held = docs.sparkSession.sparkContext.broadcast(blob)
 
     def make():
         def build():
             m = Model([], [])
-            m.langs, m.tables = pickle.loads(held.value)
+            m.langs, tables = pickle.loads(held.value)
+            m.tables = [({x: i for i, x in enumerate(items)}, logs) for items, logs in tables]
             return Rows(m)
 
         rows = cached_in_worker(key, build)
@@ -197,5 +190,5 @@ def predicted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
 def digest(docs: DataFrame) -> DataFrame:
     """The contract's columns: learned outside the held-out fold, predicted for every whole text."""
     test = held_out("doc_id", 4, 2)
-    model = fit(docs.select("doc_id", "text", "lang").where(~test))
+    model = fit(docs.where(~test).select("text", "lang"))
     return predicted(docs.select("doc_id", "text"), model).select("doc_id", test.alias("held_out"), F.col(OWN + "lang_pred").alias("lang_pred"), F.col(OWN + "score").alias("score"))

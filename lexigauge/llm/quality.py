@@ -200,11 +200,17 @@ LEAST = 0.5
 
 
 def graded(docs: DataFrame, labels: DataFrame, least: float = LEAST) -> DataFrame:
-    """doc_id, expected_grade, tail_prob, kept of every document; repeated and null ids are scored row by row."""
+    """doc_id, expected_grade, tail_prob, kept of every document.
+
+    Null and empty texts are scored by their emptiness; repeated rows and null ids row by row;
+    very long texts as a whole; ties at least are kept; an empty table gives no rows; extra
+    columns are left out. Labels that are null or of no document say nothing; of repeated
+    labels of one id the largest counts.
+    """
     x = scored(docs.select("doc_id", "text"), fit(docs, labels))
     return x.select("doc_id", F.col(OWN + "expected_grade").alias("expected_grade"), F.col(OWN + "tail").alias("tail_prob"), (F.col(OWN + "tail") >= least).alias("kept"))
 
 
 def selected(docs: DataFrame, labels: DataFrame, least: float = LEAST) -> DataFrame:
-    """Documents that are kept, with their own columns."""
+    """Documents that graded() keeps, with their own columns, row by row."""
     return scored(docs, fit(docs, labels)).where(F.col(OWN + "tail") >= least).select(*[F.col(f"`{c}`") for c in docs.columns])

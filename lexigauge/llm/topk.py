@@ -147,7 +147,7 @@ def fit(vectors: DataFrame, pivots: int = PIVOTS, sample: int = SAMPLE) -> Index
     if r["dim"] is None:
         return None
     dim = max(1, r["dim"])
-    few = bounded(vectors, "id", sample).toArrow().combine_chunks()
+    few = bounded(vectors, sample).toArrow().combine_chunks()
     lists = few["v"].combine_chunks()
     lists = lists if isinstance(lists, pa.ListArray) else lists.chunk(0)
     ids = few["id"].to_numpy()

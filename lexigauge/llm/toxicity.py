@@ -96,7 +96,7 @@ def telling(counts: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def bags(rows: DataFrame, chosen: np.ndarray) -> DataFrame:
-    """For fitting: y, number of chosen places of each sentence, those places (each once a sentence)."""
+    """For fitting: y, weight, number of chosen places of each sentence, those places (each once a sentence)."""
     bits = np.packbits(chosen).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,21 +107,23 @@ def bags(rows: DataFrame, chosen: np.ndarray) -> DataFrame:
                 found = [{p for w in s for p in get[w]} for s in sentences(text)]
                 sizes.append([len(x) for x in found])
                 at.append([p for x in found for p in sorted(x)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.list_(pa.int32())), pa.array(at, pa.list_(pa.int32()))], names=["y", "sizes", "places"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sizes, pa.list_(pa.int32())), pa.array(at, pa.list_(pa.int32()))], names=["y", "weight", "sizes", "places"])
 
-    return rows.mapInArrow(run, "y double, sizes array<int>, places array<int>")
+    return rows.mapInArrow(run, "y double, weight double, sizes array<int>, places array<int>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, rounds: int = 80) -> tuple[np.ndarray, float]:
-    """Weights and bias from about sample labelled rows; without both labels, a bias that gives their mean for any text."""
-    rows = labelled(docs, labels, id_col, text_col, label_col, sample)
-    rows = stored(rows.select((F.col(OWN + "y") > 0).cast("double").alias("y"), OWN + "text"), "labelled")
+    """Weights and bias from about sample labelled rows, as many toxic ones as others if there are enough, weighted back to
+    their shares; without both labels, a bias that gives their mean for any text."""
+    one = labels.select(id_col, (F.col(label_col) > 0).cast("double").alias(label_col))
+    rows = labelled(docs, one, id_col, text_col, label_col, sample, balanced=True)
+    rows = stored(rows.select(F.col(OWN + "y").alias("y"), OWN + "text", F.col(OWN + "weight").alias("weight")), "labelled")
     size = 1 << BITS
     y = rows.select("y").toArrow()["y"].to_numpy()
     if not 0 < y.sum() < len(y):
         return np.zeros(size, np.float32), -20.0 if not y.sum() else 20.0
     got = bags(rows, telling(document_counts(rows), y)).toArrow().combine_chunks()
-    y = got["y"].to_numpy()
+    y, weight = got["y"].to_numpy(), got["weight"].to_numpy()
 
     def lists(name: str) -> tuple[np.ndarray, np.ndarray]:
         c = got[name].combine_chunks()
@@ -132,11 +134,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     col, _ = lists("places")
     doc = np.repeat(np.arange(len(y)), per_doc)
     sent = np.repeat(np.arange(len(sizes)), sizes)
-    return descend(sent, col, doc, y, len(sizes), size, rounds)
+    return descend(sent, col, doc, y, len(sizes), size, rounds, weight=weight)
 
 
-def descend(sent: np.ndarray, col: np.ndarray, doc: np.ndarray, y: np.ndarray, n: int, size: int, rounds: int, l2: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Likelihood of the noisy-or by Adam: with S = sum of log(1 - p) over a bag, P(toxic) = 1 - exp(S)."""
+def descend(sent: np.ndarray, col: np.ndarray, doc: np.ndarray, y: np.ndarray, n: int, size: int, rounds: int, l2: float = 1e-4, weight: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Likelihood of the noisy-or by Adam: with S = sum of log(1 - p) over a bag, P(toxic) = 1 - exp(S). weight: how many documents one stands for."""
+    each = np.full(len(y), 1 / len(y)) if weight is None else weight / weight.sum()
     use, col = np.unique(col, return_inverse=True)
     w, bias = np.zeros(len(use) + 1), -6.0
     m, v = np.zeros_like(w), np.zeros_like(w)
@@ -144,7 +147,7 @@ def descend(sent: np.ndarray, col: np.ndarray, doc: np.ndarray, y: np.ndarray, n
         z = np.bincount(sent, w[col], n) + bias + w[-1]
         p = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
         s = np.minimum(np.bincount(doc, -np.logaddexp(0, z), len(y)), -1e-9)
-        g = np.where(y > 0, np.exp(s) / -np.expm1(s), -1.0) / len(y)
+        g = np.where(y > 0, np.exp(s) / -np.expm1(s), -1.0) * each
         dz = p * g[doc]
         grad = np.concatenate([np.bincount(col, dz[sent], len(use)) - l2 * w[:-1], [dz.sum()]])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
@@ -169,7 +172,9 @@ class WordWeights(dict):
 def scored(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text") -> DataFrame:
     """docs with OWN-prefixed score and worst (the number of the sentence likeliest to be toxic, from 0).
 
-    A text without words is a bag of one empty sentence.
+    A null, empty or wordless text is a bag of one empty sentence. Rows are independent, so
+    repeated rows and ids are alike; very long texts are read as a whole; ties of sentences
+    go to the first; an empty table gives no rows.
     """
     weights, bias = model
     blob = weights.tobytes()
