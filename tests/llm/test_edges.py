@@ -1,12 +1,14 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, extra columns with clashing names."""
 
 import hashlib
+import math
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexigauge.llm import decontam, dedup, hmm, langid, packing, pii, quality, token_files, toxicity
+from lexigauge.llm import decontam, dedup, hmm, langid, packing, pii, quality, sampling, token_files, topk, toxicity
 
 LONG = "lorem ipsum dolor " * 20_000
 ROWS = [(1, "the cat sat", "en"), (1, "the cat sat", "en"), (2, None, None), (3, "", "de"), (None, "x y z", "fr"), (4, LONG, None), (5, "   \n", "en"), (6, "\U0001f600 ; ;", "en"), (7, "the dog ran", "en"), (7, "der Hund lief", "de")]
@@ -79,15 +81,30 @@ def test_language(docs, none):
 
 def test_language_rare(spark):
     hot = [(i, f"alpha beta gamma w{i % 50} w{i % 49}x", "hot") for i in range(2000)]
-    d = spark.createDataFrame([*hot, *((5000 + i, "omega psi chi", "rare") for i in range(3))], "doc_id long, text string, lang string")
-    m = langid.fit(d, sample=100, words_kept=5, grams_kept=5)
-    assert m.langs == ["hot", "rare"]
-    assert {"omega", "psi", "chi", "alpha", "beta", "gamma"} <= set(m.tables[0][0])
-    assert len(m.tables[0][0]) == 8 and all(len(t[0]) <= 10 for t in m.tables[1:])
+    d = spark.createDataFrame([*hot, *((5000 + i, "omega psi chi", "rare") for i in range(3)), (9000, None, "silent"), (9001, "tau", None)], "doc_id long, text string, lang string")
+    m = langid.fit(d, sample=100)
+    assert m.langs == ["hot", "rare"]  # of a language without texts nothing is learned
+    assert {"omega", "psi", "chi", "alpha", "beta", "gamma"} <= set(m.tables[0][0]) and "tau" not in m.tables[0][0]
     asked = spark.createDataFrame([(1, "psi omega"), (2, "gamma beta")], "doc_id long, text string")
     assert [r["__lx_lang_pred"] for r in langid.predicted(asked, m).orderBy("doc_id").collect()] == ["rare", "hot"]
 
 
+def test_samples_are_of_rows(spark):
+    """One id, or none, on all rows: a sample is bounded all the same."""
+    d = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("x").alias("text"), F.lit("en").alias("lang"))
+    assert 50 < sampling.bounded(d, 200).count() < 400
+    assert 50 < sampling.bounded_each(d, "lang", 200).count() < 400
+    labels = spark.createDataFrame([(7, 1)], "doc_id long, quality int")
+    same = d.withColumn("doc_id", F.lit(7).cast("long"))
+    assert 50 < sampling.labelled(same, labels, "doc_id", "text", "quality", 200).count() < 400
+    many = spark.range(4000).select(F.col("id").alias("doc_id"), (F.col("id") % 20 == 0).cast("int").alias("toxic"))
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    got = sampling.labelled(docs, many, "doc_id", "text", "toxic", 400, balanced=True).collect()
+    toxic = [r for r in got if r["__lx_y"] == 1]
+    assert len(toxic) == 200 and 120 < len(got) - len(toxic) < 300
+    assert abs(sum(r["__lx_weight"] for r in got) - 4000) < 1200
+
+
 def test_near_duplicates(docs, none):
     rows = dedup.near_duplicates(docs, size=3, num=85).collect()
     by = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in rows}
@@ -119,6 +136,32 @@ def test_language_model(docs, none):
     assert hmm.digest(none).count() == 0
 
 
+def test_language_model_without_training(spark):
+    """Every document held out: scores are finite, and each token is as likely as the unseen one."""
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
+    d = spark.createDataFrame([(i, "a b a") for i in ids], "doc_id long, text string")
+    rows = hmm.digest(d).collect()
+    assert len(rows) == 3 and all(math.isfinite(r.score) and r.score <= 0 and r.n_known == 0 and r.train_tokens == 0 and r.base_score == 0 for r in rows)
+
+
+def test_language_model_long_words(spark):
+    """Words of any length are known by what they are, and are counted once however often they occur."""
+    long = "x" * 100_000
+    d = spark.createDataFrame([(1, f"{long} a {long}"), (1, f"{long}y"), (3, "a")], "doc_id long, text string")
+    counts = hmm.counted(d.select("text"))
+    assert {r.c for r in counts.where(F.length("token") > 30).collect()} == {2, 1}
+    rows = hmm.scored(d, hmm.train(d, counts, passes=1), counts).collect()
+    assert all(r.n_known == r.n_tokens and math.isfinite(r.score) for r in rows)
+
+
+def test_top_k(spark):
+    d = spark.createDataFrame([(None, [1.0]), (20, [1.0, 0.5]), (20, [1.0, 0.5]), (1, None), (2, []), (3, [2.0]), (4, [2.0])], "vec_id long, embedding array<double>")
+    d = d.withColumns({c: F.lit("own") for c in ("id", "v", "a", "salt", "score", "rank", "chunk")})
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in topk.digest(d).orderBy("query_id", "rank").collect()]
+    assert got == [(20, 1, 3, 64 * 128), (20, 2, 4, 64 * 128), (20, 3, 2, 0)]
+    assert topk.digest(d.where("1 = 0")).count() == 0 and topk.digest(d.where("vec_id < 5")).count() == 0
+
+
 def test_personal_data(docs, none):
     assert pii.digest(docs).where("spans <> ''").count() == 0
     r = pii.redacted(docs)
