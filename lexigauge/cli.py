@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import argparse
 import json
+import logging
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from .functions.measure import PRESETS, Measure
 from .operators.encode import from_config, tokenizer
-from .plans import report
+from .plans import figures, report
 from .plans.analyzer import Analyzer
 from .session import get_session
 from .sources.corpus import LanguageMetadata, read_corpus, read_lexicons, read_tokenized, read_vocabulary
@@ -45,6 +47,8 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("--no-errors", action="store_true")
     out.add_argument("--no-plots", action="store_true")
     out.add_argument("--quiet", action="store_true")
+    out.add_argument("--verbose", action="store_true", help="log what is done")
+    out.add_argument("--create-sample-configs", metavar="FOLDER", help="write one configuration of each kind and stop")
     return p
 
 
@@ -55,8 +59,28 @@ def _json(path: str | None):
         return json.load(f)
 
 
+#: A configuration of each kind, to start from.
+SAMPLES = {
+    "languages.json": {"languages": {"en": {"name": "English", "iso_code": "eng", "data_path": "data/en"}, "de": "data/de.jsonl"}, "analysis_groups": {"script_families": {"latin": ["en", "de"]}}},
+    "tokenizers.json": {"words": {"class": "word_punct"}, "bpe": {"class": "huggingface", "path": "tokenizer.json"}, "plot_tokenizers": ["words", "bpe"]},
+    "measure.json": {"method": "bytes", "byte_counting": "utf8"},
+    "morphology.json": {"ladec": "lexicons/ladec.tsv", "morphynet": "lexicons/morphynet.tsv"},
+    "tables.json": {"short": {"metrics": ["fertility", "type_token_ratio"], "caption": "Two metrics", "label": "short"}},
+}
+
+
+def write_samples(folder: str) -> list[str]:
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    for name, x in SAMPLES.items():
+        Path(folder, name).write_text(json.dumps(x, indent=2), encoding="utf-8")
+    return sorted(SAMPLES)
+
+
 def main(argv: Sequence[str] | None = None) -> dict:
     a = parser().parse_args(argv)
+    logging.basicConfig(level=logging.INFO if a.verbose else logging.WARNING, format="%(asctime)s %(name)s %(levelname)s %(message)s")
+    if a.create_sample_configs:
+        return {"written": write_samples(a.create_sample_configs)}
     spark = get_session()
     measure = Measure.from_dict(_json(a.measurement_config)) if a.measurement_config else PRESETS[a.measure]
     meta = LanguageMetadata(a.language_config) if a.language_config else None
@@ -93,11 +117,12 @@ def main(argv: Sequence[str] | None = None) -> dict:
     if not a.no_tables:
         report.write_tables(results, names, f"{a.output_dir}/latex_tables", _json(a.custom_tables), bold_best=not a.no_bold, errors=not a.no_errors)
     if not a.no_plots:
-        report.draw(report.plot_data(results, shown), f"{a.output_dir}/plots")
+        figures.draw(report.plot_data(results, shown), shown, f"{a.output_dir}/plots")
     if a.save_tokenized_data:
         write_cache(an.tokens, made, a.save_tokenized_data)
     if not a.quiet:
-        print(report.summary_text(results, shown))
+        print("\n".join(filter(None, [report.summary_text(results, shown), report.morphology_text(results, shown)])))
+    logging.getLogger(__name__).info("%s", json.dumps(report.analysis_summary(results, shown)))
     an.close()
     return results
 

@@ -120,35 +120,13 @@ def plot_data(results: dict, tokenizers: Sequence[str]) -> dict[str, Any]:
     for key, pick in (("fertility", lambda x: x["mean"]), ("compression_ratio", lambda x: x), ("vocabulary_utilization", lambda x: x["utilization"]), ("unigram_distribution_metrics", lambda x: x["unigram_entropy"])):
         for t in tokenizers:
             for lang, x in results.get(key, {}).get("per_tokenizer", {}).get(t, {}).get("per_language", {}).items():
-                by_lang.setdefault(key, {}).setdefault(lang, {})[t] = pick(x)
+                if pick(x) is not None:
+                    by_lang.setdefault(key, {}).setdefault(lang, {})[t] = pick(x)
     curves = {t: {"x": x["x_values"], "y": x["y_values"]} for t in tokenizers if "x_values" in (x := results.get("lorenz_curve_data", {}).get("per_tokenizer", {}).get(t, {}))}
     groups = {kind: {g: plot_data(r, tokenizers)["bars"] for g, r in gs.items()} for kind, gs in results.get("grouped_analysis", {}).items()}
     return {"bars": bars, "by_language": by_lang, "lorenz": curves, "grouped": groups}
 
 
-def draw(data: dict[str, Any], folder: str, kind: str = "svg") -> list[str]:
-    """Figures of plot_data; without a plotting library, the data as JSON."""
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    try:
-        import matplotlib
-
-        matplotlib.use("Agg")
-        from matplotlib import pyplot
-    except ImportError:
-        write_json(data, f"{folder}/plot_data.json")
-        return [f"{folder}/plot_data.json"]
-    out = []
-    for name, d in data["bars"].items():
-        fig, ax = pyplot.subplots()
-        ax.bar([b["tokenizer"] for b in d["bars"]], [b["value"] for b in d["bars"]], yerr=[b["error"] or 0 for b in d["bars"]])
-        ax.axhline(d["mean"], linestyle="--")
-        ax.set_title(d["title"])
-        fig.savefig(f"{folder}/{name}.{kind}")
-        pyplot.close(fig)
-        out.append(f"{folder}/{name}.{kind}")
-    return out
-
-
 def summary_text(results: dict, tokenizers: Sequence[str]) -> str:
     """A plain table of all columns that have values."""
     cols = [c for c in COLUMNS if any(at(results, COLUMNS[c][1], t) is not None for t in tokenizers)]
@@ -157,3 +135,33 @@ def summary_text(results: dict, tokenizers: Sequence[str]) -> str:
         cells = [(v * COLUMNS[c][5] if (v := at(results, COLUMNS[c][1], t)) is not None else None) for c in cols]
         lines.append(t.ljust(24) + "".join(("---" if v is None else f"{v:.4f}").rjust(24) for v in cells))
     return "\n".join(lines)
+
+
+def morphology_text(results: dict, tokenizers: Sequence[str]) -> str:
+    """Alignment and MorphScore by tokenizer and language, as text; empty without either."""
+    lines: list[str] = []
+    per, brief = (results.get("morphological_alignment", {}).get(k, {}) for k in ("per_tokenizer", "summary"))
+    for t in tokenizers:
+        if t in brief:
+            x = brief[t]
+            lines.append(f"{t}: boundary F1 {x['avg_boundary_f1']:.4f}, morphemes kept {x['avg_morpheme_preservation']:.4f}, {x['total_words_analyzed']} words of {x['languages_analyzed']} languages")
+            lines += [f"  {lang}: F1 {v['mean']:.4f} (std {v['std']:.4f}, {v['count']} words)" for lang, v in sorted(per.get(t, {}).get("boundary_f1", {}).items())]
+    for t in tokenizers:
+        x = results.get("morphscore", {}).get("per_tokenizer", {}).get(t)
+        if x:
+            b = x["summary"]
+            lines.append(f"{t}: MorphScore recall {b['avg_morphscore_recall']:.4f}, precision {b['avg_morphscore_precision']:.4f}, {b['total_samples']} words")
+            lines += [f"  {lang}: recall {v['morphscore_recall']:.4f}, precision {v['morphscore_precision']:.4f} ({v['num_samples']} words)" for lang, v in sorted(x["per_language"].items())]
+    return "\n".join(lines)
+
+
+def analysis_summary(results: dict, tokenizers: Sequence[str]) -> dict[str, Any]:
+    """What an analysis covers: tokenizers, languages, texts, metrics and groups."""
+    fert = results.get("fertility", {}).get("per_tokenizer", {})
+    return {
+        "tokenizers": list(tokenizers),
+        "languages": sorted({lang for t in tokenizers for lang in fert.get(t, {}).get("per_language", {})}),
+        "texts": {t: fert[t]["global"]["count"] for t in tokenizers if "global" in fert.get(t, {})},
+        "metrics": sorted(k for k in results if k != "grouped_analysis"),
+        "groups": {k: sorted(v) for k, v in results.get("grouped_analysis", {}).items()},
+    }

@@ -1,6 +1,8 @@
 """Sources, analyzer, reports, command line and training helpers."""
 
 import json
+from pathlib import Path
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,8 +10,8 @@ from pyspark.sql import functions as F
 from lexigauge.cli import main
 from lexigauge.operators import training
 from lexigauge.operators.encode import tokenizer
-from lexigauge.plans import report
-from lexigauge.plans.analyzer import Analyzer
+from lexigauge.plans import figures, report
+from lexigauge.plans.analyzer import METRICS, Analyzer, register_metric
 from lexigauge.sources import corpus as S
 from lexigauge.sources.sinks import write_cache, write_examples, write_training
 
@@ -82,8 +84,16 @@ def test_results(analysed, tmp_path):
     made = report.write_tables(analysed, names, str(tmp_path), {"own": {"metrics": ["fertility"], "caption": "C", "label": "l"}})
     assert any("own" in m for m in made) and "\\caption{C}" in (tmp_path / "own_table.tex").read_text()
     d = report.plot_data(analysed, names)
-    assert d["lorenz"]["char"]["x"][0] == 0.0 and report.draw(d, str(tmp_path / "p"))
+    assert d["lorenz"]["char"]["x"][0] == 0.0
+    made = {Path(p).stem: Path(p).read_text() for p in figures.draw(d, names, str(tmp_path / "p"), {"char": "Characters <1>"})}
+    assert {"fertility", "lorenz_curves", "fertility_by_language", "fertility_faceted", "family_fertility", "morphological_alignment"} <= set(made)
+    for svg in made.values():
+        ElementTree.fromstring(svg)
+    assert "Characters &lt;1&gt;" in made["fertility"] and made["lorenz_curves"].count("<polyline") == 2 and made["fertility_by_language"].count("<rect") == 1 + 4 + 2
     assert "whitespace" in report.summary_text(analysed, names)
+    assert "whitespace: boundary F1" in report.morphology_text(analysed, names)
+    assert report.analysis_summary(analysed, names)["languages"] == ["de", "en"]
+    assert analysed["grouped_analysis"]["family"]["west"]["morphological_alignment"]["summary"]["whitespace"]["total_words_analyzed"] == 1
 
 
 def test_table_layout():
@@ -113,6 +123,38 @@ def test_command_line(tmp_path):
     assert (tmp_path / "analysis_results.json").exists() and (tmp_path / "latex_tables" / "basic_metrics_table.tex").exists()
     with pytest.raises(SystemExit):
         main(["--quiet"])
+    assert main(["--create-sample-configs", str(tmp_path / "c")])["written"] == ["languages.json", "measure.json", "morphology.json", "tables.json", "tokenizers.json"]
+    assert S.LanguageMetadata(str(tmp_path / "c" / "languages.json")).group_members("script_family", "latin") == ["en", "de"]
+
+
+def test_stored_tokenizer_morphology(spark):
+    """Ids are spelled before they meet morphemes; counts get their strings by the vocabulary."""
+    import public_tokenizers as P
+
+    docs = spark.createDataFrame([(1, "en", "eating mention")], "doc_id long, language string, text string")
+    lex = spark.createDataFrame([("en", "x", "eating", ["eat", "ing"], 0), ("en", "x", "mention", ["men", "tion"], 0)], "language string, dataset string, word string, morphemes array<string>, dataset_priority int")
+    a = Analyzer.of_corpus(docs, [tokenizer("huggingface", name="bpe", path=P.path("byte_bpe_50k.json")), tokenizer("whitespace")], lexicon=lex)
+    got = {(r.tokenizer, r.word): r.tokens for r in a.aligned().collect()}
+    assert "".join(got["bpe", "eating"]) == "eating" and "".join(got["bpe", "mention"]) == "mention"
+    named = {r.token: r.token_id for r in a.spelled_counts().where("tokenizer = 'bpe'").collect()}
+    assert named["Ġmention"] == 3068 and all(i is not None for i in named.values())
+    a.close()
+
+
+def test_median_and_plugins(spark):
+    from lexigauge.operators import metrics as M
+
+    rows = [("t", "en", float(x)) for x in (3, 1, 2, 2)] + [("t", "de", float(x)) for x in (0, 5, 9)] + [("u", None, 7.0)]
+    df = spark.createDataFrame(rows, "tokenizer string, language string, v double")
+    got = {(r.tokenizer, r.language, r["count"]): (r.median, r.mean, r["min"], r["max"], r["std_err"]) for r in M.statistics(df, F.col("v"), ["tokenizer"]).collect()}
+    assert got["t", "en", 4][:2] == (2.0, 2.0) and got["t", "de", 3][0] == 5.0 and got["t", None, 7][0] == 2.0
+    assert got["u", None, 1] == (7.0, 7.0, 7.0, 7.0, None)
+    register_metric("texts", lambda f, keys: f.docs.groupBy(*keys).agg(F.count("*").alias("n")))
+    try:
+        docs = spark.createDataFrame([(1, "en", "a b")], "doc_id long, language string, text string")
+        assert Analyzer.of_corpus(docs, [tokenizer("char")]).results()["texts"]["per_tokenizer"]["char"] == [{"n": 1}]
+    finally:
+        METRICS.clear()
 
 
 def test_mixed(spark):
