@@ -145,7 +145,7 @@ def with_sets(df: DataFrame, size: int) -> DataFrame:
 
 
 def common(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
-    """Sizes of all intersections of a left and a right set; without right, of any two left ones."""
+    """Sizes of all intersections of a left and a right set; without right, of any two different left ones."""
     every = [*left, *(right or [])]
     flat = np.concatenate(every)
     row = np.repeat(np.arange(len(every)), [len(x) for x in every])

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from operator import attrgetter
 
 from .common import cached_in_worker
 
@@ -18,7 +19,12 @@ KEEP = 400_000
 #: Space not preceded by white space (Python's, a superset of the library's).
 CUT = re.compile(r"(?<=\S)(?= )")
 #: Chunks of letters up to U+024F, of which every Unicode version agrees that they are letters, ASCII marks but the apostrophe, and a second such line start.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)(?:\n([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*))?")
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)(?:\n([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*))?").fullmatch
+
+
+ID = attrgetter("id")
+#: The last letter of PLAIN; letters below it that PLAIN leaves out; marks that often end words.
+LAST_LATIN, RARE, MARKS = "ɏ", re.compile("[ªµº]").search, frozenset(".,;:!?")
 
 
 def byte_chars() -> dict[int, str]:
@@ -40,8 +46,10 @@ class Encoder(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.chars = byte_chars()
+        shown = byte_chars()
+        self.shown = {c: "".join(shown[b] for b in chr(c).encode()) for c in range(0x80, 0x250)}
         self.old: dict[str, bytes] = {}
+        self.starts: dict[str, bytes] = {"": b""}
         self.stops: dict[str, bytes] = {"": b""}
 
     def whole(self, text: str) -> bytes:
@@ -54,19 +62,35 @@ class Encoder(dict):
             self.stops[text] = self.whole(text)
         return self.stops[text]
 
+    def start(self, first: str) -> bytes:
+        """What stands before a text's first space."""
+        if first not in self.starts:
+            if len(self.starts) > 10_000:
+                self.starts = {"": b""}
+            # letters alone are one pre-token; longer beginnings are seldom seen twice
+            if not (first.isascii() and first.isalpha()):
+                return self.whole(first)
+            self.starts[first] = self.letters("", first)
+        return self.starts[first]
+
     def letters(self, space: str, word: str) -> bytes:
         """One pre-token, given to the model without the library's pattern search."""
-        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.chars)
-        return array("I", [t.id for t in self.model.tokenize(space + shown)]).tobytes()
+        shown = word if word.isascii() else word.translate(self.shown)
+        return array("I", map(ID, self.model.tokenize(space + shown))).tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.old.get(chunk)
         if ids is None:
-            if not chunk or chunk[-1].isspace():
+            if chunk.isalpha() and (chunk.isascii() or max(chunk) <= LAST_LATIN and not RARE(chunk)):
+                ids = self.letters("Ġ", chunk)
+            elif chunk[-1:] in MARKS and (word := chunk[:-1]).isalpha() and word.isascii():
+                # a word before a mark is a chunk that other places have without one
+                ids = self[word] + self.stop(chunk[-1])
+            elif not chunk or chunk[-1].isspace():
                 raise Unsafe
-            if m := PLAIN.fullmatch(chunk):
+            elif m := PLAIN(chunk):
                 word, rest, below, end = m.groups()
-                ids = self.letters("Ġ", word) + self.stop(rest)
+                ids = self[word] + self.stop(rest) if rest or below else self.letters("Ġ", word)
                 if below:
                     ids += self.stop("\n") + self.letters("", below) + self.stop(end)
             else:
@@ -85,7 +109,7 @@ class Encoder(dict):
             first, *rest = text.split(" ")
             if first[-1:].isspace():
                 raise Unsafe
-            return (self.whole(first) if first else b"") + b"".join(map(self.__getitem__, rest))
+            return self.start(first) + b"".join(map(self.__getitem__, rest))
         except Unsafe:
             first, *rest = CUT.split(text)
             if not rest:

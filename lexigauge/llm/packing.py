@@ -18,8 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces as short
-from .common import stored, utf8
+from .common import portions, stored
 from .encode import default_tokenizer, encoder
 
 SIZE, END = 1024, 2
@@ -36,10 +35,10 @@ def cut(df: DataFrame, id_col: str, text_col: str, tokenizer: str, size: int, en
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         last = b"" if end is None else np.array([end], "<u4").tobytes()
-        for b in short(batches, 128):
+        for b in portions(batches, 1):
             rows, out = [], []
-            for i, x in enumerate(utf8(b.column(1))):
-                raw = enc.encode(x.decode() if x else "") + last
+            for i, x in enumerate(b.column(1).to_pylist()):
+                raw = enc.encode(x or "") + last
                 n = len(raw) // 4
                 first = n if n <= size else n % size or size
                 at = [0, *range(first, n + 1, size)] if n else [0, 0]
@@ -169,9 +168,10 @@ def places(chosen: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
 def packed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, size: int = SIZE, end: int | None = END) -> DataFrame:
     """Every piece of every document with sequence_id and offset, as the contract has it.
 
-    Null and empty texts have the end id alone; repeated rows are packed each for itself;
-    null ids are packed too; an empty table gives no rows. No sequence is longer than
-    size, and none has a gap.
+    Null and empty texts have the end id alone; very long texts are cut into as many pieces
+    as they need; repeated rows, whose order among themselves does not show, are packed each
+    for itself; null ids are packed too; an empty table gives no rows; extra columns are left
+    out. No sequence is longer than size, and none has a gap.
     """
     id_type = df.schema[id_col].dataType.simpleString()
     src = df.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))

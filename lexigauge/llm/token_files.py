@@ -7,7 +7,6 @@ and page indexes, so that a reader can take a range of documents or the lengths
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -16,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, scratch, utf8
+from .common import pieces, portions, scratch
 from .encode import default_tokenizer, encoder
 
 END = 2
@@ -29,10 +28,10 @@ def encoded(df: DataFrame, id_col: str, text_col: str, tokenizer: str, end: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         last = b"" if end is None else np.array([end], "<u4").tobytes()
-        for b in pieces(batches, 128):
-            raw = [enc.encode(x.decode() if x else "") + last for x in utf8(b.column(1))]
+        for b in portions(batches, 1):
+            raw = [enc.encode(x or "") + last for x in b.column(1).to_pylist()]
             n = np.array([len(x) // 4 for x in raw], np.int64)
-            ids = np.frombuffer(b"".join(raw), "<u4").astype(np.int32)
+            ids = np.frombuffer(b"".join(raw), "<i4")
             at = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.ListArray.from_arrays(pa.array(at), pa.array(ids))], names=[id_col, "n_tokens", "ids"])
 
@@ -45,7 +44,8 @@ def write_tokens(
     """Write docs' ids in ascending id order (nulls first); files in name order, rows in file order.
 
     encoding: "delta" (DELTA_BINARY_PACKED, format v2 pages) or "dictionary". Page indexes
-    are always written. Repeated ids stay, ordered by text; extra columns are left out.
+    are always written. Null and empty texts have the end id alone; repeated ids stay, ordered by
+    text; very long texts are one row; an empty table gives files without rows; extra columns are left out.
     """
     if encoding not in ("delta", "dictionary"):
         raise ValueError(f"encoding must be delta or dictionary, not {encoding!r}")
@@ -73,16 +73,17 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 def catalog(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """id, start (ids of all documents before it), n_tokens, ids_crc32, read back from the files.
 
-    Only one row a file is gathered to add up what stands before each file; within a file
-    the running sum goes by row.
+    Only one row a file is gathered to add up what stands before each file, in the order
+    of the files' numbers; within a file the running sum goes by row.
     """
     raw = spark.read.parquet(path)
     id_type = raw.schema[id_col].dataType.simpleString()
     at = read_tokens(spark, path)
-    src = at.select(id_col, F.substring_index("file", "/", -1).alias("file"), "row", "ids")
+    name = F.substring_index("file", "/", -1)
+    src = at.select(id_col, F.xxhash64(name).alias("file"), "row", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, 512):
+        for b in pieces(batches, 2048):
             lists = b.column(3)
             ids = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")
             n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
@@ -90,9 +91,11 @@ def catalog(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame
             crc = [zlib.crc32(ids[e - k : e]) for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n), pa.array(crc, pa.int64())], names=[id_col, "file", "row", "n_tokens", "ids_crc32"])
 
-    rows = src.mapInArrow(run, f"`{id_col}` {id_type}, file string, row long, n_tokens long, ids_crc32 long")
-    totals = at.groupBy(F.substring_index("file", "/", -1).alias("file")).agg(F.sum("n_tokens").alias("n"))
-    before = totals.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
+    rows = src.mapInArrow(run, f"`{id_col}` {id_type}, file long, row long, n_tokens long, ids_crc32 long")
+    totals = at.groupBy(name.alias("name")).agg(F.sum("n_tokens").alias("n"))
+    number = lambda p: F.regexp_extract("name", p, 1).try_cast("long")  # noqa: E731  as text, part-100000 is before part-99999
+    order = Window.orderBy(number(r"^part-(\d+)"), number(r"-c(\d+)\."), "name")
+    before = totals.select(F.xxhash64("name").alias("file"), (F.sum("n").over(order) - F.col("n")).alias("before"))
     w = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
     within = rows.withColumn("start", F.sum("n_tokens").over(w) - F.col("n_tokens"))
     return within.join(before, "file").select(F.col(id_col), (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
@@ -105,6 +108,3 @@ def round_trip(docs: DataFrame) -> DataFrame:
     write_tokens(docs, path)
     return catalog(spark, path)
 
-
-def size_on_disk(path: str) -> int:
-    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names)
