@@ -16,11 +16,6 @@ ISO_1_TO_2 = {"en": "eng", "de": "deu", "fr": "fra", "es": "spa", "it": "ita", "
 LEAST_WORD = 2
 
 
-def language_keys(language: str) -> list[str]:
-    """Codes to look a language up by, best first: its own, its three-letter code, the code before an underscore."""
-    return list(dict.fromkeys([language, ISO_1_TO_2.get(language, language), language.split("_")[0]]))
-
-
 def cleaned(tokens: Column) -> Column:
     """Tokens without their marks: the first of a leading space mark, ##, </w>, @@; special tokens and empty ones go."""
 
@@ -135,12 +130,11 @@ def score(word: str, tokens: list[str], morphemes: list[str]) -> dict[str, float
 SCORES = ("boundary_precision", "boundary_recall", "boundary_f1", "morpheme_preservation", "over_segmentation")
 
 
-def lexicon_keys(words: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """language, lang_key for the languages of words: the first of their codes that the lexicon has."""
-    known = {r[0] for r in lexicon.select("language").distinct().collect()}  # languages, a few
-    used = [r[0] for r in words.select("language").distinct().collect()]
-    rows = [(x, next((k for k in language_keys(x) if k in known), None)) for x in used]
-    return words.sparkSession.createDataFrame([r for r in rows if r[1]], "language string, lang_key string")
+def lexicon_key(language: Column, known: list[str]) -> Column:
+    """The code to look a language up by: its own, its three-letter code or the code before an underscore, the first that is known; null without any."""
+    iso = F.create_map(*[F.lit(x) for pair in ISO_1_TO_2.items() for x in pair])
+    codes = [language, F.coalesce(F.try_element_at(iso, language), language), F.split(language, "_")[0]]
+    return F.coalesce(*[F.when(c.isin(known), c) for c in codes])
 
 
 def best_entries(lexicon: DataFrame) -> DataFrame:
@@ -152,7 +146,8 @@ def best_entries(lexicon: DataFrame) -> DataFrame:
 
 def lookup(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Words that the lexicon has, with their morphemes. The join is left to the planner: a lexicon may be large."""
-    x = words.join(F.broadcast(lexicon_keys(words, lexicon)), "language").withColumn("__w", F.lower("word"))
+    known = [r[0] for r in lexicon.select("language").distinct().collect()]  # languages, a few
+    x = words.withColumn("lang_key", lexicon_key(F.col("language"), known)).where("lang_key is not null").withColumn("__w", F.lower("word"))
     return x.join(best_entries(lexicon).withColumnRenamed("word", "__w"), ["lang_key", "__w"]).drop("__w", "lang_key")
 
 
