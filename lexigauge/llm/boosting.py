@@ -85,9 +85,8 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return score[order], np.repeat([a for a, _ in means], [int(n) for _, n in means])
 
 
-def boosted(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, rate: float = 0.3, least: int = 8, sure: float = 0.95) -> Boosted:
-    """Fit on two thirds of the rows; the threshold is the least score whose calibrated probability on the rest is sure."""
-    test = np.arange(len(y)) % 3 == 2
+def boosted(x: np.ndarray, y: np.ndarray, test: np.ndarray, trees: int = 30, depth: int = 3, rate: float = 0.3, least: int = 8, sure: float = 0.95) -> Boosted:
+    """Fit on the rows not in test; the threshold is where the calibrated probability on test begins to be sure, even odds at least."""
     a, b = x[~test], y[~test]
     share = min(max(b.mean(), 1e-3), 1 - 1e-3)
     model = Boosted(float(np.log(share / (1 - share))), [])
@@ -99,5 +98,6 @@ def boosted(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, rate:
         f += [leaf(t, r) for r in a]
     score, prob = isotonic(model.raw(x[test]), y[test])
     good = np.flatnonzero(prob >= sure)
-    model.threshold = float(score[good[0]]) if len(good) else float("inf")
+    # between the least score that is sure and the next below it, and no less than even odds
+    model.threshold = max(0.0, float(score[good[0]] + score[max(0, good[0] - 1)]) / 2) if len(good) else float("inf")
     return model

@@ -1,13 +1,16 @@
 """The operators' parts against plain versions."""
 
+import math
 import random
+import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from lexigauge.llm import boosting, decontam, dedup, encode, graph, hmm, packing, pii, quality, topk
+from lexigauge.llm import boosting, decontam, dedup, encode, graph, hmm, langid, packing, pii, quality, token_files, topk, toxicity
 from lexigauge.llm.common import OWN
 
 
@@ -159,7 +162,8 @@ def test_common_shingles(monkeypatch):
     sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (1, 10, 40, 30, 7)]
     got = dedup.common(sets[:2], sets[2:])
     assert (got == [[len(np.intersect1d(a, b)) for b in sets[2:]] for a in sets[:2]]).all()
-    assert (dedup.common(sets) == [[len(np.intersect1d(a, b)) for b in sets] for a in sets]).all()
+    apart = ~np.eye(len(sets), dtype=bool)
+    assert (dedup.common(sets) == [[len(np.intersect1d(a, b)) for b in sets] for a in sets])[apart].all()
 
 
 def brute_hits(text, items):
@@ -202,7 +206,7 @@ def test_trees_as_sql(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 3))
     y = (x[:, 0] + x[:, 1] > 0).astype(float)
-    m = boosting.boosted(x, y, trees=5)
+    m = boosting.boosted(x, y, np.arange(300) % 3 == 2, trees=5)
     df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double")
     got = [r[0] for r in df.select(m.column([F.col(c) for c in "abc"])).collect()]
     assert got == pytest.approx(list(m.raw(x)))
@@ -278,7 +282,8 @@ def test_hmm_counts_whole_texts():
 def test_hmm_classes_grow(spark):
     counts = spark.createDataFrame([("", 5), *((f"w{i}", 1000 - 3 * i) for i in range(330))], "token string, c long")
     assert hmm.Model(spark, counts, 10, 1000, 2).classes == 301
-    assert hmm.Model(spark, counts, 10, 50, 2).classes == 50
+    few = hmm.Model(spark, counts, 10, 50, 2)
+    assert 40 <= few.classes == len(few.head) <= 50 and few.head[0] == b"w0" and few.c.min() >= 1000 - 3 * 50
     assert hmm.Model(spark, counts, 320, 1000, 2).classes == 320
 
 
@@ -314,3 +319,152 @@ def test_top_k_over_many_annuli(spark, monkeypatch):
     for i, g in got.items():
         want = sorted(((-int(q[i] @ q[j]), j) for j in q if j != i))[:20]
         assert [(v, -s) for s, v in want] == [(v, s) for _, v, s in sorted(g)]
+
+
+def test_hmm_scores_brute_force(spark):
+    """scored() against the plain recursion, with a head so small that most words are joined."""
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(rng.choices(vocab, [1 / (k + 1) for k in range(60)], k=rng.randint(0, 40)))) for i in range(80)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    learn = d.where("doc_id < 60")
+    counts = hmm.counted(learn.select("text"))
+    m = hmm.train(learn, counts, states=3, classes=4, head=12, warm=20, passes=1)
+    c = {r.token.encode(): r.c for r in counts.collect()}
+    assert 4 <= len(m.head) <= 12 and m.classes == 4
+    top, p = {w: i for i, w in enumerate(m.head[:4])}, m.params
+    assert p.emit.sum(0) == pytest.approx(1) and p.step.sum(1) == pytest.approx(1)
+    for r in hmm.scored(d, m, counts).collect():
+        w = dict(docs)[r.doc_id].encode().split()
+        total, a = 0.0, p.start
+        for k, x in enumerate([*w, None]):
+            obs = 5 if x is None else top.get(x, 4)
+            a = (a @ p.step if k else a) * p.emit[obs]
+            total += np.log10(a.sum())
+            a = a / a.sum()
+            if obs == 4:  # within the others' class, by add-one counts
+                total += np.log10((c.get(x, 0) + 1) / m.rest)
+        assert r.score == pytest.approx(total)
+
+
+def test_token_file_footers(spark, tmp_path):
+    """Encodings, row groups and page indexes as asked for, and a read of one range and column that leaves the rest."""
+    d = spark.range(4000).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 60), x -> concat('w', (id * 7 + x * x) % 997))) as text")
+    for encoding in ("delta", "dictionary"):
+        path = tmp_path / encoding
+        token_files.write_tokens(d, str(path), encoding=encoding, partitions=1, row_group_mb=1, page_kb=64)
+        files = sorted(path.glob("*.parquet"))
+        meta = pq.ParquetFile(files[0]).metadata
+        assert sum(pq.ParquetFile(f).metadata.num_rows for f in files) == 4000
+        cols = {meta.schema.column(i).path: i for i in range(meta.num_columns)}
+        ids = next(i for p, i in cols.items() if p.startswith("ids"))
+        for g in range(meta.num_row_groups):
+            x = meta.row_group(g).column(ids)
+            assert ("DELTA_BINARY_PACKED" in x.encodings) == (encoding == "delta")
+            assert any("DICTIONARY" in e for e in x.encodings) == (encoding == "dictionary")
+            assert x.compression == "ZSTD" and meta.row_group(g).column(cols["doc_id"]).has_offset_index
+        if encoding == "delta":
+            assert meta.num_row_groups > 1
+        got = token_files.read_tokens(spark, str(path)).where("doc_id between 100 and 103").select("doc_id", "n_tokens")
+        assert sorted((r.doc_id, r.n_tokens > 60) for r in got.collect()) == [(i, True) for i in range(100, 104)]
+        plan = got._jdf.queryExecution().toString()
+        scan = plan[plan.index("== Physical") :]
+        assert "GreaterThanOrEqual(doc_id,100)" in scan and "ids" not in scan.split("ReadSchema:")[1].split("\n")[0]
+
+
+def test_token_files_are_ordered_by_number(spark, tmp_path):
+    d = spark.createDataFrame([(i, "a b") for i in range(4)], "doc_id long, text string")
+    token_files.write_tokens(d, str(tmp_path / "x"), partitions=4)
+    for k, f in enumerate(sorted((tmp_path / "x").glob("part-*.parquet"))):
+        f.rename(f.with_name(f"part-{99998 + k}-0.c000.zstd.parquet"))
+    got = {r.doc_id: r.start for r in token_files.catalog(spark, str(tmp_path / "x")).collect()}
+    n = token_files.catalog(spark, str(tmp_path / "x")).first().n_tokens
+    assert got == {i: i * n for i in range(4)}
+
+
+def test_language_scores_brute_force(spark):
+    """predicted() against word-first backoff written plainly."""
+    texts = [(0, "der hund und die katze", "de"), (1, "the dog and the cat", "en"), (2, "le chien et le chat", "fr"), (3, "the cat sat", "en")]
+    m = langid.fit(spark.createDataFrame(texts, "doc_id long, text string, lang string"))
+    langs = ["de", "en", "fr"]
+    seen = {n: {x: [0] * 3 for x in ()} for n in range(6)}
+    for _, t, lang in texts:
+        for w in t.split():
+            for n in range(6):
+                for x in [w] if not n else [f" {w} "[i : i + n] for i in range(len(w) + 3 - n)]:
+                    seen[n].setdefault(x, [0] * 3)[langs.index(lang)] += 1
+
+    def log(n, x):
+        return [math.log((seen[n][x][k] + 0.5) / (sum(v[k] for v in seen[n].values()) + 0.5 * (len(seen[n]) + 1))) for k in range(3)]
+
+    asked = ["the dogs", "katzen hunde", "chats noirs", "zzz the", "a"]
+    got = langid.predicted(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), m).orderBy("doc_id").collect()
+    for t, r in zip(asked, got, strict=True):
+        total = [0.0] * 3
+        for w in t.split():
+            if w in seen[0]:
+                found = [log(0, w)]
+            else:
+                n = next((n for n in range(5, 0, -1) if any(g in seen[n] for g in langid.grams(w.encode(), n))), 0)
+                found = [log(n, g) for g in langid.grams(w.encode(), n) if g in seen[n]] if n else [[0.0] * 3]
+            total = [a + sum(x[k] for x in found) / len(found) for k, a in enumerate(total)]
+        best = max(range(3), key=lambda k: total[k])
+        assert r["__lx_lang_pred"] == langs[best]
+        assert r["__lx_score"] == pytest.approx(1 / sum(math.exp(x - total[best]) for x in total), rel=1e-4)
+
+
+def test_noisy_or_brute_force(spark):
+    rng = np.random.default_rng(3)
+    weights, bias = rng.normal(0, 1, 1 << toxicity.BITS).astype(np.float32), -2.0
+    texts = ["You are BAD. fine day! x", "", "one two three\nfour", "a a a. a"]
+    rows = toxicity.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), (weights, bias)).orderBy("doc_id").collect()
+    for t, r in zip(texts, rows, strict=True):
+        p = []
+        for s in re.split(r"[.!?\n]+", t.lower()):
+            if s.split():
+                p.append(1 / (1 + math.exp(-(sum(float(weights[toxicity.places(w.encode())].sum()) for w in set(s.split())) + bias))))
+        p = p or [1 / (1 + math.exp(-bias))]
+        assert r["__lx_score"] == pytest.approx(1 - math.prod(1 - x for x in p), rel=1e-5)
+        assert r["__lx_worst"] == p.index(max(p))
+
+
+def test_ordinal_scores_brute_force(spark):
+    rng = np.random.default_rng(4)
+    size = (2 << quality.BITS) + quality.EXTRA
+    m = quality.Ordinal([1.0, 2.0, 4.0], np.array([-0.5, 0.7]), rng.normal(0, 1, size).astype(np.float32))
+    texts = ["Some Words some words", "", None, "x x x x 12 34!"]
+    rows = quality.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), m).orderBy("doc_id").collect()
+    for t, r in zip(texts, rows, strict=True):
+        w = (t or "").encode().split()
+        z = sum(float(m.weights[k]) for x in w for k in quality.slots(x)) / max(1, len(w))
+        z += sum(float(m.weights[(2 << quality.BITS) + k]) * v for k, v in quality.whole_text(len(w), len(set(w)), sum(a == b for a, b in zip(w, w[1:], strict=False)), len(t or "") - len(w) + 1 if w else 0))
+        tails = [1 / (1 + math.exp(-(z - t))) for t in m.thresholds]
+        assert (r["__lx_score"], r["__lx_tail"]) == pytest.approx((z, tails[0]))
+        assert r["__lx_expected_grade"] == pytest.approx(1 + tails[0] + 2 * tails[1])
+
+
+def test_top_k_bounds_skip(spark):
+    """On clustered vectors, the triangle inequality leaves out most of them once a query's k-th score is known."""
+    rng = np.random.default_rng(0)
+    centres = rng.normal(size=(16, 32)) * 3
+    v = centres[rng.integers(0, 16, 2000)] + rng.normal(size=(2000, 32)) * 0.15
+    df = spark.createDataFrame([(i, [float(a) for a in x]) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    index = topk.fit(topk.valid(df, "vec_id", "embedding"))
+    w = np.floor(64 * v).astype(np.int64)
+    asked = w[::20]
+    scores = asked @ w.T
+    scores[np.arange(len(asked)), np.arange(0, 2000, 20)] = -(10**15)
+    tau = np.sort(scores, 1)[:, -20].astype(float)
+    qq, d, _ = index.asked(asked)
+    p, dist, _ = index.keyed(w)
+    inside = index.best(qq[:, None], np.abs(d[:, p] - dist[None, :])) >= tau[:, None]
+    assert (inside | (scores < tau[:, None])).all()  # nothing of the result is left out
+    assert inside.mean() < 0.2
+
+
+def test_added_spans_of_templates_kept_from_fitting(spark):
+    """Precision and recall on templates that the trees have not seen."""
+    for kind, m in pii.models(spark).items():
+        x, y, held = pii.judged_examples(spark, kind)
+        found = m.raw(x[held]) >= m.threshold
+        assert found[y[held] > 0].mean() >= 0.95 and (y[held][found] > 0).mean() >= 0.95
