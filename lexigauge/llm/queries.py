@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, dedup, hmm, langid, packing, pii, quality, token_files, topk, toxicity
+from . import alignment, decontam, dedup, hmm, langid, packing, pii, quality, token_files, topk, toxicity
 from .common import table
 from .sql import ORACLES
 
@@ -51,7 +51,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_top_k, op3_decontamination, op4_packing, op5_language, op6_near_duplicates, op7_language_model, op8_personal_data, op9_token_files, op10_toxicity)}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_top_k, op3_decontamination, op4_packing, op5_language, op6_near_duplicates, op7_language_model, op8_personal_data, op9_token_files, op10_toxicity, op11_alignment)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
