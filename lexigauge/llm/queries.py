@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, decontam, dedup, hmm, langid, packing, pii, quality, token_files, topk, toxicity, whitening
+from . import alignment, decontam, dedup, hmm, langid, packing, pii, quality, token_files, topk, toxicity, vector_dedup, whitening
 from .common import table
 from .sql import ORACLES
 
@@ -55,11 +55,15 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.digest(table(spark, sf_dir, "documents"))
 
 
+def op12_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.digest(table(spark, sf_dir, "embeddings"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.digest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_top_k, op3_decontamination, op4_packing, op5_language, op6_near_duplicates, op7_language_model, op8_personal_data, op9_token_files, op10_toxicity, op11_alignment, op13_whitening)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_top_k, op3_decontamination, op4_packing, op5_language, op6_near_duplicates, op7_language_model, op8_personal_data, op9_token_files, op10_toxicity, op11_alignment, op12_vector_duplicates, op13_whitening)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

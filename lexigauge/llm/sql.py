@@ -47,4 +47,18 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
 """
 
-ORACLES = {"op2_top_k": OP2, "op3_decontamination": OP3, "op6_near_duplicates": OP6}
+OP12 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+size AS (SELECT x AS vec_id, count(*) AS n FROM link GROUP BY x),
+reach(x, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT y, c FROM reach JOIN link USING (x)),
+least AS (SELECT x AS vec_id, min(c) AS component_id FROM reach GROUP BY x)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings LEFT JOIN size USING (vec_id) LEFT JOIN least USING (vec_id)
+"""
+
+ORACLES = {"op2_top_k": OP2, "op3_decontamination": OP3, "op6_near_duplicates": OP6, "op12_vector_duplicates": OP12}
