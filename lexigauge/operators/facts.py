@@ -12,12 +12,13 @@ from ..functions.measure import Measure, n_units
 
 @dataclass(frozen=True)
 class Facts:
-    """docs: a row for each tokenizer and text; counts: a row for each tokenizer, language and token; tokenizers: vocabulary sizes."""
+    """docs: a row for each tokenizer and text; counts: a row for each tokenizer, language and token; tokenizers: vocabulary sizes; held: docs is cached or stored."""
 
     docs: DataFrame
     counts: DataFrame
     tokenizers: DataFrame | None = None
     measure: Measure = Measure()
+    held: bool = False
 
 
 def doc_facts(tokens: DataFrame, measure: Measure = Measure()) -> DataFrame:

@@ -1,7 +1,8 @@
 """Metrics over the fact tables. Every function takes Facts and key columns and returns a frame.
 
 by names keys besides the tokenizer; where a metric has a value by language and one over
-all languages, both come from one pass with grouping sets, with language null for all.
+all languages, both come from one pass, and the column pooled tells them apart: language is null
+in the row over all languages, and in the row of texts without one.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import kept
 from .facts import Facts
 
 ALPHAS = (1.0, 2.0, 2.5, 3.0)
@@ -28,36 +30,41 @@ def ratio(a: Column, b: Column, default: float | None = 0.0) -> Column:
 BINS = 512
 
 
-def statistics(df: DataFrame, x: Column, keys: Sequence[str], language: bool = True, sums: Sequence[str] = ()) -> DataFrame:
-    """The eight statistics of x (not negative) by keys and language, and by keys alone (language null); without language by keys alone.
+def statistics(df: DataFrame, x: Column, keys: Sequence[str], language: bool = True, sums: Sequence[str] = (), held: bool = False) -> DataFrame:
+    """The eight statistics of x (not negative) by keys and language, and by keys alone (pooled); without language by keys alone.
 
-    Equal values are counted first, in each task and then by value, and all else comes from
-    that one table, so that no task holds a group's values. The median is found in
-    two steps: bins of values are counted and added up in order, then only the values of the
-    middle bin are. The standard error of one value is null. sums: columns whose totals are given too.
+    Values are summed up in bins in each task, so that only bins are shuffled; the moments of
+    bins are merged around the common mean, and the median is looked for among the values of the middle
+    bin. The standard error of one value is null. sums: columns whose totals are given too. held: df is cached
+    or stored and may be read twice; else its values are stored first.
     """
-    by = [*keys, "language", "pooled"] if language else [*keys]
     own = [*keys, "language"] if language else [*keys]
-    c = df.withColumn("x", x).groupBy(*own, "x").agg(F.count("*").alias("k"), *[F.sum(s).alias(s) for s in sums])
+    by = [*own, "pooled"] if language else own
+    values = df.select(*own, *sums, x.cast("double").alias("x"))
+    values = (values if held else kept(values, "values")).withColumn("bin", F.coalesce(F.floor(F.log2("x") * BINS), F.lit(-1 << 40)).cast("bigint"))
+    k = F.count("*")
+    bins = values.groupBy(*own, "bin").agg(k.alias("k"), F.avg("x").alias("m"), (F.var_pop("x") * k).alias("m2"), F.min("x").alias("min"), F.max("x").alias("max"), F.sum("x").alias("sum"), *[F.sum(c).alias(c) for c in sums])
     if language:
         both = F.array(F.struct("language", F.lit(False).alias("pooled")), F.struct(F.lit(None).cast("string").alias("language"), F.lit(True).alias("pooled")))
-        c = c.withColumn("level", F.explode(both)).select(*keys, "level.language", "level.pooled", "x", "k", *sums)
-    k, v = F.col("k"), F.col("x")
-    n = F.sum(k)
-    mean, squares = F.sum(k * v) / n, F.sum(k * v * v)
-    spread = F.greatest(squares / n - mean * mean, F.lit(0.0))
-    out = c.groupBy(*by).agg(
-        mean.alias("mean"),
+        rest = [c for c in bins.columns if c not in own]
+        bins = bins.withColumn("level", F.explode(both)).select(*keys, "level.*", *rest)
+    group = Window.partitionBy(*by)
+    n = F.sum("k")
+    apart = F.col("m") - F.col("mean")
+    spread = F.sum(F.col("m2") + F.col("k") * apart * apart) / n
+    whole = bins.withColumn("mean", F.sum("sum").over(group) / F.sum("k").over(group))
+    out = whole.groupBy(*by).agg(
+        F.max("mean").alias("mean"),
         F.sqrt(spread).alias("std"),
         F.when(n > 1, F.sqrt(spread / (n - 1))).alias("std_err"),
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
+        F.min("min").alias("min"),
+        F.max("max").alias("max"),
         n.cast("bigint").alias("count"),
-        F.sum(k * v).alias("sum"),
-        *[F.sum(s).alias(s) for s in sums],
+        F.sum("sum").alias("sum"),
+        *[F.sum(c).alias(c) for c in sums],
     )
-    out = out.join(F.broadcast(medians(c, by).select(*[F.col(b).alias(f"__{b}") for b in by], "median")), _same(by), "left")
-    return out.select(*own, *STATS, *sums)
+    out = out.join(F.broadcast(medians(values, bins, by).select(*[F.col(c).alias(f"__{c}") for c in by], "median")), _same(by), "left")
+    return out.select(*by, *STATS, *sums)
 
 
 def _same(by: Sequence[str]) -> Column:
@@ -65,18 +72,21 @@ def _same(by: Sequence[str]) -> Column:
     return reduce(and_, [F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by], F.lit(True))
 
 
-def medians(c: DataFrame, by: Sequence[str]) -> DataFrame:
-    """median by by from values x that occur k times."""
-    c = c.withColumn("bin", F.coalesce(F.floor(F.log2("x") * BINS), F.lit(-1 << 40)).cast("bigint"))
+def medians(values: DataFrame, bins: DataFrame, by: Sequence[str]) -> DataFrame:
+    """median by by from values x with their bin, and counts k of bins by by; only values of middle bins are shuffled."""
     group = Window.partitionBy(*by)
-    up = lambda order: group.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    bins = c.groupBy(*by, "bin").agg(F.sum("k").alias("k"))
-    bins = bins.withColumn("upto", F.sum("k").over(up("bin"))).withColumn("n", F.sum("k").over(group))
+    bins = bins.groupBy(*by, "bin").agg(F.sum("k").alias("k"))
+    bins = bins.withColumn("upto", F.sum("k").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("k").over(group))
     # the two middle places, from 1; the same one for an odd number
     low, high = F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)
     holds = lambda place: (F.col("upto") >= place) & (F.col("upto") - F.col("k") < place)
     middle = bins.where(holds(low) | holds(high)).select(*[F.col(b).alias(f"__{b}") for b in [*by, "bin"]], (F.col("upto") - F.col("k")).alias("before"), low.alias("low"), high.alias("high"))
-    near = c.join(F.broadcast(middle), _same([*by, "bin"])).select(*by, "bin", "x", "k", "before", "low", "high")
+    match = _same([b for b in [*by, "bin"] if b not in ("language", "pooled")])
+    if "pooled" in by:
+        match &= F.col("__pooled") | F.col("language").eqNullSafe(F.col("__language"))
+    # two bins a group, of groups that are few by nature
+    near = values.join(F.broadcast(middle), match).select(*[F.col(f"__{b}").alias(b) for b in by], "bin", "x", "before", "low", "high")
+    near = near.groupBy(*near.columns).agg(F.count("*").alias("k"))
     near = near.withColumn("upto", F.col("before") + F.sum("k").over(Window.partitionBy(*by, "bin").orderBy("x").rangeBetween(Window.unboundedPreceding, 0)))
     first = lambda place: F.min(F.when(F.col("upto") >= F.col(place), F.col("x")))
     return near.groupBy(*by).agg(((first("low") + first("high")) / 2).alias("median"))
@@ -84,35 +94,39 @@ def medians(c: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def fertility(f: Facts, keys: Sequence[str] = ("tokenizer",)) -> DataFrame:
     """Tokens per unit: the mean over texts, and the other statistics."""
-    return statistics(f.docs.where("n_units > 0"), F.col("n_tokens") / F.col("n_units"), keys)
+    return statistics(f.docs.where("n_units > 0"), F.col("n_tokens") / F.col("n_units"), keys, held=f.held)
 
 
 def token_length(f: Facts, keys: Sequence[str] = ("tokenizer",)) -> DataFrame:
     """Characters per token over texts."""
-    return statistics(f.docs.where("has_text and n_tokens > 0"), F.col("n_chars") / F.col("n_tokens"), keys, False)
+    return statistics(f.docs.where("has_text and n_tokens > 0"), F.col("n_chars") / F.col("n_tokens"), keys, False, held=f.held)
 
 
 def tokens_per_line(f: Facts, keys: Sequence[str] = ("tokenizer",)) -> DataFrame:
-    x = statistics(f.docs.where("has_text"), F.col("n_tokens") / F.col("n_lines"), keys, False, ["n_lines"])
+    x = statistics(f.docs.where("has_text"), F.col("n_tokens") / F.col("n_lines"), keys, False, ["n_lines"], f.held)
     return x.withColumnRenamed("n_lines", "total_lines")
 
 
 def compression(f: Facts, keys: Sequence[str] = ("tokenizer",)) -> DataFrame:
     """Units per token; a mean of 1 where there are no texts."""
-    x = statistics(f.docs.where("has_text and n_tokens > 0"), F.col("n_units") / F.col("n_tokens"), keys)
+    x = statistics(f.docs.where("has_text and n_tokens > 0"), F.col("n_units") / F.col("n_tokens"), keys, held=f.held)
     return x.withColumn("mean", F.coalesce("mean", F.lit(1.0)))
 
 
+#: Columns that tell rows by language from those over all languages.
+LEVEL = ("language", "pooled")
+
+
 def pooled(f: Facts, keys: Sequence[str]) -> DataFrame:
-    """Counts by keys and language and by keys alone: token, cnt, language null for all languages."""
-    one = f.counts.select(*keys, "language", "token", "cnt")
-    every = one.groupBy(*keys, "token").agg(F.sum("cnt").alias("cnt")).withColumn("language", F.lit(None).cast("string"))
+    """Counts by keys and language and by keys alone: token, cnt, and pooled, true for all languages together."""
+    one = f.counts.select(*keys, "language", F.lit(False).alias("pooled"), "token", "cnt")
+    every = one.groupBy(*keys, "token").agg(F.sum("cnt").alias("cnt")).withColumns({"language": F.lit(None).cast("string"), "pooled": F.lit(True)})
     return one.unionByName(every)
 
 
 def vocabulary_utilization(f: Facts, keys: Sequence[str] = ("tokenizer",)) -> DataFrame:
     """used_tokens, vocab_size, unused_tokens, utilization; without a vocabulary its size is null."""
-    used = pooled(f, keys).groupBy(*keys, "language").agg(F.count("*").alias("used_tokens"))
+    used = pooled(f, keys).groupBy(*keys, *LEVEL).agg(F.count("*").alias("used_tokens"))
     if f.tokenizers is None:
         return used.withColumns({"vocab_size": F.lit(None).cast("bigint"), "unused_tokens": F.lit(None).cast("bigint"), "utilization": F.lit(None).cast("double")})
     size = F.broadcast(f.tokenizers.select("tokenizer", "vocab_size"))
@@ -120,7 +134,7 @@ def vocabulary_utilization(f: Facts, keys: Sequence[str] = ("tokenizer",)) -> Da
 
 
 def type_token_ratio(f: Facts, keys: Sequence[str] = ("tokenizer",)) -> DataFrame:
-    x = pooled(f, keys).groupBy(*keys, "language").agg(F.count("*").alias("types"), F.sum("cnt").alias("tokens"))
+    x = pooled(f, keys).groupBy(*keys, *LEVEL).agg(F.count("*").alias("types"), F.sum("cnt").alias("tokens"))
     return x.withColumn("ttr", ratio(F.col("types"), F.col("tokens")))
 
 
@@ -138,9 +152,9 @@ def entropy_of(cnt: Column, alpha: float, times: Column | None = None) -> Column
 
 def renyi(f: Facts, alphas: Sequence[float] = ALPHAS, keys: Sequence[str] = ("tokenizer",)) -> DataFrame:
     """alpha, entropy by keys and language; all orders in one aggregation."""
-    x = pooled(f, keys).groupBy(*keys, "language").agg(*[entropy_of(F.col("cnt"), a).alias(f"a{i}") for i, a in enumerate(alphas)])
+    x = pooled(f, keys).groupBy(*keys, *LEVEL).agg(*[entropy_of(F.col("cnt"), a).alias(f"a{i}") for i, a in enumerate(alphas)])
     rows = F.explode(F.array(*[F.struct(F.lit(float(a)).alias("alpha"), F.col(f"a{i}").alias("entropy")) for i, a in enumerate(alphas)]))
-    return x.select(*keys, "language", rows.alias("r")).select(*keys, "language", "r.*")
+    return x.select(*keys, *LEVEL, rows.alias("r")).select(*keys, *LEVEL, "r.*")
 
 
 def unigram(f: Facts, keys: Sequence[str] = ("tokenizer",)) -> DataFrame:
@@ -149,7 +163,7 @@ def unigram(f: Facts, keys: Sequence[str] = ("tokenizer",)) -> DataFrame:
     Tokens of one count share a sum of ranks whatever their order, so counts are grouped
     first: ranks are then numbered over distinct counts, not over the vocabulary.
     """
-    by = [*keys, "language"]
+    by = [*keys, *LEVEL]
     same = pooled(f, keys).groupBy(*by, "cnt").agg(F.count("*").alias("m"))
     w = Window.partitionBy(*by).orderBy(F.desc("cnt")).rowsBetween(Window.unboundedPreceding, -1)
     m, cnt = F.col("m"), F.col("cnt")

@@ -49,7 +49,7 @@ class Analyzer:
         self._aligned: DataFrame | None = None
         sizes = tokenizers if tokenizers is not None else estimated_vocabulary(tokens)
         keep = StorageLevel.MEMORY_AND_DISK
-        self.facts = Facts(doc_facts(tokens, measure).persist(keep), token_counts(tokens).persist(keep), sizes, measure)
+        self.facts = Facts(doc_facts(tokens, measure).persist(keep), token_counts(tokens).persist(keep), sizes, measure, True)
 
     @classmethod
     def of_corpus(cls, corpus: DataFrame, tokenizers: list[Tokenizer], **kw: Any) -> Analyzer:
@@ -124,7 +124,7 @@ class Analyzer:
             out |= self.morphology(only)
         if self.groups is not None:
             f = self.facts
-            grouped = Facts(with_groups(f.docs, self.groups), with_groups(f.counts, self.groups), f.tokenizers, f.measure)
+            grouped = Facts(with_groups(f.docs, self.groups), with_groups(f.counts, self.groups), f.tokenizers, f.measure, True)
             got: dict[tuple[str, str], dict[str, list]] = {}
             for n, d in self.frames(("tokenizer", *GROUP), grouped).items():
                 for r in d.collect():
@@ -186,6 +186,11 @@ def compared(values: dict[str, float | None]) -> dict[str, dict[str, Any]]:
     return out
 
 
+def _lang(r: Any) -> str:
+    """A language's name in nested results; texts without one are those of "null"."""
+    return "null" if r["language"] is None else r["language"]
+
+
 def nested(rows: dict[str, list], measure: Measure, only: Sequence[str] | None = None) -> dict[str, Any]:
     """Rows of the metrics' frames as the nested result."""
     r = {n: [x for x in v if only is None or x["tokenizer"] in only] for n, v in rows.items()}
@@ -193,48 +198,48 @@ def nested(rows: dict[str, list], measure: Measure, only: Sequence[str] | None =
     out: dict[str, Any] = {n: {"per_tokenizer": {t: {} for t in names}} for n in ("fertility", "token_length", "vocabulary_utilization", "type_token_ratio", "avg_tokens_per_line", "compression_ratio", "renyi_efficiency", "unigram_distribution_metrics", "tokenizer_fairness_gini", "lorenz_curve_data")}
     per = lambda n, t: out[n]["per_tokenizer"][t]
     for x in r.get("fertility", []):
-        if x["language"] is None:
+        if x["pooled"]:
             per("fertility", x["tokenizer"])["global"] = _stats(x)
         else:
-            per("fertility", x["tokenizer"]).setdefault("per_language", {})[x["language"]] = _stats(x)
+            per("fertility", x["tokenizer"]).setdefault("per_language", {})[_lang(x)] = _stats(x)
     out["fertility"] |= {"per_language": {}, "metadata": {"normalization_method": measure.method, "description": f"tokens per {measure.unit}", "short_description": f"tokens/{measure.unit}"}}
     for x in r.get("token_length", []):
         per("token_length", x["tokenizer"]).update(character_length=_stats(x), primary_length=_stats(x))
     out["token_length"]["metadata"] = {"primary_unit": "characters", "description": "characters per token"}
     for x in r.get("vocabulary_utilization", []):
-        if x["language"] is None:
+        if x["pooled"]:
             per("vocabulary_utilization", x["tokenizer"]).update(global_utilization=x["utilization"], global_used_tokens=x["used_tokens"], global_vocab_size=x["vocab_size"])
         else:
-            per("vocabulary_utilization", x["tokenizer"]).setdefault("per_language", {})[x["language"]] = {k: x[k] for k in ("utilization", "used_tokens", "vocab_size", "unused_tokens")}
+            per("vocabulary_utilization", x["tokenizer"]).setdefault("per_language", {})[_lang(x)] = {k: x[k] for k in ("utilization", "used_tokens", "vocab_size", "unused_tokens")}
     for x in r.get("type_token_ratio", []):
-        if x["language"] is None:
+        if x["pooled"]:
             per("type_token_ratio", x["tokenizer"]).update(global_ttr=x["ttr"], global_types=x["types"], global_tokens=x["tokens"])
         else:
-            out["type_token_ratio"].setdefault("per_language", {}).setdefault(x["language"], {})[x["tokenizer"]] = x["ttr"]
+            out["type_token_ratio"].setdefault("per_language", {}).setdefault(_lang(x), {})[x["tokenizer"]] = x["ttr"]
     for x in r.get("avg_tokens_per_line", []):
         per("avg_tokens_per_line", x["tokenizer"]).update(global_avg=x["mean"], global_std=x["std"], global_std_err=x["std_err"], total_lines=x["total_lines"], stats=_stats(x))
     for x in r.get("compression_ratio", []):
-        if x["language"] is None:
+        if x["pooled"]:
             per("compression_ratio", x["tokenizer"]).update({"global": _stats(x), "num_texts_analyzed": x["count"]})
         else:
-            per("compression_ratio", x["tokenizer"]).setdefault("per_language", {})[x["language"]] = x["mean"]
+            per("compression_ratio", x["tokenizer"]).setdefault("per_language", {})[_lang(x)] = x["mean"]
     out["compression_ratio"]["metadata"] = {"normalization_method": measure.method}
     for x in r.get("renyi_efficiency", []):
-        key, lang = f"renyi_{x['alpha']}", x["language"]
-        per("renyi_efficiency", x["tokenizer"]).setdefault(key, {})[lang or "overall"] = x["entropy"]
-        if lang:
+        key, lang = f"renyi_{x['alpha']}", "overall" if x["pooled"] else _lang(x)
+        per("renyi_efficiency", x["tokenizer"]).setdefault(key, {})[lang] = x["entropy"]
+        if not x["pooled"]:
             out["renyi_efficiency"].setdefault("per_language", {}).setdefault(key, {}).setdefault(lang, {})[x["tokenizer"]] = x["entropy"]
     for x in r.get("unigram_distribution_metrics", []):
         p = per("unigram_distribution_metrics", x["tokenizer"])
-        if x["language"] is None:
+        if x["pooled"]:
             p.update(global_unigram_entropy=x["unigram_entropy"], global_avg_token_rank=x["avg_token_rank"])
             continue
-        p.setdefault("per_language", {})[x["language"]] = {k: x[k] for k in ("unigram_entropy", "avg_token_rank", "total_tokens", "unique_tokens")}
+        p.setdefault("per_language", {})[_lang(x)] = {k: x[k] for k in ("unigram_entropy", "avg_token_rank", "total_tokens", "unique_tokens")}
         for k in ("unigram_entropy", "avg_token_rank"):
-            out["unigram_distribution_metrics"].setdefault("per_language", {}).setdefault(k, {}).setdefault(x["language"], {})[x["tokenizer"]] = x[k]
+            out["unigram_distribution_metrics"].setdefault("per_language", {}).setdefault(k, {}).setdefault(_lang(x), {})[x["tokenizer"]] = x[k]
     costs: dict[str, list] = {}
-    for x in sorted(r.get("language_costs", []), key=lambda x: (x["cost"], x["language"])):
-        costs.setdefault(x["tokenizer"], []).append((x["language"], x["cost"]))
+    for x in sorted(r.get("language_costs", []), key=lambda x: (x["cost"], _lang(x))):
+        costs.setdefault(x["tokenizer"], []).append((_lang(x), x["cost"]))
     for x in r.get("tokenizer_fairness_gini", []):
         c = costs.get(x["tokenizer"], [])
         if len(c) < 2:
@@ -253,10 +258,10 @@ def nested(rows: dict[str, list], measure: Measure, only: Sequence[str] | None =
         per("lorenz_curve_data", t).update(x_values=[x["x"] for x in p], y_values=[x["y"] for x in p], equality_line=[x["x"] for x in p], sorted_languages=[x[0] for x in c], sorted_costs=[x[1] for x in c], total_cost=sum(x[1] for x in c), n_languages=len(c))
     for x in r.get("unknown_share", []):
         p = out.setdefault("unknown_share", {"per_tokenizer": {t: {} for t in names}})["per_tokenizer"][x["tokenizer"]]
-        if x["language"] is None:
+        if x["pooled"]:
             p["global"] = _stats(x)
         else:
-            p.setdefault("per_language", {})[x["language"]] = _stats(x)
+            p.setdefault("per_language", {})[_lang(x)] = _stats(x)
     for n in set(r) - KNOWN:
         out[n] = {"per_tokenizer": {t: [{k: v for k, v in x.asDict().items() if k not in ("tokenizer", *GROUP)} for x in r[n] if x["tokenizer"] == t] for t in names}}
     if len(names) > 1:

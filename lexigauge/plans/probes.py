@@ -404,14 +404,14 @@ def estimated_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.estimated_vocabulary(_ids(spark, sf_dir))
 
 
-@query(f"WITH {LENGTHS}, r AS (SELECT language, 100.0 * len(list_filter(tokens, lambda k: k = 3)) / len(tokens) AS x FROM lengths WHERE len(tokens) > 0) SELECT 'lengths' AS tokenizer, language, {STATS} FROM r GROUP BY GROUPING SETS ((language), ())")
+@query(f"WITH {LENGTHS}, r AS (SELECT language, 100.0 * len(list_filter(tokens, lambda k: k = 3)) / len(tokens) AS x FROM lengths WHERE len(tokens) > 0) SELECT 'lengths' AS tokenizer, language, grouping(language) = 1 AS pooled, {STATS} FROM r GROUP BY GROUPING SETS ((language), ())")
 def unknown_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per cent of unknown tokens, here id 3."""
     sizes = spark.createDataFrame([("lengths", 31, 3)], "tokenizer string, vocab_size long, unk_id int")
     return rounded(M.unknown_share(_ids(spark, sf_dir), sizes))
 
 
-@query(f"WITH {TOKENS}, r AS (SELECT tokenizer, language, n_tokens / CASE WHEN doc_id % 2 = 0 THEN greatest(1, floor(n_tokens * 0.5)) ELSE len(regexp_extract_all(text, '{SPLIT}')) END AS x FROM facts) SELECT tokenizer, language, {STATS} FROM r GROUP BY GROUPING SETS ((tokenizer, language), (tokenizer))")
+@query(f"WITH {TOKENS}, r AS (SELECT tokenizer, language, n_tokens / CASE WHEN doc_id % 2 = 0 THEN greatest(1, floor(n_tokens * 0.5)) ELSE len(regexp_extract_all(text, '{SPLIT}')) END AS x FROM facts) SELECT tokenizer, language, grouping(language) = 1 AS pooled, {STATS} FROM r GROUP BY GROUPING SETS ((tokenizer, language), (tokenizer))")
 def fertility_without_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every other text is missing beside its tokens: half of them stand for its words."""
     t = encode(documents(spark, sf_dir), native_tokenizers())
@@ -488,7 +488,7 @@ CELL = lambda v, form, best: f"CASE WHEN row_number() OVER (ORDER BY {v} {best},
 
 
 @query(
-    f"""WITH {TOKENS}, {PROBS}, {COSTS}, ttr AS (SELECT tokenizer, count(*) / sum(cnt) AS ttr, -sum(p * log2(p)) AS h FROM p WHERE language IS NULL GROUP BY tokenizer),
+    f"""WITH {TOKENS}, {PROBS}, {COSTS}, ttr AS (SELECT tokenizer, count(*) / sum(cnt) AS ttr, -sum(p * log2(p)) AS h FROM p WHERE pooled GROUP BY tokenizer),
 d AS (SELECT a.tokenizer, sum(abs(a.cost - b.cost)) / (2 * count(DISTINCT a.language) * sum(a.cost)) * count(DISTINCT a.language) AS g FROM costs a JOIN costs b USING (tokenizer) GROUP BY a.tokenizer),
 g AS (SELECT tokenizer, sum(abs(x.cost - y.cost)) / (2 * 16 * avg(x.cost)) AS g FROM costs x JOIN costs y USING (tokenizer) GROUP BY tokenizer),
 body AS (SELECT replace(tokenizer, '_', '\\_') || ' & ' || {CELL('ttr', '%.4f', 'DESC')} || ' & ' || {CELL('h', '%.2f', 'DESC')} || ' & ' || {CELL('g', '%.3f', 'ASC')} || ' \\\\' AS line, 4 + row_number() OVER (ORDER BY tokenizer DESC) AS i FROM ttr JOIN g USING (tokenizer))
@@ -501,7 +501,7 @@ def latex_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {TOKENS}, {POOLED}, t AS (SELECT tokenizer, count(*) AS types, sum(cnt) AS tokens FROM pool WHERE language IS NULL GROUP BY tokenizer)
+    f"""WITH {TOKENS}, {POOLED}, t AS (SELECT tokenizer, count(*) AS types, sum(cnt) AS tokens FROM pool WHERE pooled GROUP BY tokenizer)
 SELECT tokenizer, name, round(value, 6) AS value FROM (SELECT tokenizer, 'global_types' AS name, CAST(types AS DOUBLE) AS value FROM t UNION ALL SELECT tokenizer, 'global_tokens', tokens FROM t UNION ALL SELECT tokenizer, 'global_ttr', types / tokens FROM t)"""
 )
 def results_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from ..functions.measure import PRESETS, Measure, n_units
 from ..operators import metrics as M
 from ..operators import morphology, training, validate
 from ..operators.encode import encode, tokenizer
-from ..operators.facts import with_groups
+from ..operators.facts import Facts, facts, with_groups
 from ..operators.vocab import numbered
 from .analyzer import name_conflicts
 from .corpus import capped, document_facts, documents, native_tokenizers
@@ -52,7 +52,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def stats_sql(x: str, by: str, where: str = "true", more: str = "") -> str:
-    return f"WITH {TOKENS}, r AS (SELECT *, {x} AS x FROM facts WHERE {where}) SELECT tokenizer, language, {STATS}{more} FROM r GROUP BY {by}"
+    return f"WITH {TOKENS}, r AS (SELECT *, {x} AS x FROM facts WHERE {where}) SELECT tokenizer, language, grouping(language) = 1 AS pooled, {STATS}{more} FROM r GROUP BY {by}"
 
 
 SETS = "GROUPING SETS ((tokenizer, language), (tokenizer))"
@@ -98,15 +98,15 @@ def compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.compression(document_facts(spark, sf_dir)))
 
 
-POOLED = "pool AS (SELECT tokenizer, language, token, cnt FROM counts UNION ALL SELECT tokenizer, NULL, token, CAST(sum(cnt) AS BIGINT) FROM counts GROUP BY tokenizer, token)"
+POOLED = "pool AS (SELECT tokenizer, language, false AS pooled, token, cnt FROM counts UNION ALL SELECT tokenizer, NULL, true, token, CAST(sum(cnt) AS BIGINT) FROM counts GROUP BY tokenizer, token)"
 
 
-@query(f"WITH {TOKENS}, {POOLED} SELECT tokenizer, language, count(*) AS types, CAST(sum(cnt) AS BIGINT) AS tokens, round(count(*) / sum(cnt), 6) AS ttr FROM pool GROUP BY tokenizer, language")
+@query(f"WITH {TOKENS}, {POOLED} SELECT tokenizer, language, pooled, count(*) AS types, CAST(sum(cnt) AS BIGINT) AS tokens, round(count(*) / sum(cnt), 6) AS ttr FROM pool GROUP BY tokenizer, language, pooled")
 def type_token_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.type_token_ratio(document_facts(spark, sf_dir)))
 
 
-@query(f"WITH {TOKENS}, {POOLED} SELECT tokenizer, language, count(*) AS used_tokens, CAST(200000 AS BIGINT) AS vocab_size, 200000 - count(*) AS unused_tokens, round(count(*) / 200000, 6) AS utilization FROM pool GROUP BY tokenizer, language")
+@query(f"WITH {TOKENS}, {POOLED} SELECT tokenizer, language, pooled, count(*) AS used_tokens, CAST(200000 AS BIGINT) AS vocab_size, 200000 - count(*) AS unused_tokens, round(count(*) / 200000, 6) AS utilization FROM pool GROUP BY tokenizer, language, pooled")
 def vocabulary_utilization(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = document_facts(spark, sf_dir)
     sizes = spark.createDataFrame([(t.name, 200_000) for t in native_tokenizers()], "tokenizer string, vocab_size long")
@@ -124,25 +124,57 @@ def top_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("token").agg(F.sum("cnt").alias("cnt")).orderBy(F.desc("cnt"), "token").limit(100)
 
 
-PROBS = f"{POOLED}, p AS (SELECT *, cnt / sum(cnt) OVER (PARTITION BY tokenizer, language) AS p FROM pool)"
+PROBS = f"{POOLED}, p AS (SELECT *, cnt / sum(cnt) OVER (PARTITION BY tokenizer, language, pooled) AS p FROM pool)"
 
 
 @query(
-    f"""WITH {TOKENS}, {PROBS}, e AS (SELECT tokenizer, language, -sum(p * log2(p)) AS e1, log2(sum(p ** 2)) / -1 AS e2, log2(sum(p ** 2.5)) / -1.5 AS e25, log2(sum(p ** 3)) / -2 AS e3 FROM p GROUP BY tokenizer, language)
-SELECT tokenizer, language, CAST(unnest([1, 2, 2.5, 3]) AS DOUBLE) AS alpha, round(unnest([e1, e2, e25, e3]), 6) AS entropy FROM e"""
+    f"""WITH {TOKENS}, {PROBS}, e AS (SELECT tokenizer, language, pooled, -sum(p * log2(p)) AS e1, log2(sum(p ** 2)) / -1 AS e2, log2(sum(p ** 2.5)) / -1.5 AS e25, log2(sum(p ** 3)) / -2 AS e3 FROM p GROUP BY tokenizer, language, pooled)
+SELECT tokenizer, language, pooled, CAST(unnest([1, 2, 2.5, 3]) AS DOUBLE) AS alpha, round(unnest([e1, e2, e25, e3]), 6) AS entropy FROM e"""
 )
 def renyi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.renyi(document_facts(spark, sf_dir)))
 
 
 @query(
-    f"""WITH {TOKENS}, {PROBS}, k AS (SELECT *, row_number() OVER (PARTITION BY tokenizer, language ORDER BY cnt DESC, token) AS rank FROM p)
-SELECT tokenizer, language, round(-sum(p * log2(p)), 6) AS unigram_entropy, round(sum(cnt * rank) / sum(cnt), 6) AS avg_token_rank, CAST(sum(cnt) AS BIGINT) AS total_tokens, count(*) AS unique_tokens FROM k GROUP BY tokenizer, language"""
+    f"""WITH {TOKENS}, {PROBS}, k AS (SELECT *, row_number() OVER (PARTITION BY tokenizer, language, pooled ORDER BY cnt DESC, token) AS rank FROM p)
+SELECT tokenizer, language, pooled, round(-sum(p * log2(p)), 6) AS unigram_entropy, round(sum(cnt * rank) / sum(cnt), 6) AS avg_token_rank, CAST(sum(cnt) AS BIGINT) AS total_tokens, count(*) AS unique_tokens FROM k GROUP BY tokenizer, language, pooled"""
 )
 def unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.unigram(document_facts(spark, sf_dir)))
 
 
+#: The corpus with one language taken from its texts.
+UNTOLD = TOKENS.replace("lang AS language", "nullif(lang, 'fr') AS language").replace("'whitespace', lang,", "'whitespace', nullif(lang, 'fr'),")
+
+
+def _untold(spark: SparkSession, sf_dir: str) -> Facts:
+    ts = native_tokenizers()
+    x = documents(spark, sf_dir).withColumn("language", F.nullif("language", F.lit("fr")))
+    sizes = spark.createDataFrame([(t.name, 200_000) for t in ts], "tokenizer string, vocab_size long")
+    return facts(encode(x, ts), sizes)
+
+
+@query(
+    f"""WITH {UNTOLD}, {PROBS}, k AS (SELECT *, row_number() OVER (PARTITION BY tokenizer, language, pooled ORDER BY cnt DESC, token) AS rank FROM p)
+SELECT tokenizer, language, pooled, count(*) AS types, CAST(sum(cnt) AS BIGINT) AS tokens, round(count(*) / 200000, 6) AS utilization, round(-sum(p * log2(p)), 6) AS unigram_entropy, round(sum(cnt * rank) / sum(cnt), 6) AS avg_token_rank, round(log2(sum(p ** 2)) / -1, 6) AS renyi_2
+FROM k GROUP BY tokenizer, language, pooled"""
+)
+def untold_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of counts where texts have no language: these texts have rows of their own beside those over all."""
+    f, by = _untold(spark, sf_dir), ["tokenizer", "language", "pooled"]
+    x = M.type_token_ratio(f).select(*by, "types", "tokens")
+    more = [M.vocabulary_utilization(f).select(*by, "utilization"), M.unigram(f).select(*by, "unigram_entropy", "avg_token_rank"), M.renyi(f, (2.0,)).select(*by, F.col("entropy").alias("renyi_2"))]
+    for m in more:
+        m = m.select(*[F.col(c).alias(f"__{c}") for c in by], *[c for c in m.columns if c not in by])
+        x = x.join(m, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]).drop(*[f"__{c}" for c in by])
+    return rounded(x)
+
+
+@query(f"WITH {UNTOLD}, r AS (SELECT *, n_tokens / n_bytes AS x FROM facts) SELECT tokenizer, language, grouping(language) = 1 AS pooled, {STATS} FROM r GROUP BY {SETS}")
+def untold_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(M.fertility(_untold(spark, sf_dir)))
+
+
 COSTS = "costs AS (SELECT tokenizer, language, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(sum(n_bytes) AS BIGINT) AS units, sum(n_tokens) / sum(n_bytes) AS cost FROM facts GROUP BY tokenizer, language)"
 
 
@@ -176,7 +208,7 @@ FROM v a JOIN v b ON a.tokenizer < b.tokenizer"""
 
 
 def _pairs(df: DataFrame, value: str) -> DataFrame:
-    x = M.pairwise(df.where("language is null").select("tokenizer", value), value)
+    x = M.pairwise(df.where("pooled").select("tokenizer", value), value)
     return rounded(x.select("tokenizer_1", "tokenizer_2", "value_1", "value_2", "difference", "ratio", "percent_difference"))
 
 
@@ -190,7 +222,7 @@ def pairwise_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(M.compression(document_facts(spark, sf_dir)), "mean")
 
 
-@query(pair_sql("SELECT tokenizer, -sum(p * log2(p)) AS v FROM p WHERE language IS NULL GROUP BY tokenizer"))
+@query(pair_sql("SELECT tokenizer, -sum(p * log2(p)) AS v FROM p WHERE pooled GROUP BY tokenizer"))
 def pairwise_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(M.unigram(document_facts(spark, sf_dir)), "unigram_entropy")
 
@@ -204,7 +236,7 @@ def _groups(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(GROUPS, "group_type string, group_name string, language string")
 
 
-@query(f"WITH {TOKENS}, {GROUP_SQL}, r AS (SELECT *, n_tokens / n_bytes AS x FROM facts JOIN groups USING (language)) SELECT tokenizer, group_type, group_name, language, {STATS} FROM r GROUP BY GROUPING SETS ((tokenizer, group_type, group_name, language), (tokenizer, group_type, group_name))")
+@query(f"WITH {TOKENS}, {GROUP_SQL}, r AS (SELECT *, n_tokens / n_bytes AS x FROM facts JOIN groups USING (language)) SELECT tokenizer, group_type, group_name, language, grouping(language) = 1 AS pooled, {STATS} FROM r GROUP BY GROUPING SETS ((tokenizer, group_type, group_name, language), (tokenizer, group_type, group_name))")
 def grouped_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = document_facts(spark, sf_dir)
     return rounded(M.fertility(type(f)(with_groups(f.docs, _groups(spark)), f.counts), GROUP_KEYS))
@@ -332,7 +364,7 @@ def vocab_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(numbered(c), ["tokenizer", "token"]).select("tokenizer", "language", "token_id", "cnt")
 
 
-@query(f"WITH {TOKENS}, {POOLED}, p AS (SELECT tokenizer, cnt / sum(cnt) OVER (PARTITION BY tokenizer) AS p FROM pool WHERE language IS NULL) SELECT tokenizer, round(-sum(p * log2(p)), 6) AS entropy, count(*) AS types, round(1 + sum(p * log2(p)) / log2(count(*)), 6) AS redundancy FROM p GROUP BY tokenizer")
+@query(f"WITH {TOKENS}, {POOLED}, p AS (SELECT tokenizer, cnt / sum(cnt) OVER (PARTITION BY tokenizer) AS p FROM pool WHERE pooled) SELECT tokenizer, round(-sum(p * log2(p)), 6) AS entropy, count(*) AS types, round(1 + sum(p * log2(p)) / log2(count(*)), 6) AS redundancy FROM p GROUP BY tokenizer")
 def entropy_redundancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.redundancy(document_facts(spark, sf_dir)))
 

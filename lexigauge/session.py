@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "lexigauge", cores: int | None = None, **conf: str) -> SparkSession:
@@ -47,6 +47,22 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/lexigauge/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
 
 
+def kept(df: DataFrame, tag: str) -> DataFrame:
+    """df written to the shared folder and read back, so that it is computed once and survives lost executors."""
+    path = scratch(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application has in the shared folder; call it when no result that reads it is needed any more."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if top:
+        sc = spark.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(f"{top.rstrip('/')}/lexigauge/{sc.applicationId}")
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors' Python, once a session: their path need not have it."""
     sc = spark.sparkContext

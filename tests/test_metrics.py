@@ -81,11 +81,11 @@ def test_one_language(built):
 
 
 def test_pairs_and_groups(spark, built):
-    p = M.pairwise(M.fertility(built[1]).where("language is null"), "mean").collect()
+    p = M.pairwise(M.fertility(built[1]).where("pooled"), "mean").collect()
     assert [(r.tokenizer_1, r.tokenizer_2) for r in p] == [("char", "whitespace")]
     g = spark.createDataFrame([("f", "ger", "en"), ("f", "ger", "de"), ("f", "all", "en")], "group_type string, group_name string, language string")
     f = built[1]
-    x = M.fertility(type(f)(with_groups(f.docs, g), f.counts), ("tokenizer", "group_type", "group_name")).where("language is null and tokenizer = 'char'")
+    x = M.fertility(type(f)(with_groups(f.docs, g), f.counts), ("tokenizer", "group_type", "group_name")).where("pooled and tokenizer = 'char'")
     assert {r.group_name: r["count"] for r in x.collect()} == {"ger": 3, "all": 2}
 
 
@@ -122,7 +122,7 @@ def test_stored_tokenizers(spark, corpus):
         assert got["bpe", i] == [str(x) for x in lib.encode(text).ids] == got["rank", i]
         assert got["sp", i][0] == "1"
     assert ts[0].vocab_size == 50257 and ts[1].unk_id == 0
-    u = M.unknown_share(encode(corpus, ts[1:2]), tokenizers_table(spark, ts)).where("language is null").first()
+    u = M.unknown_share(encode(corpus, ts[1:2]), tokenizers_table(spark, ts)).where("pooled").first()
     assert u["mean"] == 0.0
     assert vocabulary(spark, ts[:1]).count() == 50257
     from pyspark.sql import functions as F
@@ -138,3 +138,43 @@ def test_registry():
     assert tokenizer("mine", name="x").name == "x"
     with pytest.raises(ValueError):
         from_config({"a": {"class": "char"}, "plot_tokenizers": ["b"]})
+
+
+def test_null_languages(spark):
+    """Texts without a language have rows of their own, and are counted once over all."""
+    rows = [(1, "en", "a b c"), (2, None, "a d"), (3, None, "a")]
+    ts = [tokenizer("whitespace")]
+    f = facts(encode(spark.createDataFrame(rows, "doc_id long, language string, text string"), ts), tokenizers_table(spark, ts))
+    key = lambda r: (r["language"], r["pooled"])
+    assert {key(r): (r.types, r.tokens) for r in M.type_token_ratio(f).collect()} == {("en", False): (3, 3), (None, False): (2, 3), (None, True): (4, 6)}
+    assert {key(r): r.used_tokens for r in M.vocabulary_utilization(f).collect()} == {("en", False): 3, (None, False): 2, (None, True): 4}
+    assert {key(r): r["count"] for r in M.fertility(f).collect()} == {("en", False): 1, (None, False): 2, (None, True): 3}
+    assert {key(r): r.total_tokens for r in M.unigram(f).collect()} == {("en", False): 3, (None, False): 3, (None, True): 6}
+    assert {key(r): r.entropy for r in M.renyi(f, (1.0,)).collect()}[None, False] == pytest.approx(math.log2(3) - 2 / 3)
+    assert {r.language for r in M.language_costs(f).collect()} == {"en", None}
+
+
+@pytest.mark.parametrize("held", [True, False])
+def test_statistics_of_large_values(spark, held):
+    """The spread is that around the mean, also where the mean is large; medians fall between bins too."""
+    import random
+
+    rng = random.Random(4)
+    groups = {"far": [1e8 + i % 2 for i in range(1000)], "same": [3.5] * 7, "zero": [0.0, 0.0, 8.0], "two": [1.0, 9.0], "any": [rng.lognormvariate(0, 2) for _ in range(501)], None: [0.0, 1e-9, 5.0]}
+    df = spark.createDataFrame([("t", g, v) for g, x in groups.items() for v in x], "tokenizer string, language string, v double")
+    got = {(r.language, r.pooled): r for r in M.statistics(df, df["v"], ["tokenizer"], held=held).collect()}
+    groups = {(k, False): v for k, v in groups.items()} | {(None, True): [v for x in groups.values() for v in x]}
+    assert set(got) == set(groups)
+    for k, x in groups.items():
+        r = got[k]
+        assert (r["mean"], r["median"], r["std"], r["min"], r["max"], r["count"], r["sum"]) == pytest.approx((mean(x), median(x), pstdev(x), min(x), max(x), len(x), sum(x)), rel=1e-9)
+        assert r["std_err"] == pytest.approx(stdev(x) / len(x) ** 0.5, rel=1e-9)
+
+
+def test_statistics_plan(spark):
+    """Bins are shuffled, and of the values only those of middle bins."""
+    df = spark.range(1000).selectExpr("'t' as tokenizer", "'x' as language", "cast(id + 1 as double) as v")
+    plan = M.statistics(df, df["v"], ["tokenizer"], held=True)._jdf.queryExecution().executedPlan().toString()
+    shuffled = [line for line in plan.split("\n") if "hashpartitioning" in line]
+    assert shuffled and all("bin" in line or "__" not in line for line in shuffled)
+    assert "BroadcastHashJoin" in plan
