@@ -26,7 +26,8 @@ from ..functions.script import PREPROCESS
 class Tokenizer:
     """name, tokens(text column), vocabulary (token to id; None if open), unknown id, preprocessor name.
 
-    spell gives the strings of a list of ids; tokenizers without it have strings as tokens.
+    spell gives the strings of a list of ids; tokenizers without it have strings as tokens. cut is a pattern
+    to split texts by into pieces whose tokens, one after the other, are the text's; None if there is none.
     """
 
     name: str
@@ -37,6 +38,7 @@ class Tokenizer:
     decode: Callable[[Column], Column] | None = None
     pieces: Callable[[Column], Column] | None = None
     spell: Callable[[list[int]], list[str]] | None = field(default=None, compare=False, repr=False)
+    cut: str | None = None
 
     @property
     def vocab_size(self) -> int | None:
@@ -46,11 +48,17 @@ class Tokenizer:
         return self.tokens(PREPROCESS[self.preprocess](text) if self.preprocess else text)
 
 
-def _pattern(name: str, pattern: str) -> Callable[..., Tokenizer]:
+#: ASCII white space, which no token of the native tokenizers but char holds, and the place before white space behind a character of another kind.
+GAPS, BEFORE_GAPS = r"[ \t\n\x0B\f\r]+", r"(?<=[^ \t\n\x0B\f\r])(?=[ \t\n\x0B\f\r])"
+
+
+def _pattern(name: str, pattern: str, cut: str = GAPS) -> Callable[..., Tokenizer]:
+    """A native tokenizer; a pattern of one's own has pieces only where its cut is given too."""
+
     def make(config: dict[str, Any] | None = None) -> Tokenizer:
         c = config or {}
         f = lambda t: F.regexp_extract_all(t, F.lit(c.get("pattern", pattern)), F.lit(0))
-        return Tokenizer(c.get("name", name), f, preprocess=c.get("preprocess"), pieces=f)
+        return Tokenizer(c.get("name", name), f, preprocess=c.get("preprocess"), pieces=f, cut=c.get("cut", None if "pattern" in c else cut))
 
     return make
 
@@ -109,7 +117,7 @@ def huggingface(config: dict[str, Any]) -> Tokenizer:
 
     vocab = tok.get_vocab()
     unk = next((vocab[u] for u in (config.get("unk"), getattr(tok.model, "unk_token", None), "<unk>", "[UNK]", "<UNK>") if u and u in vocab), None)
-    return Tokenizer(config.get("name", "huggingface"), _arrow(encode, "array<int>"), vocab, unk, config.get("preprocess"), _arrow(decode, "string"), _arrow(pieces, "array<string>"), lambda ids: [_named(_hf(path).id_to_token(i), i) for i in ids])
+    return Tokenizer(config.get("name", "huggingface"), _arrow(encode, "array<int>"), vocab, unk, config.get("preprocess"), _arrow(decode, "string"), _arrow(pieces, "array<string>"), lambda ids: [_named(_hf(path).id_to_token(i), i) for i in ids], config.get("cut"))
 
 
 def sentencepiece(config: dict[str, Any]) -> Tokenizer:
@@ -208,7 +216,7 @@ REGISTRY: dict[str, Callable[[dict[str, Any]], Tokenizer]] = {
     "whitespace": _pattern("whitespace", rf"(?U)[^{SPACE}]+"),
     "word_punct": _pattern("word_punct", r"[\p{L}\p{M}\p{N}_]+|[^\s\p{L}\p{M}\p{N}_]+"),
     "hf_whitespace": _pattern("hf_whitespace", WORD_PUNCT),
-    "char": _pattern("char", r"(?s)."),
+    "char": _pattern("char", r"(?s).", BEFORE_GAPS),
     "regex": _pattern("regex", r"\S+"),
     "huggingface": huggingface,
     "sentencepiece": sentencepiece,

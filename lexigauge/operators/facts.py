@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.measure import Measure, n_units
@@ -21,21 +21,22 @@ class Facts:
     held: bool = False
 
 
-def doc_facts(tokens: DataFrame, measure: Measure = Measure()) -> DataFrame:
-    """Numbers of each text, without a shuffle. Texts that are missing have units only if words are counted: half their tokens, at least one."""
-    text, n = F.col("text"), F.size("tokens").cast("bigint")
+def text_facts(text: Column, measure: Measure = Measure(), n_tokens: Column | None = None) -> list[Column]:
+    """n_units, n_chars, n_lines, has_text of a text. Missing texts have units only if words are counted and their tokens are known: half of them, at least one."""
     missing = text.isNull() | (text == "")
-    guess = F.greatest(F.lit(1), F.floor(n * 0.5)).cast("bigint") if measure.method == "words" else F.lit(0).cast("bigint")
-    return tokens.select(
-        "tokenizer",
-        "language",
-        "doc_id",
-        n.alias("n_tokens"),
+    guess = F.greatest(F.lit(1), F.floor(n_tokens * 0.5)).cast("bigint") if measure.method == "words" and n_tokens is not None else F.lit(0).cast("bigint")
+    return [
         F.when(missing, guess).otherwise(n_units(text, measure)).alias("n_units"),
         F.coalesce(F.length(text), F.lit(0)).cast("bigint").alias("n_chars"),
         F.when(missing, 0).otherwise(F.size(F.split(text, "\n", -1))).cast("bigint").alias("n_lines"),
         (~missing).alias("has_text"),
-    )
+    ]
+
+
+def doc_facts(tokens: DataFrame, measure: Measure = Measure()) -> DataFrame:
+    """Numbers of each text, without a shuffle."""
+    n = F.size("tokens").cast("bigint")
+    return tokens.select("tokenizer", "language", "doc_id", n.alias("n_tokens"), *text_facts(F.col("text"), measure, n))
 
 
 def token_counts(tokens: DataFrame) -> DataFrame:

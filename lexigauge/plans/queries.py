@@ -17,6 +17,7 @@ from ..operators import metrics as M
 from ..operators import morphology, training, validate
 from ..operators.encode import encode, tokenizer
 from ..operators.facts import Facts, facts, with_groups
+from ..operators.pieces import encoded_characters, facts_by_pieces
 from ..operators.vocab import numbered
 from .analyzer import name_conflicts
 from .corpus import capped, document_facts, documents, native_tokenizers
@@ -143,6 +144,27 @@ def unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.unigram(document_facts(spark, sf_dir)))
 
 
+@query(f"WITH {TOKENS} SELECT tokenizer, language, token, cnt FROM counts")
+def dictionary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts with each distinct piece encoded once."""
+    return facts_by_pieces(documents(spark, sf_dir), native_tokenizers()).counts
+
+
+@query(stats_sql("n_tokens / n_bytes", SETS))
+def dictionary_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fertility with the texts' lengths from their pieces."""
+    return rounded(M.fertility(facts_by_pieces(documents(spark, sf_dir), native_tokenizers())))
+
+
+@query(
+    """WITH p AS (SELECT unnest(list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')) AS piece FROM documents), d AS (SELECT piece, count(*) AS n FROM p GROUP BY piece)
+SELECT unnest(['whitespace', 'word_punct']) AS tokenizer, CAST(sum(n * length(piece)) AS BIGINT) AS in_texts, CAST(sum(length(piece)) AS BIGINT) AS in_pieces, CAST(sum(n) AS BIGINT) AS occurrences, count(*) AS pieces FROM d"""
+)
+def dictionary_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters that are encoded text by text, and by the dictionary."""
+    return encoded_characters(documents(spark, sf_dir), native_tokenizers())
+
+
 #: The corpus with one language taken from its texts.
 UNTOLD = TOKENS.replace("lang AS language", "nullif(lang, 'fr') AS language").replace("'whitespace', lang,", "'whitespace', nullif(lang, 'fr'),")
 
