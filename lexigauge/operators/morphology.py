@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import accumulate
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.measure import SPACE
+
 # Punctuation that word alignment ignores, and marks that tokenizers put on tokens.
 PUNCTUATION = '.,!?;:"()[]{}'
 # Two-letter and underscored language codes and their three-letter codes.
@@ -32,99 +30,111 @@ def cleaned(tokens: Column) -> Column:
     return F.filter(F.transform(tokens, one), lambda t: t != "")
 
 
-def words_of(text: str) -> list[str]:
-    return [w.strip(PUNCTUATION) for w in text.lower().split()]
-
-
-def aligned(text: str, tokens: list[str]) -> list[tuple[str, list[str]]]:
-    """Words of text with their tokens. A token that begins with a space mark begins a word; groups of
-    punctuation alone join the group before; groups and words are paired in order, and what
-    is left over goes to the last word."""
-    groups: list[list[str]] = []
-    for t in tokens:
-        if not groups or t[:1] in ("Ġ", " "):
-            groups.append([t])
-        else:
-            groups[-1].append(t)
-    merged: list[list[str]] = []
-    for k, g in enumerate(groups):
-        shown = "".join((t[1:] if i == 0 and k else t[2:] if i and t.startswith("##") else t) for i, t in enumerate(g))
-        if k and not shown.strip(PUNCTUATION):
-            merged[-1] = merged[-1] + g
-        else:
-            merged.append(g)
-    out = list(zip(words_of(text), merged, strict=False))
-    used = sum(len(g) for _, g in out)
-    if out and used < len(tokens):
-        out[-1] = (out[-1][0], out[-1][1] + tokens[used:])
-    return out
+#: Of Python's white space, which words are split at.
+WORDS = rf"(?U)[^{SPACE}]+"
+_MARKS = "".join("\\" + c for c in PUNCTUATION)
 
 
-def align_words(tokens: DataFrame) -> DataFrame:
-    """tokenizer, language, word, tokens, n: distinct words (two letters at least) with their tokens (strings) and how often they occur."""
+def words_of(text: Column) -> Column:
+    """The words of a text in lower case, without punctuation at their ends."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0))
+    return F.transform(found, lambda w: F.regexp_replace(w, rf"^[{_MARKS}]+|[{_MARKS}]+\z", ""))
+
+
+def _up_to_next(starts: Column, end: Column) -> Column:
+    """Structs (s, e) of intervals that begin at starts, each up to the next; the last up to end."""
+    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(end))
+    return F.zip_with(starts, F.slice(ends, 1, F.size(starts)), lambda s, e: F.struct(s.alias("s"), e.alias("e")))
+
+
+def _part(tokens: Column, x: Column) -> Column:
+    return F.slice(tokens, x["s"] + 1, x["e"] - x["s"])
+
+
+def _punctuation(tokens: Column) -> Column:
+    """Whether a group behind a text's first is punctuation alone, without its space mark and continuation marks."""
+    shown = F.transform(tokens, lambda t, i: F.when(i == 0, F.substring(t, 2, 1 << 30)).when(F.startswith(t, F.lit("##")), F.substring(t, 3, 1 << 30)).otherwise(t))
+    return F.regexp_like(F.array_join(shown, ""), F.lit(rf"^[{_MARKS}]*\z"))
 
-    @F.pandas_udf("array<struct<word string, tokens array<string>>>")
-    def pairs(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, toks in batches:
-            yield pd.Series([[{"word": w, "tokens": g} for w, g in aligned(t, list(k))] if t else [] for t, k in zip(texts, toks, strict=True)])
 
-    x = tokens.select("tokenizer", "language", F.explode(pairs("text", "tokens")).alias("p")).select("tokenizer", "language", "p.word", "p.tokens")
+def aligned(df: DataFrame) -> DataFrame:
+    """df (text, tokens) with pairs: words of the text with their tokens, array<struct<word, tokens>>, in expressions alone.
+
+    A token that begins with a space mark begins a group; groups of punctuation alone join the one before;
+    groups and words are paired in order, and what is left over goes to the last word. Groups are intervals of the
+    token array, so a text costs time in proportion to its length.
+    """
+    tokens = F.col("tokens")
+    n = F.size("tokens")
+    begins = lambda i: (i == 0) | F.regexp_like(F.get(tokens, i), F.lit("^[Ġ ]"))
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    x = df.withColumns({"__words": words_of(F.col("text")), "__starts": F.filter(places, begins)})
+    x = x.withColumn("__groups", _up_to_next(F.col("__starts"), n))
+    own = F.filter("__groups", lambda g, k: (k == 0) | ~_punctuation(_part(tokens, g)))
+    x = x.withColumn("__starts", F.transform(own, lambda g: g["s"])).withColumn("__m", F.least(F.size("__words"), F.size("__starts")))
+    x = x.withColumn("__groups", _up_to_next(F.slice("__starts", 1, F.col("__m")), n))
+    pairs = F.zip_with(F.slice("__words", 1, F.col("__m")), "__groups", lambda w, g: F.struct(w.alias("word"), _part(tokens, g).alias("tokens")))
+    none = F.array().cast("array<struct<word:string,tokens:array<string>>>")
+    return x.withColumn("pairs", F.when(F.coalesce(F.col("text") != "", F.lit(False)) & (F.col("__m") > 0), pairs).otherwise(none)).drop("__words", "__starts", "__groups", "__m")
+
+
+def align_words(tokens: DataFrame) -> DataFrame:
+    """tokenizer, language, word, tokens, n: distinct words (two letters at least) with their tokens (strings) and how often they occur."""
+    x = aligned(tokens.select("tokenizer", "language", "text", "tokens")).select("tokenizer", "language", F.explode("pairs").alias("p")).select("tokenizer", "language", "p.word", "p.tokens")
     return x.where(F.length("word") >= LEAST_WORD).groupBy("tokenizer", "language", "word", "tokens").agg(F.count("*").alias("n"))
 
 
-def in_order(parts: list[str], word: str, skip: bool) -> list[tuple[int, int]]:
-    """Where parts stand in word, searched from left to right. A part that is not found is skipped, or takes its length of what is left."""
-    out, at = [], 0
-    for p in parts:
-        if not skip and at >= len(word):
-            break
-        k = word.find(p, at)
-        if k < 0 and skip:
-            continue
-        a, b = (k, k + len(p)) if k >= 0 else (at, min(len(word), at + len(p)))
-        out.append((a, b))
-        at = b
-    return out
-
-
-def sound(spans: list[tuple[int, int]], n: int) -> bool:
-    """Not empty, inside the word, in order and apart."""
-    ends = [0, *(b for _, b in spans)]
-    return bool(spans) and all(e <= a < b <= n for (a, b), e in zip(spans, ends, strict=False))
-
-
-def evenly(n: int, parts: int) -> list[tuple[int, int]]:
-    cuts = [int(i * n / parts) for i in range(parts)] + [n]
-    return list(zip(cuts, cuts[1:], strict=False))
-
-
-def spans_of(parts: list[str], word: str, morphemes: bool) -> list[tuple[int, int]]:
-    """Boundaries of tokens or morphemes in word: side by side if they spell it, else as found, else evenly."""
-    low = word.lower()
-    if "".join(parts).lower() == low:
-        ends = list(accumulate(map(len, parts)))
-        spans = list(zip([0, *ends], ends, strict=False))
-        if sound(spans, len(word)):
-            return spans
-    spans = in_order([p.lower() for p in parts], low, morphemes)
-    return spans if sound(spans, len(word)) else evenly(len(word), len(parts))
-
-
-def score(word: str, tokens: list[str], morphemes: list[str]) -> dict[str, float] | None:
-    """Alignment of clean tokens with morphemes, from the ends inside the word. None without either."""
-    if not tokens or not morphemes or not word:
-        return None
-    inner = lambda parts, m: {b for _, b in spans_of(parts, word, m)} - {len(word)}
-    gold, cut = inner(morphemes, True), inner(tokens, False)
-    both = len(gold & cut)
-    p, r = both / len(cut) if cut else 0.0, both / len(gold) if gold else 0.0
-    return {
+def _side_by_side(parts: Column, word: Column) -> Column:
+    """Ends of parts that spell word, one after the other; null if they don't."""
+    lengths = F.transform(parts, F.length)
+    run = F.aggregate(lengths, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends")), lambda s, k: F.struct((s["at"] + k).alias("at"), F.concat(s["ends"], F.array(s["at"] + k)).alias("ends")))
+    spelled = (F.lower(F.array_join(parts, "")) == F.lower(word)) & ~F.exists(parts, lambda p: p == "") & (run["at"] <= F.length(word))
+    return F.when(spelled, run["ends"])
+
+
+def _as_found(parts: Column, word: Column, skip: bool) -> Column:
+    """Ends of parts searched in word from left to right; null if none are found or one is empty. A part that is not there is skipped, or takes its length of what is left."""
+    low, n = F.lower(word), F.length(word)
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"), F.lit(True).alias("sound"))
+
+    def step(s: Column, p: Column) -> Column:
+        p = F.lower(p)
+        found = F.position(p, low, s["at"] + 1)
+        end = F.when(found > 0, found - 1 + F.length(p))
+        if not skip:
+            end = F.coalesce(end, F.least(n, s["at"] + F.length(p)))
+        on = F.struct(end.alias("at"), F.concat(s["ends"], F.array(end)).alias("ends"), s["sound"].alias("sound"))
+        past = F.lit(False) if skip else s["at"] >= n
+        empty = F.struct(s["at"].alias("at"), s["ends"].alias("ends"), F.lit(False).alias("sound"))
+        return F.when(past, s).when(p == "", empty).when(end.isNull(), s).otherwise(on)
+
+    run = F.aggregate(parts, zero, step)
+    return F.when(run["sound"] & (F.size(run["ends"]) > 0), run["ends"])
+
+
+def boundaries(parts: Column, word: Column, morphemes: bool) -> Column:
+    """Ends inside word of its tokens or morphemes: side by side if they spell it, else as found, else evenly."""
+    n, k = F.length(word), F.size(parts)
+    evenly = F.transform(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), lambda i: F.when(i >= k, n).otherwise(F.floor(i * n / k)).cast("int"))
+    ends = F.coalesce(_side_by_side(parts, word), _as_found(parts, word, morphemes), evenly)
+    return F.array_distinct(F.filter(ends, lambda e: e != n))
+
+
+def scores(word: Column, tokens: Column, morphemes: Column, gold: Column) -> dict[str, Column]:
+    """Alignment of clean tokens with morphemes, from the ends inside the word; gold: those of the morphemes. Null without tokens, morphemes or word."""
+    cut = boundaries(tokens, word, False)
+    both = F.size(F.array_intersect(cut, gold)).cast("double")
+    part = lambda n: F.coalesce(F.try_divide(both, n.cast("double")), F.lit(0.0))
+    p, r, m = part(F.size(cut)), part(F.size(gold)), F.size(morphemes)
+    made = {
         "boundary_precision": p,
         "boundary_recall": r,
-        "boundary_f1": 2 * p * r / (p + r) if p + r else 0.0,
-        "morpheme_preservation": sum(m in tokens for m in morphemes) / len(morphemes),
-        "over_segmentation": max(0, len(tokens) - len(morphemes)) / len(morphemes),
+        "boundary_f1": F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)),
+        "morpheme_preservation": F.size(F.filter(morphemes, lambda x: F.array_contains(tokens, x))) / m,
+        "over_segmentation": F.greatest(F.lit(0), F.size(tokens) - m) / m,
     }
+    known = (F.size(tokens) > 0) & (m > 0) & (word != "")
+    return {k: F.when(known, v) for k, v in made.items()}
 
 
 SCORES = ("boundary_precision", "boundary_recall", "boundary_f1", "morpheme_preservation", "over_segmentation")
@@ -138,10 +148,15 @@ def lexicon_key(language: Column, known: list[str]) -> Column:
 
 
 def best_entries(lexicon: DataFrame) -> DataFrame:
-    """One segmentation a word and language: that of the dataset of least priority number."""
+    """One segmentation a word and language, that of the dataset of least priority number, with its boundaries."""
     w = Window.partitionBy("language", "word").orderBy("dataset_priority", "dataset")
     x = lexicon.withColumn("word", F.lower("word")).withColumn("__n", F.row_number().over(w)).where("__n = 1")
-    return x.select(F.col("language").alias("lang_key"), "word", "morphemes")
+    return with_boundaries(x.select(F.col("language").alias("lang_key"), "word", "morphemes"))
+
+
+def with_boundaries(lexicon: DataFrame) -> DataFrame:
+    """lexicon with gold, the ends of morphemes inside each word, so that they are found once a row, not once a token sequence."""
+    return lexicon.withColumn("gold", boundaries(F.col("morphemes"), F.col("word"), True))
 
 
 def lookup(words: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -154,13 +169,9 @@ def lookup(words: DataFrame, lexicon: DataFrame) -> DataFrame:
 def alignment(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Scores of each distinct word and its tokens, with n occurrences."""
 
-    @F.pandas_udf(", ".join(f"{s} double" for s in SCORES))
-    def scores(words: pd.Series, toks: pd.Series, morphs: pd.Series) -> pd.DataFrame:
-        rows = [score(w, list(t), list(m)) for w, t, m in zip(words, toks, morphs, strict=True)]
-        return pd.DataFrame([r or dict.fromkeys(SCORES) for r in rows], columns=list(SCORES), dtype="float64")
-
     x = lookup(align_words(tokens), lexicon).withColumn("tokens", cleaned(F.col("tokens"))).where((F.size("tokens") > 0) & (F.size("morphemes") > 0))
-    return x.withColumn("s", scores("word", "tokens", "morphemes")).select("tokenizer", "language", "word", "tokens", "morphemes", "n", "s.*")
+    made = scores(F.col("word"), F.col("tokens"), F.col("morphemes"), F.col("gold"))
+    return x.select("tokenizer", "language", "word", "tokens", "morphemes", "n", *[v.alias(k) for k, v in made.items()])
 
 
 def by_language(scored: DataFrame) -> DataFrame:

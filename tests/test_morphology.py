@@ -1,6 +1,10 @@
 """Word alignment and boundary scores."""
 
+import random
+
+import plain_morphology as P
 import pytest
+from pyspark.sql import functions as F
 
 from lexigauge.operators import morphology as M
 
@@ -27,25 +31,68 @@ WORDS = [
 ]
 
 
-@pytest.mark.parametrize(("text", "tokens", "want"), WORDS)
-def test_words(text, tokens, want):
-    assert [(w, len(t)) for w, t in M.aligned(text, tokens)] == want
+def aligned(spark, rows):
+    df = spark.createDataFrame([(i, x, t) for i, (x, t) in enumerate(rows)], "i int, text string, tokens array<string>")
+    return [[(p.word, list(p.tokens)) for p in r.pairs] for r in M.aligned(df).orderBy("i").collect()]
 
 
-def test_scores(spark):
-    from pyspark.sql import functions as F
+def test_words(spark):
+    for (_, _, want), got in zip(WORDS, aligned(spark, [x[:2] for x in WORDS]), strict=True):
+        assert [(w, len(t)) for w, t in got] == want
+
+
+def test_words_against_plain(spark):
+    rng = random.Random(7)
+    bits = ["Ġ", " ", "a", "Bc", ".", ",", "...", "##", "##d", "Ġ.", " !", "Ġ(", "İ", "é", "ĠĠ", "▁x", ""]
+    rows = []
+    for _ in range(400):
+        tokens = ["".join(rng.choices(bits, k=rng.randint(1, 2))) for _ in range(rng.randint(0, 9))]
+        rows.append(("".join(rng.choices([" ", "a", "Bc", ".", "\x1f", "\u00a0", "(é)", "\n"], k=rng.randint(0, 9))), tokens))
+    rows += [(None, ["a"]), ("", ["a"]), ("a", []), ("  ", ["a"]), ("one two " * 3000, ["Ġone", "Ġt", "wo"] * 3000)]
+    assert aligned(spark, rows) == [P.aligned(x, t) if x else [] for x, t in rows]
+
+
+def scored(spark, rows):
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, word string, tokens array<string>, morphemes array<string>")
+    x = M.with_boundaries(df).withColumns(M.scores(F.col("word"), F.col("tokens"), F.col("morphemes"), F.col("gold")))
+    return [{s: r[s] for s in M.SCORES} if r.boundary_f1 is not None else None for r in x.orderBy("i").collect()]
+
 
+def test_scores(spark):
     df = spark.createDataFrame([(i, t) for i, (_, t, _, _) in enumerate(SCORES)], "i int, t array<string>")
     clean = {r.i: r.c for r in df.select("i", M.cleaned(F.col("t")).alias("c")).collect()}
-    for i, (word, _, f1, keep) in enumerate(SCORES):
-        s = M.score(word, clean[i], LEXICON[word.lower()])
+    got = scored(spark, [(word, clean[i], LEXICON[word.lower()]) for i, (word, *_) in enumerate(SCORES)])
+    for (_, _, f1, keep), s in zip(SCORES, got, strict=True):
         assert s["boundary_f1"] == pytest.approx(f1, abs=0.01)
         assert s["morpheme_preservation"] == pytest.approx(keep, abs=0.01)
 
 
-def test_cleaned(spark):
-    from pyspark.sql import functions as F
+def test_scores_against_plain(spark):
+    """Parts that spell the word, parts that are found in it, parts that are not, empty parts, none at all."""
+    rng = random.Random(9)
+    rows = [("", ["a"], ["a"]), ("ab", [], ["ab"]), ("ab", ["ab"], [])]
+    for _ in range(600):
+        word = "".join(rng.choices("abÄé", k=rng.randint(1, 9)))
+
+        def cut(kind, word=word):
+            at = sorted(rng.sample(range(1, len(word)), rng.randint(0, min(3, len(word) - 1)))) if len(word) > 1 else []
+            parts = [word[i:j] for i, j in zip([0, *at], [*at, len(word)], strict=True)]
+            if kind == "some":
+                parts.pop(rng.randrange(len(parts)))
+            elif kind == "other":
+                parts = ["".join(rng.choices("abxÄ", k=rng.randint(0, 3))) for _ in range(rng.randint(1, 5))]
+            return [x.upper() if rng.random() < 0.2 else x for x in parts]
 
+        rows.append((word, cut(rng.choice(["all", "some", "other"])), cut(rng.choice(["all", "some", "other"]))))
+    branches = {"evenly" if P.spans_of(m, w, True) == P.evenly(len(w), len(m)) else "found" for w, _, m in rows if w and m}
+    assert branches == {"evenly", "found"}
+    for r, s in zip(rows, scored(spark, rows), strict=True):
+        want = P.score(*r)
+        assert (s is None) == (want is None), r
+        assert want is None or s == pytest.approx(want), r
+
+
+def test_cleaned(spark):
     df = spark.createDataFrame([(["Ġa", "▁b", " c", "##d", "e</w>", "f@@", "<|x|>", "[SEP]", "", "g"],)], "t array<string>")
     assert df.select(M.cleaned(F.col("t"))).first()[0] == ["a", "b", "c", "d", "e", "f", "g"]
 
