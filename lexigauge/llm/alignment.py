@@ -110,7 +110,7 @@ class Chunks(dict):
 
     def ids_a(self, chunk: str) -> bytes:
         space, word = ("\n", chunk[1:]) if chunk[0] == "\n" else ("Ġ", chunk)
-        if (m := PLAIN(word)) and not m[3]:
+        if m := PLAIN(word):
             ids = self.a.letters("Ġ", m[1]) if space == "Ġ" else self.a.stop(space) + self.a.letters("", m[1])
             return ids + self.a.stop(m[2]) if m[2] else ids
         return self.a.whole(chunk if chunk[0] in " \n" else " " + chunk)

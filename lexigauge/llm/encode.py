@@ -1,8 +1,8 @@
 """Whole-text byte-level BPE by the tokenizers library, with results kept per chunk.
 
-A space after a character that is not white space always begins a new pre-token, so a
-text falls into chunks that encode alike wherever they stand. Texts repeat their chunks,
-so each worker encodes a chunk once and then looks it up. The ids are those of
+A space after a character that is not white space always begins a new pre-token, and a line's
+end between two such characters is one of its own, so a text falls into chunks that encode
+alike wherever they stand. Texts repeat their chunks, so each worker encodes a chunk once and then looks it up. The ids are those of
 ``Tokenizer.encode(text, add_special_tokens=False)``; tests compare the two.
 """
 
@@ -14,12 +14,12 @@ from operator import attrgetter
 
 from .common import cached_in_worker
 
-#: Chunks in each of the two generations that a worker keeps: about 100 MB each at most.
-KEEP = 400_000
+#: Chunks in each of the two generations that a worker keeps: about 130 MB each at most.
+KEEP = 600_000
 #: Space not preceded by white space (Python's, a superset of the library's).
 CUT = re.compile(r"(?<=\S)(?= )")
-#: Chunks of letters up to U+024F, of which every Unicode version agrees that they are letters, ASCII marks but the apostrophe, and a second such line start.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)(?:\n([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*))?").fullmatch
+#: Chunks of letters up to U+024F, of which every Unicode version agrees that they are letters, and ASCII marks but the apostrophe.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
 
 ID = attrgetter("id")
@@ -38,7 +38,7 @@ class Unsafe(Exception):
 
 
 class Encoder(dict):
-    """Chunk (without its leading space) to ids as little-endian unsigned 32-bit bytes."""
+    """Chunk (without its leading space, or with the line's end that it begins with) to ids as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -68,9 +68,12 @@ class Encoder(dict):
             if len(self.starts) > 10_000:
                 self.starts = {"": b""}
             # letters alone are one pre-token; longer beginnings are seldom seen twice
-            if not (first.isascii() and first.isalpha()):
+            if not (m := PLAIN(first)):
                 return self.whole(first)
-            self.starts[first] = self.letters("", first)
+            ids = self.letters("", m[1])
+            if m[2]:
+                return ids + self.stop(m[2])
+            self.starts[first] = ids
         return self.starts[first]
 
     def letters(self, space: str, word: str) -> bytes:
@@ -88,11 +91,12 @@ class Encoder(dict):
                 ids = self[word] + self.stop(chunk[-1])
             elif not chunk or chunk[-1].isspace():
                 raise Unsafe
+            elif chunk[0] == "\n":
+                if chunk[1].isspace():
+                    raise Unsafe
+                ids = self.stop("\n") + self.start(chunk[1:])
             elif m := PLAIN(chunk):
-                word, rest, below, end = m.groups()
-                ids = self[word] + self.stop(rest) if rest or below else self.letters("Ġ", word)
-                if below:
-                    ids += self.stop("\n") + self.letters("", below) + self.stop(end)
+                ids = self[m[1]] + self.stop(m[2])
             else:
                 ids = self.whole(" " + chunk)
         if len(self) >= KEEP:
@@ -106,7 +110,7 @@ class Encoder(dict):
         if not text:
             return b""
         try:
-            first, *rest = text.split(" ")
+            first, *rest = text.replace("\n", " \n").split(" ")
             if first[-1:].isspace():
                 raise Unsafe
             return self.start(first) + b"".join(map(self.__getitem__, rest))
@@ -115,7 +119,7 @@ class Encoder(dict):
             if not rest:
                 return self.whole(first)
             last = rest.pop()
-            return self.whole(first) + b"".join([self[x[1:]] for x in rest]) + (self.whole(last) if last[-1].isspace() else self[last[1:]])
+            return self.whole(first) + b"".join([self.whole(x) if x[1].isspace() else self[x[1:]] for x in rest]) + (self.whole(last) if last[-1].isspace() or last[1].isspace() else self[last[1:]])
 
 
 def encoder(path: str) -> Encoder:
