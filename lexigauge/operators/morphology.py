@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,11 +149,15 @@ def lexicon_key(language: Column, known: list[str]) -> Column:
     return F.coalesce(*[F.when(c.isin(known), c) for c in codes])
 
 
+#: Columns of a lexicon that scores carry on: how often a word occurs, and which part of the data it is of.
+EXTRA = ("freq", "split")
+
+
 def best_entries(lexicon: DataFrame) -> DataFrame:
     """One segmentation a word and language, that of the dataset of least priority number, with its boundaries."""
     w = Window.partitionBy("language", "word").orderBy("dataset_priority", "dataset")
     x = lexicon.withColumn("word", F.lower("word")).withColumn("__n", F.row_number().over(w)).where("__n = 1")
-    return with_boundaries(x.select(F.col("language").alias("lang_key"), "word", "morphemes"))
+    return with_boundaries(x.select(F.col("language").alias("lang_key"), "word", "morphemes", *[c for c in EXTRA if c in lexicon.columns]))
 
 
 def with_boundaries(lexicon: DataFrame) -> DataFrame:
@@ -171,57 +177,78 @@ def alignment(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
 
     x = lookup(align_words(tokens), lexicon).withColumn("tokens", cleaned(F.col("tokens"))).where((F.size("tokens") > 0) & (F.size("morphemes") > 0))
     made = scores(F.col("word"), F.col("tokens"), F.col("morphemes"), F.col("gold"))
-    return x.select("tokenizer", "language", "word", "tokens", "morphemes", "n", *[v.alias(k) for k, v in made.items()])
+    return x.select("tokenizer", "language", "word", "tokens", "morphemes", "n", *[c for c in EXTRA if c in x.columns], *[v.alias(k) for k, v in made.items()])
 
 
 def by_language(scored: DataFrame) -> DataFrame:
-    """metric, count, mean, std (population) by tokenizer and language, over occurrences of words."""
+    """metric, count, mean, std (population) by tokenizer and language, over occurrences of words.
+
+    Equal scores are counted first, in tasks, since there are few; spreads are taken around the mean.
+    """
+    by = ["tokenizer", "language", "metric"]
     rows = F.explode(F.array(*[F.struct(F.lit(s).alias("metric"), F.col(s).alias("x")) for s in SCORES]))
-    x = scored.select("tokenizer", "language", "n", rows.alias("r")).select("tokenizer", "language", "n", "r.*")
-    a = x.groupBy("tokenizer", "language", "metric").agg(F.sum("n").alias("count"), F.sum(F.col("n") * F.col("x")).alias("s1"), F.sum(F.col("n") * F.col("x") ** 2).alias("s2"))
-    mean = F.col("s1") / F.col("count")
-    return a.select("tokenizer", "language", "metric", "count", mean.alias("mean"), F.sqrt(F.greatest(F.col("s2") / F.col("count") - mean * mean, F.lit(0.0))).alias("std"))
+    x = scored.select("tokenizer", "language", "n", rows.alias("r")).select("tokenizer", "language", "n", "r.*").groupBy(*by, "x").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy(*by)
+    x = x.withColumn("mean", F.sum(F.col("n") * F.col("x")).over(w) / F.sum("n").over(w))
+    spread = F.sum(F.col("n") * (F.col("x") - F.col("mean")) ** 2) / F.sum("n")
+    return x.groupBy(*by).agg(F.sum("n").alias("count"), F.max("mean").alias("mean"), F.sqrt(spread).alias("std"))
 
 
-def summary(langs: DataFrame) -> DataFrame:
-    """By tokenizer: means over languages, their standard errors (0 for one language), languages and words."""
+def summary(langs: DataFrame, keys: Sequence[str] = ("tokenizer",)) -> DataFrame:
+    """By keys: means over languages, their standard errors (0 for one language), languages and words. langs is by_language(), also joined to groups."""
     pick = lambda m: F.when(F.col("metric") == m, F.col("mean"))
     f1, keep = pick("boundary_f1"), pick("morpheme_preservation")
-    err = lambda c: F.when(F.count(c) > 1, F.stddev_pop(c) / F.sqrt(F.count(c))).otherwise(0.0)
-    return langs.groupBy("tokenizer").agg(
+    return langs.groupBy(*keys).agg(
         F.avg(f1).alias("avg_boundary_f1"),
         F.avg(keep).alias("avg_morpheme_preservation"),
-        err(f1).alias("boundary_f1_std_err"),
-        err(keep).alias("morpheme_preservation_std_err"),
+        _error(f1).alias("boundary_f1_std_err"),
+        _error(keep).alias("morpheme_preservation_std_err"),
         F.countDistinct("language").alias("languages_analyzed"),
         F.sum(F.when(F.col("metric") == "boundary_f1", F.col("count"))).alias("total_words_analyzed"),
     )
 
 
-def morph_score(tokens: DataFrame, lexicon: DataFrame, *, skip_single: bool = True) -> DataFrame:
+def _error(c: Column) -> Column:
+    return F.when(F.count(c) > 1, F.stddev_pop(c) / F.sqrt(F.count(c))).otherwise(0.0)
+
+
+def morph_score(tokens: DataFrame, lexicon: DataFrame, **options: bool) -> DataFrame:
     """The published MorphScore: recall and precision of boundaries at morpheme boundaries by language, over word types.
 
-    Words that are one token or one morpheme are left out (skip_single). There is no code
-    to compare this with.
+    Options are those of morph_scores(). There is no code to compare this with.
     """
-    return morph_scores(alignment(tokens, lexicon), skip_single=skip_single)
+    return morph_scores(alignment(tokens, lexicon), **options)
 
 
-def morph_scores(s: DataFrame, *, skip_single: bool = True) -> DataFrame:
-    """morph_score() of words that are aligned already."""
+def morph_scores(s: DataFrame, *, skip_single: bool = True, freq_scale: bool = False, by_split: bool = False) -> DataFrame:
+    """morph_score() of words that are aligned already.
+
+    skip_single leaves out words that are one token or one morpheme; freq_scale weighs a word by the lexicon's freq (null as 1); by_split gives
+    rows for each split of the lexicon.
+    """
     if skip_single:
         s = s.where((F.size("tokens") > 1) & (F.size("morphemes") > 1))
-    gold, cut = F.size("morphemes") - 1, F.size("tokens") - 1
-    hit = F.col("boundary_recall") * gold
-    return s.groupBy("tokenizer", "language").agg(
-        F.avg("boundary_recall").alias("morphscore_recall"),
-        F.avg("boundary_precision").alias("morphscore_precision"),
-        F.try_divide(2 * F.sum(hit), F.sum(gold) + F.sum(cut)).alias("micro_f1"),
-        F.avg("boundary_f1").alias("macro_f1"),
+    weight = F.coalesce(F.col("freq").cast("double"), F.lit(1.0)) if freq_scale else F.lit(1.0)
+    gold, cut = (F.size("morphemes") - 1) * weight, (F.size("tokens") - 1) * weight
+    mean = lambda c: F.try_divide(F.sum(F.col(c) * weight), F.sum(weight))
+    return s.groupBy("tokenizer", "language", *(["split"] if by_split else [])).agg(
+        mean("boundary_recall").alias("morphscore_recall"),
+        mean("boundary_precision").alias("morphscore_precision"),
+        F.try_divide(2 * F.sum(F.col("boundary_recall") * gold), F.sum(gold) + F.sum(cut)).alias("micro_f1"),
+        mean("boundary_f1").alias("macro_f1"),
         F.count("*").alias("num_samples"),
     )
 
 
+MORPH_SCORES = ("morphscore_recall", "morphscore_precision", "micro_f1", "macro_f1")
+
+
+def morph_summary(scores: DataFrame, keys: Sequence[str] = ("tokenizer",)) -> DataFrame:
+    """By keys: of each MorphScore number the mean over languages, its population deviation and standard error; total_samples."""
+    each = [c for m in MORPH_SCORES for c in (F.avg(m).alias(f"avg_{m}"), F.stddev_pop(m).alias(f"avg_{m}_std"), (F.stddev_pop(m) / F.sqrt(F.count(m))).alias(f"avg_{m}_std_err"))]
+    return scores.groupBy(*keys).agg(F.sum("num_samples").alias("total_samples"), *each)
+
+
 def inferred_morphemes(base: str, derived: str) -> list[str]:
     """Morphemes of a word derived from base: what is added before or after it, or the shared stem and the rest."""
     b, d = base.lower(), derived.lower()

@@ -133,10 +133,12 @@ class Analyzer:
             for (kind, name), x in sorted(got.items()):
                 out["grouped_analysis"].setdefault(kind, {})[name] = nested(x, f.measure, only)
             if self.lexicon is not None:
-                for kind, names in out["grouped_analysis"].items():
-                    for name, x in names.items():
-                        members = {r[0] for r in self.groups.where((F.col("group_type") == kind) & (F.col("group_name") == name)).select("language").collect()}
-                        x |= self.morphology(only, members)
+                groups: dict[tuple[str, str], dict[str, list]] = {}
+                for n, d in self.morphology_frames(("tokenizer", *GROUP)).items():
+                    for r in d.collect():
+                        groups.setdefault((r["group_type"], r["group_name"]), {}).setdefault(n, []).append(r)
+                for (kind, name), x in groups.items():
+                    out["grouped_analysis"].setdefault(kind, {}).setdefault(name, {}).update(nested_morphology(x, only))
         return out
 
     def aligned(self) -> DataFrame:
@@ -145,29 +147,35 @@ class Analyzer:
             self._aligned = morphology.alignment(spelled(self.tokens, self.known), self.lexicon).persist(StorageLevel.MEMORY_AND_DISK)
         return self._aligned
 
-    def morphology(self, only: Sequence[str] | None = None, languages: set[str] | None = None) -> dict[str, Any]:
-        """Morphological alignment and MorphScore, of all languages or some."""
+    def morphology_frames(self, keys: Sequence[str] = ("tokenizer",)) -> dict[str, DataFrame]:
+        """Scores by language and their summaries, of alignment and MorphScore; with the columns of groups also by group.
+
+        Words are scored once; groups only join the rows of languages.
+        """
         scored = self.aligned()
-        if languages is not None:
-            scored = scored.where(F.col("language").isin(sorted(languages)))
-        langs = morphology.by_language(scored)
-        per: dict[str, Any] = {}
-        for r in langs.collect():
-            per.setdefault(r["tokenizer"], {}).setdefault(r["metric"], {})[r["language"]] = {k: r[k] for k in ("count", "mean", "std")}
-        brief = {r["tokenizer"]: {k: v for k, v in r.asDict().items() if k != "tokenizer"} for r in morphology.summary(langs).collect()}
-        ms: dict[str, Any] = {}
-        for r in morphology.morph_scores(scored).collect():
-            ms.setdefault(r["tokenizer"], {"per_language": {}})["per_language"][r["language"]] = {k: r[k] for k in ("morphscore_recall", "morphscore_precision", "micro_f1", "macro_f1", "num_samples")}
-        for x in ms.values():
-            langs_ = list(x["per_language"].values())
-            mean = {k: sum(v[k] for v in langs_) / len(langs_) for k in langs_[0]}
-            std = {k: (sum((v[k] - mean[k]) ** 2 for v in langs_) / len(langs_)) ** 0.5 for k in mean}
-            x["summary"] = {"total_samples": sum(v["num_samples"] for v in langs_)}
-            for k in mean:
-                if k != "num_samples":
-                    x["summary"] |= {f"avg_{k}": mean[k], f"avg_{k}_std": std[k], f"avg_{k}_std_err": std[k] / len(langs_) ** 0.5}
-        pick = lambda d: {k: v for k, v in d.items() if only is None or k in only}
-        return {"morphological_alignment": {"per_tokenizer": pick(per), "summary": pick(brief)}, "morphscore": {"per_tokenizer": pick(ms)}}
+        langs, scores = morphology.by_language(scored), morphology.morph_scores(scored)
+        if len(keys) > 1:
+            langs, scores = with_groups(langs, self.groups), with_groups(scores, self.groups)
+        return {"alignment": langs, "alignment_summary": morphology.summary(langs, keys), "morphscore": scores, "morphscore_summary": morphology.morph_summary(scores, keys)}
+
+    def morphology(self, only: Sequence[str] | None = None) -> dict[str, Any]:
+        """Morphological alignment and MorphScore of all languages."""
+        return nested_morphology({n: d.collect() for n, d in self.morphology_frames().items()}, only)
+
+
+def nested_morphology(rows: dict[str, list], only: Sequence[str] | None = None) -> dict[str, Any]:
+    """Rows of the morphology frames as the nested result."""
+    r = {n: [x.asDict() for x in v if only is None or x["tokenizer"] in only] for n, v in rows.items()}
+    rest = lambda x: {k: v for k, v in x.items() if k not in ("tokenizer", *GROUP)}
+    per: dict[str, Any] = {}
+    for x in r.get("alignment", []):
+        per.setdefault(x["tokenizer"], {}).setdefault(x["metric"], {})[_lang(x)] = {k: x[k] for k in ("count", "mean", "std")}
+    scores: dict[str, Any] = {}
+    for x in r.get("morphscore", []):
+        scores.setdefault(x["tokenizer"], {"per_language": {}})["per_language"][_lang(x)] = {k: x[k] for k in (*morphology.MORPH_SCORES, "num_samples")}
+    for x in r.get("morphscore_summary", []):
+        scores[x["tokenizer"]]["summary"] = rest(x)
+    return {"morphological_alignment": {"per_tokenizer": per, "summary": {x["tokenizer"]: rest(x) for x in r.get("alignment_summary", [])}}, "morphscore": {"per_tokenizer": scores}}
 
 
 def name_conflicts(tokenizers: list[Tokenizer], tokens: DataFrame) -> list[str]:

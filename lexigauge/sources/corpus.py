@@ -101,6 +101,13 @@ def listed(spark: SparkSession, path: str) -> list[str]:
     return sorted((n for n in names if _kind(n) in RANK), key=lambda n: (RANK[_kind(n)], n))
 
 
+def files_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, in order; none if it is not there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(str(s.getPath().getName()) for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
 def read_language(spark: SparkSession, path: str, language: str, most: int | None = None) -> DataFrame:
     """All texts under path, or the first most by format, file and place. Files of one format are one scan, but for JSON, whose form each file has for itself."""
     scans: list[tuple[int, DataFrame]] = []
@@ -239,6 +246,24 @@ def read_dagobert(spark: SparkSession, path: str) -> DataFrame:
     return _lexicon(x.where("word is not null and morphemes is not null"), F.coalesce("language", F.lit("de")), "dagobert", F.col("word"), F.col("morphemes"))
 
 
+def read_morphscore(spark: SparkSession, folder: str, languages: list[str] | None = None) -> DataFrame:
+    """A folder of a CSV file (or folder of them) for each language, all in one scan: word, morphemes (split at white space, pluses and hyphens), and freq and split if there are such columns.
+
+    languages: those to read, all by default. The file's name is its language.
+    """
+    names = [n for n in files_in(spark, folder) if n.endswith(".csv") and (languages is None or n[:-4] in languages)]
+    schema = "language string, dataset string, word string, morphemes array<string>, freq double, split string"
+    if not names:
+        return spark.createDataFrame([], schema)
+    x = spark.read.option("header", True).csv([f"{folder.rstrip('/')}/{n}" for n in names])
+    if missing := {"word", "morphemes"} - set(x.columns):
+        raise ValueError(f"columns {sorted(missing)} are missing in {x.columns}")
+    own = lambda c, kind: F.col(c).try_cast(kind) if c in x.columns else F.lit(None).cast(kind)
+    language = F.regexp_extract(F.input_file_name(), r"/([^/]+)\.csv(?:/[^/]*)?$", 1)
+    x = x.select(language.alias("language"), F.lit("morphscore").alias("dataset"), F.lower("word").alias("word"), _segments(F.col("morphemes"), r"[\s+\-]+").alias("morphemes"), own("freq", "double").alias("freq"), own("split", "string").alias("split"))
+    return x.where(F.col("word").isNotNull() & (F.size("morphemes") > 0)).withColumn("dataset_priority", F.lit(0))
+
+
 LEXICONS = {"ladec": read_ladec, "morpholex": read_morpholex, "morphynet": read_morphynet, "dagobert": read_dagobert}
 
 

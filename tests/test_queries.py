@@ -5,7 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from lexigauge.plans import probes  # noqa: F401  adds queries
+from lexigauge.plans import morphs, probes  # noqa: F401  they add queries
 from lexigauge.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
