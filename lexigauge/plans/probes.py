@@ -20,7 +20,7 @@ from ..sources import sinks
 from . import report
 from .analyzer import Analyzer
 from .corpus import document_facts, documents, native_tokenizers
-from .queries import COSTS, GROUP_SQL, GROUPS, LEXICON, LEXICON_SQL, POOLED, PROBS, SPLIT, STATS, STRIP, TOKENS, WORD, _lexicon, query, rounded
+from .queries import COSTS, GROUP_SQL, GROUPS, LEXICON, LEXICON_SQL, ORACLES, POOLED, PROBS, SPLIT, STATS, STRIP, TOKENS, WORD, _lexicon, query, rounded
 
 LANGS = ("de", "en", "es", "fr")
 #: White space runs as one space, none at the ends: a text on one line.
@@ -84,11 +84,34 @@ def tokenized_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokenized records written as Parquet and read back."""
     path = scratch(spark, "tokenized") + ".parquet"
     _lengths(spark, sf_dir).write.parquet(path)
+    return _read_records(spark, path)
+
+
+def _read_records(spark: SparkSession, path: str) -> DataFrame:
     x = sources.read_tokenized(spark, path)
     total = F.aggregate(F.transform("tokens", lambda t: t.cast("bigint")), F.lit(0).cast("bigint"), lambda a, b: a + b)
     return x.groupBy("tokenizer", "language", F.col("metadata")["source"].alias("source")).agg(F.count("*").alias("texts"), F.sum(F.size("tokens").cast("bigint")).alias("tokens"), F.sum(total).alias("ids"))
 
 
+@query(ORACLES["tokenized_records"])
+def tokenized_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same records as 16 files of one JSON array each, read by byte range."""
+    path = scratch(spark, "tokenized") + ".json"
+    x = _lengths(spark, sf_dir).select(F.pmod(F.xxhash64("text"), F.lit(16)).alias("part"), F.lit(1).alias("at"), F.concat(F.to_json(F.struct("tokenizer_name", "language", "tokens", "text", "metadata")), F.lit(",")).alias("value"))
+    parts = spark.range(16).select(F.col("id").alias("part"))
+    marks = parts.select("part", F.lit(0).alias("at"), F.lit("[").alias("value")).unionByName(parts.select("part", F.lit(2).alias("at"), F.lit("null]").alias("value")))
+    x.unionByName(marks).repartition("part").sortWithinPartitions("part", "at").drop("at").write.partitionBy("part").option("lineSep", " ").text(path)
+    return _read_records(spark, path)
+
+
+@query(f"SELECT text FROM (SELECT {STRIP('text')} AS text, doc_id FROM documents) WHERE text <> '' AND text <> 'nan' ORDER BY doc_id LIMIT 100")
+def capped_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature is a cap: the first 100 texts of Parquet files in order, of which only the first are opened."""
+    top = scratch(spark, "files")
+    documents(spark, sf_dir).repartitionByRange(16, "doc_id").sortWithinPartitions("doc_id").select("text").write.parquet(top)
+    return sources.read_language(spark, top, "all", 100).select("text")
+
+
 @query(f"WITH {TOKENS} SELECT tokenizer, language, count(*) AS texts, CAST(sum(len(tokens)) AS BIGINT) AS tokens FROM tok WHERE len(tokens) > 0 GROUP BY tokenizer, language")
 def tokens_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens written as JSON lines, a folder for each tokenizer, and read back."""

@@ -7,12 +7,13 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import normalize, strip, without_sentence_tags
 from ..operators.morphology import inferred_morphemes
+from .records import json_records
 
 # Column names that hold text, best first, and file endings.
 TEXT_COLUMNS = ("text", "content", "sentence", "document", "passage")
@@ -108,10 +109,48 @@ def files_in(spark: SparkSession, folder: str) -> list[str]:
     return sorted(str(s.getPath().getName()) for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
+def parquet_files(spark: SparkSession, files: list[str]) -> list[str]:
+    """Files, with those in folders and patterns named one by one, in order of their names."""
+    return [f for x in files for f in ([x] if "*" not in x and not _is_folder(spark, x) else sorted(spark.read.parquet(x).inputFiles()))]
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
+def rows_of(spark: SparkSession, file: str) -> int:
+    """Rows of a Parquet file, from its footer."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(file), conf)
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
+    try:
+        return reader.getRecordCount()
+    finally:
+        reader.close()
+
+
+def first_files(spark: SparkSession, files: list[str], most: int) -> list[str]:
+    """The first of some Parquet files that hold most texts that are kept, or all. Footers say how many rows
+    are worth counting, and only texts of files that are taken are read; as many rows again are added while blank ones are missing."""
+    taken, rows, wanted = 0, 0, most
+    while taken < len(files):
+        while taken < len(files) and rows < wanted:
+            rows += rows_of(spark, files[taken])
+            taken += 1
+        if read_parquet(spark, files[:taken]).limit(most).count() >= most:
+            break
+        wanted = 2 * max(rows, 1)
+    return files[:taken]
+
+
 def read_language(spark: SparkSession, path: str, language: str, most: int | None = None) -> DataFrame:
     """All texts under path, or the first most by format, file and place. Files of one format are one scan, but for JSON, whose form each file has for itself."""
     scans: list[tuple[int, DataFrame]] = []
     files = listed(spark, path)
+    if most is not None and files and all(_kind(f) == "parquet" for f in files):
+        files = first_files(spark, parquet_files(spark, files), most)
     for kinds, read in ((("jsonl",), lambda fs: read_json(spark, fs, True)), (("parquet",), lambda fs: read_parquet(spark, fs)), (("txt", "text"), lambda fs: read_text(spark, fs))):
         if mine := [f for f in files if _kind(f) in kinds]:
             scans.append((RANK[kinds[0]], read(mine)))
@@ -173,20 +212,20 @@ class LanguageMetadata:
 
 
 def read_tokenized(spark: SparkSession, path: str) -> DataFrame:
-    """Tokenized records: a JSON array, an object of tokenizer to array, or Parquet of such rows."""
+    """Tokenized records: a JSON array, an object of tokenizer to array, or Parquet of such rows. Ids are places in files."""
     if _kind(path) in ("pkl", "pickle"):
         raise ValueError("pickles are not read, since they can run code; store Parquet instead")
     if _kind(path) == "parquet":
         df = spark.read.parquet(path)
+        place = F.concat_ws("-", F.substring_index(F.col("_metadata.file_path"), "/", -1), F.col("_metadata.row_index"))
+        df = df.select("*", place.alias("place"))
     elif _kind(path) == "json":
-        raw = spark.read.text(path, wholetext=True)
-        flat = raw.where(F.regexp_like("value", F.lit(r"^\s*\["))).select(F.explode(F.from_json("value", T.ArrayType(TOKENIZED))).alias("r")).select("r.*")
-        keyed = raw.where(F.regexp_like("value", F.lit(r"^\s*\{"))).select(F.explode(F.from_json("value", T.MapType(T.StringType(), T.ArrayType(TOKENIZED)))).alias("k", "rs")).select("k", F.explode("rs").alias("r"))
-        df = flat.unionByName(keyed.select("r.*", "k").withColumn("tokenizer_name", F.col("k")).drop("k"))
+        x = json_records(spark, path).withColumn("r", F.from_json("record", TOKENIZED))
+        place = F.concat_ws("-", F.substring_index("file", "/", -1), "block", "i")
+        df = x.select("r.*", "key", place.alias("place")).withColumn("tokenizer_name", F.coalesce("key", "tokenizer_name"))
     else:
         raise ValueError(f"no reader of tokenized data for {path!r}")
-    w = Window.partitionBy("tokenizer_name", "language").orderBy(F.col("text"), F.to_json("tokens"))
-    return df.select(F.col("tokenizer_name").alias("tokenizer"), "language", F.concat_ws("-", "language", F.row_number().over(w)).alias("doc_id"), "text", F.col("tokens").cast("array<string>").alias("tokens"), "metadata")
+    return df.select(F.col("tokenizer_name").alias("tokenizer"), "language", F.concat_ws("-", "language", "place").alias("doc_id"), "text", F.col("tokens").cast("array<string>").alias("tokens"), "metadata")
 
 
 def read_vocabulary(path: str, tokenizer: str) -> dict[str, int]:
