@@ -14,7 +14,7 @@ from ..operators import metrics as M
 from ..operators import morphology
 from ..operators.encode import Tokenizer, encode, spelled, spelled_counts, tokenizers_table, vocabulary
 from ..operators.facts import Facts, doc_facts, token_counts, with_groups
-from ..operators.validate import checked, estimated_vocabulary
+from ..operators.validate import Watch, estimated_vocabulary
 
 GROUP = ("group_type", "group_name")
 
@@ -43,13 +43,19 @@ class Analyzer:
     """
 
     def __init__(self, tokens: DataFrame, tokenizers: DataFrame | None = None, *, measure: Measure = Measure(), lexicon: DataFrame | None = None, groups: DataFrame | None = None, strict: bool = False, known: Sequence[Tokenizer] = (), plugins: dict[str, Metric] | None = None):
-        self.tokens = checked(tokens, tokenizers) if strict else tokens
+        watch = Watch(tokens, tokenizers) if strict else None
+        self.tokens = tokens
         self.lexicon, self.groups, self.known = lexicon, groups, list(known)
         self.plugins = METRICS | (plugins or {})
         self._aligned: DataFrame | None = None
         sizes = tokenizers if tokenizers is not None else estimated_vocabulary(tokens)
         keep = StorageLevel.MEMORY_AND_DISK
-        self.facts = Facts(doc_facts(tokens, measure).persist(keep), token_counts(tokens).persist(keep), sizes, measure, True)
+        docs = doc_facts(watch.frame if watch else tokens, measure).persist(keep)
+        if watch:
+            # rules are counted by the pass that fills the cache
+            docs.count()
+            watch.check()
+        self.facts = Facts(docs, token_counts(tokens).persist(keep), sizes, measure, True)
 
     @classmethod
     def of_corpus(cls, corpus: DataFrame, tokenizers: list[Tokenizer], **kw: Any) -> Analyzer:

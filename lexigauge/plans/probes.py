@@ -11,15 +11,16 @@ from ..functions import script, text
 from ..functions.factor import casing_of_words
 from ..functions.measure import Measure, n_units
 from ..operators import metrics as M
-from ..operators import morphology, training, validate
+from ..operators import morphology, sketches, training, validate
 from ..operators.encode import Tokenizer, encode, spelled, tokenizer, tokenizers_table
 from ..operators.facts import Facts, doc_facts
-from ..session import scratch
+from ..session import kept, scratch
 from ..sources import corpus as sources
 from ..sources import sinks
 from . import report
 from .analyzer import Analyzer
 from .corpus import document_facts, documents, native_tokenizers
+from .store import FactStore, shared_tokens, side_by_side
 from .queries import COSTS, GROUP_SQL, GROUPS, LEXICON, LEXICON_SQL, ORACLES, POOLED, PROBS, SPLIT, STATS, STRIP, TOKENS, WORD, _lexicon, query, rounded
 
 LANGS = ("de", "en", "es", "fr")
@@ -460,6 +461,39 @@ def mixed_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.docs.groupBy("tokenizer", "language").agg(F.count("*").alias("texts"), F.sum("n_tokens").alias("tokens"))
 
 
+# Facts that are stored, sketches, checks in passing
+
+
+def _stored_facts(spark: SparkSession, sf_dir: str) -> Facts:
+    return FactStore(spark, scratch(spark, "store"), "probe").save("native", document_facts(spark, sf_dir), 8)
+
+
+@query(f"""WITH {TOKENS}, r AS (SELECT a.language, a.n_tokens / b.n_tokens AS x FROM facts a JOIN facts b USING (doc_id) WHERE a.tokenizer = 'word_punct' AND b.tokenizer = 'whitespace')
+SELECT language, count(*) AS texts, round(avg(x), 6) AS mean_ratio, round(max(x), 6) AS max_ratio FROM r GROUP BY language""")
+def stored_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tokenizers document by document, from bucketed facts."""
+    x = side_by_side(_stored_facts(spark, sf_dir), "word_punct", "whitespace").withColumn("x", F.col("first") / F.col("second"))
+    return rounded(x.groupBy("language").agg(F.count("*").alias("texts"), F.avg("x").alias("mean_ratio"), F.max("x").alias("max_ratio")))
+
+
+@query(f"""WITH {TOKENS}, t AS (SELECT tokenizer, token, sum(cnt) AS n FROM counts GROUP BY ALL)
+SELECT a.token, CAST(a.n AS BIGINT) AS first, CAST(b.n AS BIGINT) AS second FROM t a JOIN t b USING (token) WHERE a.tokenizer = 'word_punct' AND b.tokenizer = 'whitespace'""")
+def stored_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens that two tokenizers share, from bucketed counts."""
+    return shared_tokens(_stored_facts(spark, sf_dir), "word_punct", "whitespace")
+
+
+@query(f"WITH {TOKENS}, {POOLED} SELECT tokenizer, language, pooled, CAST(sum(cnt) AS BIGINT) AS tokens, true AS within FROM pool GROUP BY tokenizer, language, pooled")
+def sketched_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types from sketches that roll up over languages; within: no further from the exact number than four times the stated error."""
+    t = encode(documents(spark, sf_dir), native_tokenizers())
+    x = sketches.rolled_up(kept(sketches.type_sketches(t), "sketches"))
+    exact = M.type_token_ratio(document_facts(spark, sf_dir)).select(F.col("tokenizer").alias("t"), F.col("language").alias("l"), F.col("pooled").alias("p"), F.col("types").alias("exact"))
+    x = x.join(exact, F.col("tokenizer").eqNullSafe(F.col("t")) & F.col("language").eqNullSafe(F.col("l")) & (F.col("pooled") == F.col("p")))
+    near = F.abs(F.col("types") - F.col("exact")) <= 4 * sketches.relative_error() * F.col("exact") + 1
+    return x.select("tokenizer", "language", "pooled", "tokens", near.alias("within"))
+
+
 # Vocabularies
 
 BASE = f"base AS (SELECT token, row_number() OVER (ORDER BY sum(cnt) DESC, token) - 1 AS id FROM counts WHERE tokenizer = 'word_punct' GROUP BY token QUALIFY id < 300)"
