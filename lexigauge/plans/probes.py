@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,7 +82,7 @@ LENGTHS = f"lengths AS (SELECT lang AS language, doc_id, text, source, list_tran
 def tokenized_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokenized records written as Parquet and read back."""
     path = scratch(spark, "tokenized") + ".parquet"
-    _lengths(spark, sf_dir).write.parquet(path)
+    sinks.write_records(_lengths(spark, sf_dir), path)
     return _read_records(spark, path)
 
 
@@ -94,14 +92,19 @@ def _read_records(spark: SparkSession, path: str) -> DataFrame:
     return x.groupBy("tokenizer", "language", F.col("metadata")["source"].alias("source")).agg(F.count("*").alias("texts"), F.sum(F.size("tokens").cast("bigint")).alias("tokens"), F.sum(total).alias("ids"))
 
 
+def _write_arrays(rows: DataFrame, path: str, last: str = "null", files: int = 16) -> None:
+    """Rows (key, value) as files of one JSON array each, dealt by key; each ends with the element last."""
+    parts = rows.sparkSession.range(files).select(F.col("id").alias("part"))
+    marks = parts.select("part", F.lit(0).alias("at"), F.lit("[").alias("value")).unionByName(parts.select("part", F.lit(2).alias("at"), F.lit(f"{last}]").alias("value")))
+    x = rows.select(F.pmod("key", F.lit(files)).alias("part"), F.lit(1).alias("at"), F.concat("value", F.lit(",")).alias("value")).unionByName(marks)
+    x.repartition("part").sortWithinPartitions("part", "at").drop("at").write.partitionBy("part").option("lineSep", " ").text(path)
+
+
 @query(ORACLES["tokenized_records"])
 def tokenized_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same records as 16 files of one JSON array each, read by byte range."""
     path = scratch(spark, "tokenized") + ".json"
-    x = _lengths(spark, sf_dir).select(F.pmod(F.xxhash64("text"), F.lit(16)).alias("part"), F.lit(1).alias("at"), F.concat(F.to_json(F.struct("tokenizer_name", "language", "tokens", "text", "metadata")), F.lit(",")).alias("value"))
-    parts = spark.range(16).select(F.col("id").alias("part"))
-    marks = parts.select("part", F.lit(0).alias("at"), F.lit("[").alias("value")).unionByName(parts.select("part", F.lit(2).alias("at"), F.lit("null]").alias("value")))
-    x.unionByName(marks).repartition("part").sortWithinPartitions("part", "at").drop("at").write.partitionBy("part").option("lineSep", " ").text(path)
+    _write_arrays(_lengths(spark, sf_dir).select(F.xxhash64("text").alias("key"), F.to_json(F.struct("tokenizer_name", "language", "tokens", "text", "metadata")).alias("value")), path)
     return _read_records(spark, path)
 
 
@@ -133,37 +136,28 @@ def group_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).join(F.broadcast(members), "language").groupBy("language").agg(F.count("*").alias("texts"))
 
 
-# Lines of the four lexicon formats, and the entries they stand for.
-LADEC = ["# word\tparts", "Bluebird\tblue-bird", "sunflower\tsun-flower", "broken"]
-MORPHOLEX = ["Word,MorphoLexSegm", "Unhappy,un.happy", "reworked,re+work-ed", "bluebird,bl.uebird"]
-MORPHYNET = ["en\tkindness\tkind→kindness:N", "fr\tchanteur\tchant→chanteur:N", "de\tumbau\tbau→umbau:N", "en\tno arrow here"]
-DAGOBERT = [{"word": "Haustür", "morphemes": ["haus", "tür"]}, {"word": "rework", "morphemes": ["re", "work"], "language": "en"}, {"word": None, "morphemes": ["x"]}]
-ENTRIES = [
-    ("en", "ladec", "bluebird", "blue-bird", 0),
-    ("en", "ladec", "sunflower", "sun-flower", 0),
-    ("en", "morpholex", "unhappy", "un-happy", 1),
-    ("en", "morpholex", "reworked", "re-work-ed", 1),
-    ("en", "morpholex", "bluebird", "bl-uebird", 1),
-    ("en", "morphynet", "kindness", "kind-ness", 2),
-    ("fr", "morphynet", "chanteur", "chant-eur", 2),
-    ("de", "morphynet", "umbau", "um-bau", 2),
-    ("de", "dagobert", "haustür", "haus-tür", 3),
-    ("en", "dagobert", "rework", "re-work", 3),
-]
-
-
-def _lexicons(spark: SparkSession) -> DataFrame:
+#: Words of the table as entries of the four lexicon formats, one format a length of the word modulo four; derived words have one of these endings.
+LEXICON_WORDS = """x AS (SELECT DISTINCT lang AS language, lower(w) AS word FROM (SELECT lang, unnest(regexp_extract_all(text, '[A-Za-z]{5,}')) AS w FROM documents)),
+e AS (SELECT CASE length(word) % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'en' ELSE language END AS language, ['ladec', 'morpholex', 'morphynet', 'dagobert'][1 + length(word) % 4] AS dataset, word, word[1:3] || '-' || word[4:] AS parts, CAST(length(word) % 4 AS INTEGER) AS priority FROM x)"""
+
+
+def _lexicons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's words written as files of the four formats, and read by their readers."""
     top = scratch(spark, "lexicons")
-    lines = {"ladec": LADEC, "morpholex": MORPHOLEX, "morphynet": MORPHYNET, "dagobert": [json.dumps(DAGOBERT, ensure_ascii=False)]}
-    for name, x in lines.items():
-        spark.createDataFrame([(v,) for v in x], "value string").coalesce(1).write.text(f"{top}/{name}")
-    return sources.read_lexicons(spark, {name: f"{top}/{name}" for name in lines})
+    w = documents(spark, sf_dir).select("language", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{5,}"), F.lit(0))).alias("w")).select("language", F.lower("w").alias("word")).distinct()
+    w = w.select("*", F.substring("word", 1, 3).alias("a"), F.substring("word", 4, 1 << 30).alias("b"), (F.length("word") % 4).alias("kind"))
+    of = lambda k: w.where(F.col("kind") == k)
+    of(0).select(F.concat_ws("", F.initcap("word"), F.lit("\t"), "a", F.lit("-"), "b").alias("value")).write.text(f"{top}/ladec")
+    of(1).select(F.initcap("word").alias("Word"), F.concat_ws(".", "a", "b").alias("MorphoLexSegm")).write.option("header", True).csv(f"{top}/morpholex")
+    of(2).select(F.concat_ws("", "language", F.lit("\t"), "word", F.lit("\t"), "a", F.lit("→"), "word", F.lit(":N")).alias("value")).write.text(f"{top}/morphynet")
+    _write_arrays(of(3).select(F.xxhash64("word").alias("key"), F.to_json(F.struct("word", F.array("a", "b").alias("morphemes"), "language")).alias("value")), f"{top}/dagobert", "{}")
+    return sources.read_lexicons(spark, {n: f"{top}/{n}" for n in ("ladec", "morpholex", "morphynet", "dagobert")})
 
 
-@query("SELECT language, dataset, word, parts, priority FROM (VALUES " + ", ".join(map(str, ENTRIES)) + ") t(language, dataset, word, parts, priority)")
+@query(f"WITH {LEXICON_WORDS} SELECT DISTINCT language, dataset, word, parts, priority FROM e")
 def lexicon_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The four lexicon formats, read from files."""
-    return _lexicons(spark).select("language", "dataset", "word", F.array_join("morphemes", "-").alias("parts"), F.col("dataset_priority").alias("priority"))
+    """The four lexicon formats, read from files of the table's words."""
+    return _lexicons(spark, sf_dir).select("language", "dataset", "word", F.array_join("morphemes", "-").alias("parts"), F.col("dataset_priority").alias("priority"))
 
 
 CLEAN = STRIP("replace(replace(text, '<s>', ''), '</s>', '')")
@@ -207,10 +201,14 @@ def script_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", script.dominant_script(t).alias("script"))
 
 
+OWN_CHARS = """own AS (SELECT list(CASE WHEN b BETWEEN 33 AND 126 OR b BETWEEN 161 AND 172 OR b BETWEEN 174 AND 255 THEN chr(CAST(b AS INTEGER)) ELSE chr(CAST(256 + (SELECT count(*) FROM range(0, b) r(x) WHERE NOT (x BETWEEN 33 AND 126 OR x BETWEEN 161 AND 172 OR x BETWEEN 174 AND 255)) AS INTEGER)) END ORDER BY b) AS shown FROM range(0, 256) t(b))"""
+SHOWN = lambda h: f"array_to_string(list_transform(range(0, CAST(length({h}) / 2 AS BIGINT)), lambda i: shown[1 + ('0x' || substr({h}, CAST(2 * i + 1 AS BIGINT), 2))::INTEGER]), '')"
+
+
 @query(
     f"""WITH b AS (SELECT doc_id, list_transform(list_filter(string_split_regex(text, '[\\s\\x1c-\\x1f]+'), lambda w: w <> ''), lambda w: hex(encode(w))) AS words FROM documents),
-own AS (SELECT list(CASE WHEN b BETWEEN 33 AND 126 OR b BETWEEN 161 AND 172 OR b BETWEEN 174 AND 255 THEN chr(CAST(b AS INTEGER)) ELSE chr(CAST(256 + (SELECT count(*) FROM range(0, b) r(x) WHERE NOT (x BETWEEN 33 AND 126 OR x BETWEEN 161 AND 172 OR x BETWEEN 174 AND 255)) AS INTEGER)) END ORDER BY b) AS shown FROM range(0, 256) t(b))
-SELECT doc_id, array_to_string(list_transform(words, lambda h: array_to_string(list_transform(range(0, CAST(length(h) / 2 AS BIGINT)), lambda i: shown[1 + ('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2))::INTEGER]), '')), ' ') AS shown FROM b, own"""
+{OWN_CHARS}
+SELECT doc_id, array_to_string(list_transform(words, lambda h: {SHOWN('h')}), ' ') AS shown FROM b, own"""
 )
 def byte_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words as the printable characters of their bytes, by the registry's name."""
@@ -227,12 +225,13 @@ def casing_marks_there_and_off(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", m.alias("marked"), script.without_marks(m).alias("plain"))
 
 
-@query(f"SELECT doc_id, {STRIP(f'''regexp_replace('<csta>' || translate(word, '{script.LATIN}', '{script.LATIN}') || '<cend>', ' +<cend>', '<cend>')''')} AS marked FROM (SELECT doc_id, (regexp_extract_all(text, '[a-z]+'))[1] AS word FROM documents) WHERE word IS NOT NULL AND NOT regexp_matches(word, '[qwxy]|lj|nj|dž')")
+STRETCH = f"regexp_replace(translate(text, '{script.LATIN}', '{script.CYRILLIC}'), '\\s?\\p{{Cyrillic}}[^\\p{{Latin}}]*', '<csta>\\0<cend>', 'g')"
+
+
+@query(f"SELECT doc_id, regexp_replace(translate({STRETCH}, '{script.CYRILLIC}', '{script.LATIN}'), '(\\s+)<cend>', '<cend>\\1', 'g') AS marked FROM documents")
 def cyrillic_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first word of each text in Cyrillic letters, marked as Cyrillic and in Latin letters again; words with letters that Serbian lacks are not of the script."""
-    w = F.get(F.regexp_extract_all(F.col("text"), F.lit("[a-z]+"), F.lit(0)), F.lit(0))
-    x = documents(spark, sf_dir).select("doc_id", w.alias("word")).where("word is not null").where(~F.regexp_like("word", F.lit("[qwxy]|lj|nj|dž")))
-    return x.select("doc_id", script.mark_cyrillic(script.to_cyrillic(F.col("word"))).alias("marked"))
+    """Whole texts in Cyrillic letters, but for letters that Serbian lacks, with Cyrillic stretches marked and in Latin letters again."""
+    return documents(spark, sf_dir).select("doc_id", script.mark_cyrillic(script.to_cyrillic(F.col("text"))).alias("marked"))
 
 
 @query(
@@ -248,36 +247,6 @@ def word_casing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Tokenizers from files
 
-# Texts with the ids and strings that the libraries give for them (tokenizers, tiktoken, sentencepiece).
-PROBE = ["The nation was eating, then thinking.", "Die Einheit (1990) blieb.", "naïve café – 東京!", "  two  spaces\nline", "don't stop: 3.14", "el estado mention"]
-IDS = [
-    ("byte_bpe", 0, "464,3277,373,6600,11,788,3612,13"),
-    ("byte_bpe", 1, "32423,412,259,29361,357,19891,8,698,494,65,13"),
-    ("byte_bpe", 2, "2616,38776,40304,784,10545,251,109,12859,105,0"),
-    ("byte_bpe", 3, "220,734,220,9029,198,1370"),
-    ("byte_bpe", 4, "9099,470,2245,25,513,13,1415"),
-    ("byte_bpe", 5, "417,1556,4533,3068"),
-    ("word_bpe", 0, "518,2670,739,4371,267,1594,3291,269"),
-    ("word_bpe", 1, "2082,29944,37255,263,272,280,280,271,264,1450,8677,269"),
-    ("word_bpe", 2, "1097,35689,563,15304,1224,48338,21078,361,256"),
-    ("word_bpe", 3, "1237,9006,1148"),
-    ("word_bpe", 4, "847,713,1691,281,274,269,272,275"),
-    ("word_bpe", 5, "832,2291,2933,6762"),
-    ("multi", 0, "2278,4790,390,3936,11,550,1953,13"),
-    ("multi", 1, "29928,6391,8480,522,3405,7771,8,888,414,65,13"),
-    ("multi", 2, "629,15487,303,25118,1662,220,18413,31375,0"),
-    ("multi", 3, "220,732,220,7673,198,1889"),
-    ("multi", 4, "13966,380,1590,25,805,13,7271"),
-    ("multi", 5, "338,18372,2152"),
-    ("piece_bpe", 0, "415,5878,403,8652,28725,868,4195,28723"),
-    ("piece_bpe", 1, "2941,6004,12307,325,28740,28774,28774,28734,28731,843,25295,28723"),
-    ("piece_bpe", 2, "1879,28920,333,28345,764,28705,30366,29936,28808"),
-    ("piece_bpe", 3, "259,989,28705,10599,13,1081"),
-    ("piece_bpe", 4, "949,28742,28707,2115,28747,28705,28770,28723,28740,28781"),
-    ("piece_bpe", 5, "639,17865,4389"),
-]
-
-
 def from_files() -> list[Tokenizer]:
     import public_tokenizers as P
 
@@ -289,44 +258,40 @@ def from_files() -> list[Tokenizer]:
     ]
 
 
-def _probe(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(PROBE)), "doc_id long, text string").withColumn("language", F.lit("xx"))
-
-
-@query("SELECT tokenizer, CAST(doc_id AS BIGINT) AS doc_id, ids FROM (VALUES " + ", ".join(map(str, IDS)) + ") t(tokenizer, doc_id, ids)")
+@query("SELECT doc_id, true AS equal FROM documents WHERE regexp_matches(text, '\\S')")
 def stored_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of fixed texts by tokenizers of three libraries; the values were made by the libraries."""
-    return encode(_probe(spark), from_files()).select("tokenizer", "doc_id", F.array_join("tokens", ",").alias("ids"))
-
+    """Two libraries give the same ids for one vocabulary, over all texts."""
+    import public_tokenizers as P
 
-@query("SELECT tokenizer, vocab_size, unk_id FROM (VALUES ('byte_bpe', CAST(50257 AS BIGINT), CAST(NULL AS INTEGER)), ('word_bpe', 49408, NULL), ('multi', 50256, NULL), ('piece_bpe', 32000, 0)) t(tokenizer, vocab_size, unk_id)")
-def stored_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vocabulary sizes and unknown ids."""
-    return tokenizers_table(spark, from_files())
+    two = [from_files()[0], tokenizer("ranked", name="ranks", path=P.path("byte_bpe_50k.tiktoken"), pattern=P.PATTERN)]
+    x = encode(documents(spark, sf_dir), two).groupBy("doc_id").agg(F.collect_set("tokens").alias("sets"), F.count("*").alias("n"))
+    return x.select("doc_id", ((F.size("sets") == 1) & (F.col("n") == 2)).alias("equal"))
 
 
-def _sql_texts() -> str:
-    quoted = [t.replace("'", "''").replace("\n", "' || chr(10) || '") for t in PROBE]
-    return "(VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(quoted)) + ") p(doc_id, text)"
+@query("SELECT tokenizer, vocab_size, unk_id, count(*) AS texts, true AS inside FROM documents, (VALUES ('byte_bpe', CAST(50257 AS BIGINT), CAST(NULL AS INTEGER)), ('word_bpe', 49408, NULL), ('multi', 50256, NULL), ('piece_bpe', 32000, 0)) t(tokenizer, vocab_size, unk_id) WHERE regexp_matches(text, '\\S') GROUP BY tokenizer, vocab_size, unk_id")
+def stored_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vocabulary sizes and unknown ids, and whether the ids of all texts are below the size."""
+    ts = from_files()
+    most = F.array_max(F.transform("tokens", lambda x: x.cast("bigint")))
+    ids = encode(documents(spark, sf_dir), ts).groupBy("tokenizer").agg(F.count("*").alias("texts"), F.max(most).alias("most"))
+    return ids.join(F.broadcast(tokenizers_table(spark, ts)), "tokenizer").select("tokenizer", "vocab_size", "unk_id", "texts", (F.col("most") < F.col("vocab_size")).alias("inside"))
 
 
-@query(f"SELECT tokenizer, CAST(doc_id AS BIGINT) AS doc_id, text AS decoded FROM {_sql_texts()}, (VALUES ('byte_bpe'), ('multi'), ('piece_bpe')) t(tokenizer)")
+@query("SELECT tokenizer, doc_id, text AS decoded FROM documents, (VALUES ('byte_bpe'), ('multi'), ('piece_bpe')) t(tokenizer)")
 def stored_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decoding gives the texts back, of the tokenizers that drop nothing."""
     out = None
     for t in from_files():
         if t.name != "word_bpe":
-            x = _probe(spark).select(F.lit(t.name).alias("tokenizer"), "doc_id", t.decode(t.encode(F.col("text"))).alias("decoded"))
+            x = documents(spark, sf_dir).select(F.lit(t.name).alias("tokenizer"), "doc_id", t.decode(t.encode(F.col("text"))).alias("decoded"))
             out = x if out is None else out.unionByName(x)
     return out
 
 
-@query(r"SELECT CAST(doc_id AS BIGINT) AS doc_id, array_to_string(regexp_extract_all(replace(text, 'don''t', 'don ''t'), ' ?\p{L}+| ?\p{N}+|''t| ?[^\s\p{L}\p{N}]+'), '|') AS pieces FROM " + _sql_texts() + " WHERE doc_id IN (0, 1, 5)")
+@query(f"WITH {OWN_CHARS}, b AS (SELECT doc_id, hex(encode(text)) AS h FROM documents) SELECT doc_id, {SHOWN('h')} AS joined FROM b, own")
 def stored_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pre-tokens of plain fixed texts, with the space mark shown as a space."""
-    t = from_files()[0]
-    x = _probe(spark).where("doc_id in (0, 1, 5)")
-    return x.select("doc_id", F.replace(F.array_join(t.pieces(F.col("text")), "|"), F.lit("Ġ"), F.lit(" ")).alias("pieces"))
+    """Pre-tokens of a tokenizer from a file, side by side: the printable characters of the text's bytes."""
+    return documents(spark, sf_dir).select("doc_id", F.array_join(from_files()[0].pieces(F.col("text")), "").alias("joined"))
 
 
 @query(f"SELECT lang AS language, token, count(*) AS cnt FROM (SELECT lang, unnest(regexp_extract_all(text, '[aeiou]+|[^aeiou\\s]+')) AS token FROM documents) GROUP BY lang, token")

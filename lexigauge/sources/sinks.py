@@ -18,6 +18,11 @@ def write_tokens(tokens: DataFrame, path: str, kind: str = "parquet") -> None:
     tokens.write.mode("overwrite").partitionBy("tokenizer").format(kind).save(path)
 
 
+def write_records(records: DataFrame, path: str) -> None:
+    """Tokenized records (tokenizer_name, language, tokens as ids, text, metadata) as Parquet, for read_tokenized()."""
+    records.select("tokenizer_name", "language", F.col("tokens").cast("array<int>").alias("tokens"), "text", "metadata").write.mode("overwrite").parquet(path)
+
+
 def write_cache(tokens: DataFrame, tokenizers: list[Tokenizer], folder: str) -> dict[str, str]:
     """Tokens, each vocabulary as one token a line by id, and a configuration that names the vocabularies."""
     write_tokens(tokens, f"{folder}/tokens")
