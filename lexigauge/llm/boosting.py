@@ -37,6 +37,17 @@ class Boosted:
         return sum((as_column(t, features) for t in self.trees), F.lit(self.bias))
 
 
+    def sql(self, array: str) -> str:
+        """The raw score as SQL over an array of features."""
+        return " + ".join([f"{self.bias!r}D", *(as_sql(t, array) for t in self.trees)])
+
+
+def as_sql(t: Node, array: str) -> str:
+    if t.left is None:
+        return f"({t.value!r}D)"
+    return f"CASE WHEN {array}[{t.feature}] < {t.at!r}D THEN {as_sql(t.left, array)} ELSE {as_sql(t.right, array)} END"
+
+
 def leaf(t: Node, row: np.ndarray) -> float:
     while t.left is not None:
         t = t.left if row[t.feature] < t.at else t.right

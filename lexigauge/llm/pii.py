@@ -90,19 +90,31 @@ def before(lengths: Column, block: int = 256) -> Column:
     return F.when(F.size(lengths) <= block, running(lengths, F.lit(0))).otherwise(many)
 
 
-def located(df: DataFrame, name: str, text: str, pattern: str, needs: str = "") -> DataFrame:
-    """df with an array name of (s, e, m): start, end (code points) and text of each match, leftmost, not overlapping."""
-    m, cut = f"{name}_m", f"{name}_c"
+#: Columns that located() makes on its way: matches, what stands between them, lengths of both, where each pair begins.
+M, CUT, STEP, BEGIN = (OWN + x for x in ("m", "cut", "step", "begin"))
+
+
+def placing() -> tuple[Column, Column, Column]:
+    """STEP, BEGIN and spans over the columns before them. Building expressions takes longer than planning them, so all patterns share these."""
+    matches, cuts = F.col(M), F.slice(CUT, 1, F.size(M))
+    step = F.zip_with(cuts, matches, lambda c, x: (F.length(c) + F.length(x)).cast("long"))
+    begin = F.when(F.size(M) > 0, before(F.col(STEP))).otherwise(F.array().cast("array<bigint>"))
+    beside = F.zip_with(cuts, F.slice(CUT, 2, F.size(M)), lambda c, d: F.struct(F.length(c).alias("n"), F.right(c, F.lit(AROUND)).alias("l"), F.left(d, F.lit(AROUND)).alias("r")))
+    starts = F.zip_with(F.col(BEGIN), beside, lambda b, x: F.struct((b + x["n"]).alias("s"), x["l"].alias("l"), x["r"].alias("r")))
+    at = F.zip_with(starts, matches, lambda b, x: F.struct(b["s"].alias("s"), (b["s"] + F.length(x)).alias("e"), x.alias("m"), b["l"].alias("l"), b["r"].alias("r")))
+    return step, begin, once(at)
+
+
+def located(df: DataFrame, name: str, text: str, pattern: str, needs: str = "", place: tuple[Column, Column, Column] | None = None) -> DataFrame:
+    """df with an array name of (s, e, m, l, r): start, end (code points) and text of each match, leftmost, not overlapping,
+    and up to AROUND characters on its left and right, as far as the matches beside it. place: placing(), made once for many patterns."""
+    step, begin, at = place or placing()
     find = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
     none = F.array().cast("array<string>")
-    df = df.withColumn(m, F.when(F.regexp_like(F.col(text), F.lit(needs)), find).otherwise(none) if needs else find)
+    df = df.withColumn(M, F.when(F.regexp_like(F.col(text), F.lit(needs)), find).otherwise(none) if needs else find)
     # what stands between matches is one longer than the matches
-    df = df.withColumn(cut, F.when(F.size(m) > 0, F.split(F.col(text), pattern, -1)).otherwise(none))
-    steps = F.zip_with(F.slice(cut, 1, F.size(m)), F.col(m), lambda c, x: (F.length(c) + F.length(x)).cast("long"))
-    df = df.withColumn(f"{name}_n", steps)
-    df = df.withColumn(f"{name}_b", F.when(F.size(m) > 0, before(F.col(f"{name}_n"))).otherwise(F.array().cast("array<bigint>")))
-    at = F.zip_with(F.zip_with(F.col(f"{name}_b"), F.slice(cut, 1, F.size(m)), lambda b, c: b + F.length(c)), F.col(m), lambda s, x: F.struct(s.alias("s"), (s + F.length(x)).alias("e"), x.alias("m")))
-    return df.withColumn(name, once(at)).drop(m, cut, f"{name}_b", f"{name}_n")
+    df = df.withColumn(CUT, F.when(F.size(M) > 0, F.split(F.col(text), pattern, -1)).otherwise(none))
+    return df.withColumn(STEP, step).withColumn(BEGIN, begin).withColumn(name, at).drop(M, CUT, STEP, BEGIN)
 
 
 def digits(x: Column) -> Column:
@@ -129,20 +141,26 @@ VALID = {
     "phone": lambda m: F.length(digits(m)).between(9, 15),
 }
 
+SPANS = "array<struct<s:bigint,e:bigint,m:string>>"
 FEATURES = ("length", "digits", "letters", "groups", "longest", "spaces", "dots", "dashes", "parens", "slashes", "colons", "luhn", "word", "against", "next", "ends", "at", "first")
 
 
-def features(kind: str, text: Column, c: Column) -> list[Column]:
-    """Format and context of candidate c in the order of FEATURES."""
-    m, d = c["m"], digits(c["m"])
-    left = F.substring(text, F.greatest(c["s"] - AROUND, F.lit(0)).cast("int") + 1, F.least(c["s"], F.lit(AROUND)).cast("int"))
-    after = F.substring(text, c["e"].cast("int") + 1, F.lit(AROUND))
-    count = lambda p: F.regexp_count(m, F.lit(p)).cast("double")
-    yes = lambda x: F.when(x, 1.0).otherwise(0.0)
+def features(kind: str, c: Column) -> Column:
+    """Format and context of candidate c, as an array in the order of FEATURES; what several of them need is found once."""
+    m = c["m"]
+    digit = digits(m)
     runs = F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0))
+    known = F.array(F.struct(digit.alias("d"), F.length(digit).alias("n"), runs.alias("runs")))
+    yes = lambda x: F.when(x, 1.0).otherwise(0.0)
+    return F.transform(known, lambda k: F.array(*_features(kind, c, k, yes)))[0]
+
+
+def _features(kind: str, c: Column, k: Column, yes) -> list[Column]:
+    m, d, runs = c["m"], k["d"], k["runs"]
+    count = lambda p: F.regexp_count(m, F.lit(p)).cast("double")
     return [
         F.length(m).cast("double"),
-        F.length(d).cast("double"),
+        k["n"].cast("double"),
         count("[A-Za-z]"),
         F.size(runs).cast("double"),
         F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0)).cast("double"),
@@ -152,10 +170,10 @@ def features(kind: str, text: Column, c: Column) -> list[Column]:
         count(r"[()\[\]{}<>]"),
         count("/"),
         count(":"),
-        yes(F.length(d).between(13, 19) & F.when(F.length(d) > 0, luhn(d)).otherwise(False)),
-        yes(F.regexp_like(left, F.lit(WORDS[kind])) | F.regexp_like(after, F.lit("^.{0,4}" + WORDS[kind]))),
-        yes(F.regexp_like(left, F.lit(AGAINST))),
-        yes(F.regexp_like(after, F.lit("^[A-Za-z0-9]"))),
+        yes(k["n"].between(13, 19) & F.when(k["n"] > 0, luhn(d)).otherwise(False)),
+        yes(F.regexp_like(c["l"], F.lit(WORDS[kind])) | F.regexp_like(c["r"], F.lit("^.{0,4}" + WORDS[kind]))),
+        yes(F.regexp_like(c["l"], F.lit(AGAINST))),
+        yes(F.regexp_like(c["r"], F.lit("^[A-Za-z0-9]"))),
         yes(F.regexp_like(m, F.lit(r"(?i)(?:\.|dot\W{0,2})\x20?(?:com|org|net|edu|gov|io|de|fr|es|info|co|uk|eu|ru|cn|jp)$"))),
         yes(F.regexp_like(m, F.lit(r"(?i)[(\[{<]\x20?at|@"))),
         F.coalesce(F.substring(d, 1, 1).try_cast("double"), F.lit(-1.0)),
@@ -349,7 +367,7 @@ def judged_examples(spark: SparkSession, kind: str) -> tuple[np.ndarray, np.ndar
     # a candidate is right if it is more than half of the personal span and hardly more than it
     common = F.least(F.col("c.e"), F.col("b")) - F.greatest(F.col("c.s"), F.col("a"))
     meets = (F.col("a") >= 0) & (common * 2 > F.col("b") - F.col("a")) & (common * 5 >= (F.col("c.e") - F.col("c.s")) * 4)
-    got = d.select(F.array(*features(kind, F.col("text"), F.col("c"))).alias("x"), meets.cast("double").alias("y"), "held").collect()
+    got = d.select(features(kind, F.col("c")).alias("x"), meets.cast("double").alias("y"), "held").collect()
     return np.array([r["x"] for r in got]), np.array([r["y"] for r in got]), np.array([r["held"] for r in got], bool)
 
 
@@ -358,12 +376,42 @@ def _valid(kind: str):
     return lambda c: VALID[kind](c["m"])
 
 
-def _judged(model: Boosted, kind: str, text: str):
-    return lambda c: model.column(features(kind, F.col(text), c)) >= model.threshold
+def _bare(c: Column) -> Column:
+    return F.struct(c["s"].alias("s"), c["e"].alias("e"), c["m"].alias("m"))
+
+
+def judged(df: DataFrame, name: str, spans: Column, model: Boosted, kind: str) -> DataFrame:
+    """df with name: the candidates among spans whose score reaches the threshold, without context, sorted, each once.
+
+    Features are found once a candidate, not once a node of the trees, and the trees come as one SQL text.
+    """
+    known = F.transform(spans, lambda c: F.struct(_bare(c).alias("c"), features(kind, c).alias("x")))
+    at = OWN + "known"
+    good = F.expr(f"array_sort(array_distinct(transform(filter({at}, z -> {model.sql('z.x')} >= {model.threshold!r}D), z -> z.c)))") if np.isfinite(model.threshold) else F.array().cast(SPANS)
+    return df.withColumn(at, known).withColumn(name, once(F.when(F.size(at) > 0, good).otherwise(F.array().cast(SPANS)))).drop(at)
+
+
+#: Spans that are looked at together: a block whose range a span doesn't meet is passed over.
+BLOCK = 64
+
+
+def ranges(spans: str) -> Column:
+    """(b, lo, hi) of the blocks of an array of spans that is sorted by start."""
+    part = lambda b: F.slice(spans, b * BLOCK + 1, F.lit(BLOCK))
+    n = F.ceil(F.size(spans) / BLOCK).cast("int")
+    made = F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.struct(b.alias("b"), F.array_min(F.transform(part(b), lambda d: d["s"])).alias("lo"), F.array_max(F.transform(part(b), lambda d: d["e"])).alias("hi")))
+    return F.when(F.size(spans) > 0, made).otherwise(F.array().cast("array<struct<b:int,lo:bigint,hi:bigint>>"))
+
+
+def _met(spans: str, blocks: str, test):
+    """c to whether test(c, d) holds for a span d that overlaps c; blocks are the ranges of spans."""
+    near = lambda c, k: (k["lo"] < c["e"]) & (k["hi"] > c["s"])
+    part = lambda k: F.slice(spans, k["b"] * BLOCK + 1, F.lit(BLOCK))
+    return lambda c: F.exists(blocks, lambda k: near(c, k) & F.exists(part(k), lambda d: test(c, d)))
 
 
-def _unbeaten(name: str):
-    return lambda c: ~F.exists(name, lambda d: _beaten(c, d))
+def _free(met):
+    return lambda c: ~met(c)
 
 
 def _shown(kind: str):
@@ -395,24 +443,23 @@ def detected(docs: DataFrame, text_col: str = "text") -> DataFrame:
     fitted = models(docs.sparkSession)
     text = OWN + "t"
     df = docs.withColumn(text, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    place = placing()
     for kind in KINDS:
-        df = located(df, OWN + kind, text, BASE[kind], NEEDS[kind])
-        df = df.withColumn(OWN + kind, F.filter(OWN + kind, _valid(kind)))
-    taken = F.concat(*(F.col(OWN + k) for k in KINDS))
-    df = df.withColumn(OWN + "taken", taken)
+        df = located(df, OWN + kind, text, BASE[kind], NEEDS[kind], place)
+        df = df.withColumn(OWN + kind, F.transform(F.filter(OWN + kind, _valid(kind)), _bare))
+    taken, blocks, more, second = (OWN + x for x in ("taken", "blocks", "more", "second"))
+    df = df.withColumn(taken, once(F.array_sort(F.concat(*(F.col(OWN + k) for k in KINDS)))))
+    free = F.filter(F.concat(more, second), _free(_met(taken, blocks, _overlap)))
+    best = once(F.when(F.size(more) > 1, F.filter(more, _free(_met(more, blocks, _beaten)))).otherwise(F.col(more)))
+    all_taken = once(F.when(F.size(more) > 0, F.array_sort(F.concat(taken, more))).otherwise(F.col(taken)))
+    of_taken, of_more = once(ranges(taken)), once(ranges(more))
     for kind in KINDS:
-        name = f"{OWN}{kind}_more"
-        df = located(df, name, text, WIDE[kind][0])
-        df = located(df, OWN + "second", text, WIDE[kind][1], SECOND[kind])
-        # what both propose is one candidate; what overlaps is judged for itself
-        df = df.withColumn(name, F.when(F.size(OWN + "second") > 0, F.array_distinct(F.concat(name, OWN + "second"))).otherwise(F.col(name))).drop(OWN + "second")
-        apart = lambda c: ~F.exists(OWN + "taken", lambda b: _overlap(b, c))
-        good = _judged(fitted[kind], kind, text)
-        df = df.withColumn(name, F.when(F.size(name) > 0, F.filter(F.filter(name, apart), good)).otherwise(F.col(name)))
-        best = _unbeaten(name)
-        df = df.withColumn(name, F.when(F.size(name) > 1, F.array_sort(F.filter(name, best))).otherwise(F.col(name)))
-        df = df.withColumn(OWN + "taken", F.concat(OWN + "taken", name))
-    return df.drop(OWN + "taken")
+        df = located(df, more, text, WIDE[kind][0], "", place)
+        df = located(df, second, text, WIDE[kind][1], SECOND[kind], place)
+        # what both propose is one span; of spans that overlap the longest stays
+        df = judged(df.withColumn(blocks, of_taken), more, free, fitted[kind], kind)
+        df = df.withColumn(blocks, of_more).withColumn(more, best).withColumn(taken, all_taken).withColumnRenamed(more, f"{OWN}{kind}_more")
+    return df.drop(taken, blocks, second)
 
 
 def listed(kinds: tuple[str, ...], more: bool) -> Column:
