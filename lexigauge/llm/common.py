@@ -129,8 +129,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def cached_in_worker(key: str, build: Callable[[], object], keep: dict = {}) -> object:  # noqa: B006
-    """build()'s result, kept while this Python worker lives; one entry a kind (the part of key before the colon)."""
-    kind = key.partition(":")[0]
-    if keep.get(kind, ("",))[0] != key:
-        keep[kind] = (key, build())
-    return keep[kind][1]
+    """build()'s result, kept while this Python worker lives or until it needs another: what an operator is done with takes no room from the next one."""
+    if key not in keep:
+        keep.clear()
+        keep[key] = build()
+    return keep[key]
