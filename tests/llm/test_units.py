@@ -468,3 +468,16 @@ def test_added_spans_of_templates_kept_from_fitting(spark):
         x, y, held = pii.judged_examples(spark, kind)
         found = m.raw(x[held]) >= m.threshold
         assert found[y[held] > 0].mean() >= 0.95 and (y[held][found] > 0).mean() >= 0.95
+
+
+def test_worker_keeps_one():
+    """What an operator keeps in a worker goes when another needs its own."""
+    from lexigauge.llm.common import cached_in_worker
+
+    keep, made = {}, []
+
+    def get(key):
+        return cached_in_worker(key, lambda: made.append(key) or key.upper(), keep)
+
+    assert [get("a:1"), get("a:1"), get("b:1"), get("a:1")] == ["A:1", "A:1", "B:1", "A:1"]
+    assert made == ["a:1", "b:1", "a:1"] and set(keep) == {"a:1"}
