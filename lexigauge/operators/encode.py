@@ -9,12 +9,17 @@ from __future__ import annotations
 
 import base64
 import json
+import os
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +44,9 @@ class Tokenizer:
     pieces: Callable[[Column], Column] | None = None
     spell: Callable[[list[int]], list[str]] | None = field(default=None, compare=False, repr=False)
     cut: str | None = None
+    #: Of stored tokenizers: texts to lists of ids, and back, in a worker.
+    ids: Callable[[list[str]], list] | None = field(default=None, compare=False, repr=False)
+    back: Callable[[list], list[str]] | None = field(default=None, compare=False, repr=False)
 
     @property
     def vocab_size(self) -> int | None:
@@ -65,6 +73,8 @@ def _pattern(name: str, pattern: str, cut: str = GAPS) -> Callable[..., Tokenize
 
 @lru_cache(maxsize=8)
 def _hf(path: str):
+    # a task has one core: threads of its own would only hold more memory
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer as Library
 
     return Library.from_file(path)
@@ -86,20 +96,65 @@ def _ranks(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+#: Characters (or ids) that a library gets at once, a text at least: what it holds of its results is many times as large.
+AT_ONCE = 1 << 18
+
+
+def portions(items: list, size: int = AT_ONCE) -> Iterator[list]:
+    """Items that are not None, in lists of about size characters or ids."""
+    held, n = [], 0
+    for x in items:
+        if x is None:
+            continue
+        held.append(x)
+        n += len(x)
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 def _arrow(f: Callable[[list[str]], list], kind: str) -> Callable[[Column], Column]:
-    """A function over lists of texts (or id lists) as an Arrow UDF; nulls stay null."""
+    """A function over lists of texts (or id lists) as an Arrow UDF; nulls stay null. Ids are held as arrays, four bytes each."""
+    held = (lambda x: np.array(x, np.int32)) if kind == "array<int>" else (lambda x: x)
 
     @F.pandas_udf(kind)
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            has = s.notna()
-            out = pd.Series([None] * len(s), index=s.index, dtype=object)
-            out[has] = pd.Series(f(s[has].tolist()), index=s.index[has], dtype=object)
-            yield out
+            items = s.tolist()
+            made = (held(x) for few in portions(items) for x in f(few))
+            yield pd.Series([None if x is None else next(made) for x in items], index=s.index, dtype=object)
 
     return udf
 
 
+#: Pieces of texts that a worker keeps with their ids, for each tokenizer: about 35 MB.
+KEEP = 200_000
+#: A cut for tokenizers whose pre-tokens begin at a space: before each space behind a letter of Latin script or an ASCII character that shows.
+BEFORE_SPACE = r"(?<=[!-~À-ÖØ-öø-ɏ])(?= )"
+
+
+@lru_cache(maxsize=8)
+def _known(path: str, special: bool, cut: str) -> dict[str, bytes]:
+    return {}
+
+
+def by_pieces(encode: Callable[[list[str]], list], cut: str, known: dict[str, bytes]) -> Callable[[list[str]], list]:
+    """encode for texts that can be cut: a piece is encoded once while it is among the known ones."""
+    split = re.compile(cut).split
+
+    def run(texts: list[str]) -> list[np.ndarray]:
+        each = [split(t) for t in texts]
+        if len(known) > KEEP:
+            known.clear()
+        new = list({p for ps in each for p in ps if p not in known})
+        known.update((p, np.array(x, np.int32).tobytes()) for p, x in zip(new, encode(new), strict=True))
+        return [np.frombuffer(b"".join(map(known.__getitem__, ps)), np.int32) for ps in each]
+
+    return run
+
+
 def _named(token: str | None, i: int) -> str:
     return token if token is not None else f"<UNK_{i}>"
 
@@ -108,7 +163,12 @@ def huggingface(config: dict[str, Any]) -> Tokenizer:
     """A tokenizers JSON file at path; special tokens that its post-processor adds are counted (special=False leaves them out)."""
     path, special = config["path"], config.get("special", True)
     tok = _hf(path)
-    encode = lambda texts: [e.ids for e in _hf(path).encode_batch(texts, add_special_tokens=special)]
+    cut = config.get("cut")
+
+    def encode(texts: list[str]) -> list:
+        whole = lambda xs: [e.ids for e in _hf(path).encode_batch_fast(xs, add_special_tokens=special)]
+        return (by_pieces(whole, cut, _known(path, special, cut)) if cut else whole)(texts)
+
     decode = lambda ids: _hf(path).decode_batch([list(map(int, x)) for x in ids], skip_special_tokens=False)
 
     def pieces(texts: list[str]) -> list[list[str]]:
@@ -117,7 +177,7 @@ def huggingface(config: dict[str, Any]) -> Tokenizer:
 
     vocab = tok.get_vocab()
     unk = next((vocab[u] for u in (config.get("unk"), getattr(tok.model, "unk_token", None), "<unk>", "[UNK]", "<UNK>") if u and u in vocab), None)
-    return Tokenizer(config.get("name", "huggingface"), _arrow(encode, "array<int>"), vocab, unk, config.get("preprocess"), _arrow(decode, "string"), _arrow(pieces, "array<string>"), lambda ids: [_named(_hf(path).id_to_token(i), i) for i in ids], config.get("cut"))
+    return Tokenizer(config.get("name", "huggingface"), _arrow(encode, "array<int>"), vocab, unk, config.get("preprocess"), _arrow(decode, "string"), _arrow(pieces, "array<string>"), lambda ids: [_named(_hf(path).id_to_token(i), i) for i in ids], cut, encode, decode)
 
 
 def sentencepiece(config: dict[str, Any]) -> Tokenizer:
@@ -140,7 +200,7 @@ def sentencepiece(config: dict[str, Any]) -> Tokenizer:
         return out
 
     vocab = {sp.id_to_piece(i): i for i in range(sp.vocab_size())}
-    return Tokenizer(config.get("name", "sentencepiece"), _arrow(encode, "array<int>"), vocab, sp.unk_id() if sp.unk_id() >= 0 else None, config.get("preprocess"), _arrow(decode, "string"), _arrow(pieces, "array<string>"), lambda ids: _pieces(path).id_to_piece(ids))
+    return Tokenizer(config.get("name", "sentencepiece"), _arrow(encode, "array<int>"), vocab, sp.unk_id() if sp.unk_id() >= 0 else None, config.get("preprocess"), _arrow(decode, "string"), _arrow(pieces, "array<string>"), lambda ids: _pieces(path).id_to_piece(ids), ids=encode, back=decode)
 
 
 def ranked(config: dict[str, Any]) -> Tokenizer:
@@ -151,7 +211,7 @@ def ranked(config: dict[str, Any]) -> Tokenizer:
     decode = lambda ids: [_ranks(path, pattern).decode(list(map(int, x))) for x in ids]
     vocab = {token.decode("latin-1"): i for token, i in enc._mergeable_ranks.items()} if config.get("vocab", True) else None
     spell = lambda ids: [_ranks(path, pattern).decode_single_token_bytes(i).decode("utf-8", "replace") for i in ids]
-    return Tokenizer(config.get("name", "ranked"), _arrow(encode, "array<int>"), vocab, None, config.get("preprocess"), _arrow(decode, "string"), spell=spell)
+    return Tokenizer(config.get("name", "ranked"), _arrow(encode, "array<int>"), vocab, None, config.get("preprocess"), _arrow(decode, "string"), spell=spell, ids=encode, back=decode)
 
 
 def bpe_files(config: dict[str, Any]) -> Tokenizer:
@@ -174,7 +234,7 @@ def bpe_files(config: dict[str, Any]) -> Tokenizer:
     with open(vocab_file, encoding="utf-8") as f:
         vocab = json.load(f)
     spell = lambda ids: [_named(build(vocab_file, merges_file).id_to_token(i), i) for i in ids]
-    return Tokenizer(config.get("name", "bpe_files"), _arrow(encode, "array<int>"), vocab, vocab.get("<unk>"), config.get("preprocess"), spell=spell)
+    return Tokenizer(config.get("name", "bpe_files"), _arrow(encode, "array<int>"), vocab, vocab.get("<unk>"), config.get("preprocess"), spell=spell, ids=encode)
 
 
 def by_language(config: dict[str, Any]) -> Tokenizer:
@@ -198,7 +258,7 @@ def by_language(config: dict[str, Any]) -> Tokenizer:
         other = _pieces(p)
         if [other.id_to_piece(i) for i in range(other.vocab_size())] != [first.id_to_piece(i) for i in range(first.vocab_size())]:
             raise ValueError(f"{p} has another vocabulary than {paths[0]}")
-    return Tokenizer(config.get("name", "by_language"), _arrow(encode, "array<int>"), vocab, first.unk_id(), config.get("preprocess"), spell=lambda ids: _pieces(paths[0]).id_to_piece(ids))
+    return Tokenizer(config.get("name", "by_language"), _arrow(encode, "array<int>"), vocab, first.unk_id(), config.get("preprocess"), spell=lambda ids: _pieces(paths[0]).id_to_piece(ids), ids=encode)
 
 
 def pretokenized(config: dict[str, Any]) -> Tokenizer:
@@ -254,6 +314,58 @@ def from_config(config: dict[str, Any]) -> tuple[list[Tokenizer], list[str]]:
 TOKEN_COLUMNS = ["tokenizer", "language", "doc_id", "text", "tokens"]
 
 
+def _slices(batches: Iterator[pa.RecordBatch], column: str, size: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about size bytes of a string column, a row at least."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        n = pc.fill_null(pc.binary_length(b[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        cuts = (np.flatnonzero(np.diff((np.cumsum(n) - n) // size)) + 1).tolist()
+        for i, j in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
+            yield b.slice(i, j - i)
+
+
+def _lists(found: list) -> pa.Array:
+    at = np.cumsum([0, *map(len, found)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.asarray(x, np.int32) for x in found]) if found else np.zeros(0, np.int32)))
+
+
+def _by_library(src: DataFrame, tokenizers: list[Tokenizer]) -> DataFrame:
+    """tokenizer, language, doc_id, text, ids of texts that are not null: one Python worker a task has all tokenizers, and holds little of a batch at once."""
+    of = [(t.name, t.ids) for t in tokenizers]
+    kinds = {c: src.schema[c].dataType.simpleString() for c in ("language", "doc_id", "text")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches, "text"):
+            texts = b["text"].to_pylist()
+            for name, ids in of:
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(texts)), *b.columns, _lists(ids(texts))], names=["tokenizer", *kinds, "ids"])
+
+    return src.select(*kinds).mapInArrow(run, f"tokenizer string, {', '.join(f'{c} {k}' for c, k in kinds.items())}, ids array<int>")
+
+
+def decoded(corpus: DataFrame, tokenizers: list[Tokenizer], same: dict[str, Tokenizer] | None = None) -> DataFrame:
+    """tokenizer, doc_id, decoded, equal: every text encoded and decoded by stored tokenizers, null texts as null.
+
+    equal: whether the tokenizer that same has for one's name gives the same ids; null without one.
+    """
+    of = [(t.name, t.ids, t.back, (same or {})[t.name].ids if t.name in (same or {}) else None) for t in tokenizers]
+    kind = corpus.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches, "text"):
+            every = b["text"].to_pylist()
+            texts = [x for x in every if x is not None]
+            for name, ids, back, other in of:
+                found = [np.asarray(x, np.int32) for x in ids(texts)]
+                alike = [np.array_equal(x, y) for x, y in zip(found, other(texts), strict=True)] if other else [None] * len(texts)
+                row = zip(back(found), alike, strict=True)
+                rows = [(None, None) if x is None else next(row) for x in every]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), b["doc_id"], pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.bool_())], names=["tokenizer", "doc_id", "decoded", "equal"])
+
+    return corpus.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"tokenizer string, doc_id {kind}, decoded string, equal boolean")
+
+
 def encode(corpus: DataFrame, tokenizers: list[Tokenizer], *, strict: bool = False) -> DataFrame:
     """tokenizer, language, doc_id, text, tokens (strings): every text that is not blank, by every tokenizer.
 
@@ -264,9 +376,15 @@ def encode(corpus: DataFrame, tokenizers: list[Tokenizer], *, strict: bool = Fal
     if not tokenizers:
         raise ValueError("no tokenizers given")
     src = corpus.where(F.col("text").isNotNull() & not_blank(F.col("text")))
-    # all tokenizers in one pass over the texts
-    each = F.array(*[F.struct(F.lit(t.name).alias("tokenizer"), t.encode(F.col("text")).cast("array<string>").alias("tokens")) for t in tokenizers])
-    out = src.select("language", "doc_id", "text", F.explode(each).alias("e")).select("e.tokenizer", "language", "doc_id", "text", "e.tokens")
+    stored = [t for t in tokenizers if t.ids is not None and not t.preprocess]
+    columns = [t for t in tokenizers if t not in stored]
+    out = None
+    if columns:  # all of them in one pass over the texts
+        each = F.array(*[F.struct(F.lit(t.name).alias("tokenizer"), t.encode(F.col("text")).cast("array<string>").alias("tokens")) for t in columns])
+        out = src.select("language", "doc_id", "text", F.explode(each).alias("e")).select("e.tokenizer", "language", "doc_id", "text", "e.tokens")
+    if stored:
+        x = _by_library(src, stored).select("tokenizer", "language", "doc_id", "text", F.col("ids").cast("array<string>").alias("tokens"))
+        out = x if out is None else out.unionByName(x)
     if strict:
         return out.withColumn("tokens", F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.raise_error(F.concat(F.lit("no tokens for a text of "), F.col("language")))))
     return out.where(F.size("tokens") > 0)

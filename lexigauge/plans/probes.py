@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import script, text
 from ..functions.factor import casing_of_words
-from ..functions.measure import Measure, n_units
+from ..functions.measure import Measure, n_units, not_blank
 from ..operators import metrics as M
 from ..operators import morphology, sketches, training, validate
-from ..operators.encode import Tokenizer, encode, spelled, tokenizer, tokenizers_table
+from ..operators.encode import BEFORE_SPACE, Tokenizer, decoded, encode, spelled, tokenizer, tokenizers_table
 from ..operators.facts import Facts, doc_facts
 from ..session import kept, scratch
 from ..sources import corpus as sources
@@ -251,21 +251,25 @@ def from_files() -> list[Tokenizer]:
     import public_tokenizers as P
 
     return [
-        tokenizer("huggingface", name="byte_bpe", path=P.path("byte_bpe_50k.json")),
+        tokenizer("huggingface", name="byte_bpe", path=P.path("byte_bpe_50k.json"), cut=BEFORE_SPACE),
         tokenizer("huggingface", name="word_bpe", path=P.path("word_bpe_49k.json")),
         tokenizer("ranked", name="multi", path=P.path("byte_bpe_multi_50k.tiktoken"), pattern=P.PATTERN),
         tokenizer("sentencepiece", name="piece_bpe", path=P.path("piece_bpe_32k.model")),
     ]
 
 
-@query("SELECT doc_id, true AS equal FROM documents WHERE regexp_matches(text, '\\S')")
+@query(
+    f"""WITH {OWN_CHARS}, b AS (SELECT doc_id, text, hex(encode(lower(regexp_replace(nfc_normalize(text), '\\s+', '', 'g')))) AS h FROM documents WHERE regexp_matches(text, '\\S'))
+SELECT tokenizer, doc_id, CASE WHEN tokenizer = 'word_bpe' THEN {SHOWN('h')} ELSE text END AS decoded, CASE WHEN tokenizer = 'byte_bpe' THEN true END AS equal FROM b, own, (VALUES ('byte_bpe'), ('word_bpe'), ('multi'), ('piece_bpe')) t(tokenizer)"""
+)
 def stored_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two libraries give the same ids for one vocabulary, over all texts."""
+    """Ids of all texts by tokenizers of three libraries, decoded (word_bpe: the printable characters of the bytes of all words); equal: another library gives the same ids for the vocabulary."""
     import public_tokenizers as P
 
-    two = [from_files()[0], tokenizer("ranked", name="ranks", path=P.path("byte_bpe_50k.tiktoken"), pattern=P.PATTERN)]
-    x = encode(documents(spark, sf_dir), two).groupBy("doc_id").agg(F.collect_set("tokens").alias("sets"), F.count("*").alias("n"))
-    return x.select("doc_id", ((F.size("sets") == 1) & (F.col("n") == 2)).alias("equal"))
+    ranks = tokenizer("ranked", name="ranks", path=P.path("byte_bpe_50k.tiktoken"), pattern=P.PATTERN)
+    x = decoded(documents(spark, sf_dir).where(not_blank(F.col("text"))), from_files(), {"byte_bpe": ranks})
+    bare = F.regexp_replace("decoded", r"</w>|\s+", "")
+    return x.select("tokenizer", "doc_id", F.when(F.col("tokenizer") == "word_bpe", bare).otherwise(F.col("decoded")).alias("decoded"), "equal")
 
 
 @query("SELECT tokenizer, vocab_size, unk_id, count(*) AS texts, true AS inside FROM documents, (VALUES ('byte_bpe', CAST(50257 AS BIGINT), CAST(NULL AS INTEGER)), ('word_bpe', 49408, NULL), ('multi', 50256, NULL), ('piece_bpe', 32000, 0)) t(tokenizer, vocab_size, unk_id) WHERE regexp_matches(text, '\\S') GROUP BY tokenizer, vocab_size, unk_id")
@@ -280,12 +284,7 @@ def stored_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT tokenizer, doc_id, text AS decoded FROM documents, (VALUES ('byte_bpe'), ('multi'), ('piece_bpe')) t(tokenizer)")
 def stored_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decoding gives the texts back, of the tokenizers that drop nothing."""
-    out = None
-    for t in from_files():
-        if t.name != "word_bpe":
-            x = documents(spark, sf_dir).select(F.lit(t.name).alias("tokenizer"), "doc_id", t.decode(t.encode(F.col("text"))).alias("decoded"))
-            out = x if out is None else out.unionByName(x)
-    return out
+    return decoded(documents(spark, sf_dir), [t for t in from_files() if t.name != "word_bpe"]).drop("equal")
 
 
 @query(f"WITH {OWN_CHARS}, b AS (SELECT doc_id, hex(encode(text)) AS h FROM documents) SELECT doc_id, {SHOWN('h')} AS joined FROM b, own")

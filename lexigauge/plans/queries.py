@@ -15,7 +15,7 @@ from ..functions import script, text
 from ..functions.measure import PRESETS, Measure, n_units
 from ..operators import metrics as M
 from ..operators import morphology, training, validate
-from ..operators.encode import encode, tokenizer
+from ..operators.encode import BEFORE_SPACE, encode, tokenizer
 from ..operators.facts import Facts, facts, with_groups
 from ..operators.pieces import encoded_characters, facts_by_pieces
 from ..operators.vocab import numbered
@@ -437,7 +437,7 @@ def training_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stored() -> list:
     import public_tokenizers as P
 
-    return [tokenizer("huggingface", name="byte_bpe", path=P.path("byte_bpe_50k.json")), tokenizer("sentencepiece", name="piece_bpe", path=P.path("piece_bpe_32k.model"))]
+    return [tokenizer("huggingface", name="byte_bpe", path=P.path("byte_bpe_50k.json"), cut=BEFORE_SPACE), tokenizer("sentencepiece", name="piece_bpe", path=P.path("piece_bpe_32k.model"))]
 
 
 @query()

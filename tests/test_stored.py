@@ -47,3 +47,25 @@ def test_ids(spark):
 def test_sizes(spark):
     got = {r.tokenizer: (r.vocab_size, r.unk_id) for r in tokenizers_table(spark, from_files()).collect()}
     assert got == {"byte_bpe": (50257, None), "word_bpe": (49408, None), "multi": (50256, None), "piece_bpe": (32000, 0)}
+
+
+def test_portions_and_pieces(spark):
+    """Texts are given to a library in portions; ids put together from pieces are those of whole texts."""
+    import public_tokenizers as P
+
+    from lexigauge.operators import encode as E
+
+    texts = [*PROBE, "a  b", " x  y \n z", "é ̀ é", "don't  'S I'LL", "<|endoftext|> a <|endoftext|>", "", "   ", "a\x1c b\x85 c\xa0 d", "日本 語 a", " ´ ¨ á ́b"]
+    assert [x for few in E.portions([*texts, None], 5) for x in few] == texts and max(map(len, E.portions(texts, 5))) < len(texts)
+    path = P.path("byte_bpe_50k.json")
+    whole = lambda xs: [e.ids for e in E._hf(path).encode_batch(xs)]
+    known = {}
+    assert [x.tolist() for x in E.by_pieces(whole, E.BEFORE_SPACE, known)(texts)] == whole(texts) and " then" in known
+
+
+def test_stored_ids_of_all_tokenizers(spark):
+    from lexigauge.plans.probes import stored_ids
+
+    got = stored_ids(spark, "/root/testdata/sf0.001")
+    assert {r[0] for r in got.select("tokenizer").distinct().collect()} == {t.name for t in from_files()}
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
