@@ -34,13 +34,12 @@ def cleaned(tokens: Column) -> Column:
 
 #: Of Python's white space, which words are split at.
 WORDS = rf"(?U)[^{SPACE}]+"
-_MARKS = "".join("\\" + c for c in PUNCTUATION)
 
 
 def words_of(text: Column) -> Column:
     """The words of a text in lower case, without punctuation at their ends."""
     found = F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0))
-    return F.transform(found, lambda w: F.regexp_replace(w, rf"^[{_MARKS}]+|[{_MARKS}]+\z", ""))
+    return F.transform(found, lambda w: F.btrim(w, F.lit(PUNCTUATION)))
 
 
 def _up_to_next(starts: Column, end: Column) -> Column:
@@ -56,7 +55,7 @@ def _part(tokens: Column, x: Column) -> Column:
 def _punctuation(tokens: Column) -> Column:
     """Whether a group behind a text's first is punctuation alone, without its space mark and continuation marks."""
     shown = F.transform(tokens, lambda t, i: F.when(i == 0, F.substring(t, 2, 1 << 30)).when(F.startswith(t, F.lit("##")), F.substring(t, 3, 1 << 30)).otherwise(t))
-    return F.regexp_like(F.array_join(shown, ""), F.lit(rf"^[{_MARKS}]*\z"))
+    return F.btrim(F.array_join(shown, ""), F.lit(PUNCTUATION)) == ""
 
 
 def aligned(df: DataFrame) -> DataFrame:
@@ -68,7 +67,7 @@ def aligned(df: DataFrame) -> DataFrame:
     """
     tokens = F.col("tokens")
     n = F.size("tokens")
-    begins = lambda i: (i == 0) | F.regexp_like(F.get(tokens, i), F.lit("^[Ġ ]"))
+    begins = lambda i: (i == 0) | F.startswith(F.get(tokens, i), F.lit("Ġ")) | F.startswith(F.get(tokens, i), F.lit(" "))
     places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     x = df.withColumns({"__words": words_of(F.col("text")), "__starts": F.filter(places, begins)})
     x = x.withColumn("__groups", _up_to_next(F.col("__starts"), n))
@@ -82,7 +81,8 @@ def aligned(df: DataFrame) -> DataFrame:
 
 def align_words(tokens: DataFrame) -> DataFrame:
     """tokenizer, language, word, tokens, n: distinct words (two letters at least) with their tokens (strings) and how often they occur."""
-    x = aligned(tokens.select("tokenizer", "language", "text", "tokens")).select("tokenizer", "language", F.explode("pairs").alias("p")).select("tokenizer", "language", "p.word", "p.tokens")
+    # an outer one, as for the other the planner also filters by the size of pairs and so computes them many times; its rows without a word go below
+    x = aligned(tokens.select("tokenizer", "language", "text", "tokens")).select("tokenizer", "language", F.explode_outer("pairs").alias("p")).select("tokenizer", "language", "p.word", "p.tokens")
     return x.where(F.length("word") >= LEAST_WORD).groupBy("tokenizer", "language", "word", "tokens").agg(F.count("*").alias("n"))
 
 
@@ -122,9 +122,9 @@ def boundaries(parts: Column, word: Column, morphemes: bool) -> Column:
     return F.array_distinct(F.filter(ends, lambda e: e != n))
 
 
-def scores(word: Column, tokens: Column, morphemes: Column, gold: Column) -> dict[str, Column]:
-    """Alignment of clean tokens with morphemes, from the ends inside the word; gold: those of the morphemes. Null without tokens, morphemes or word."""
-    cut = boundaries(tokens, word, False)
+def scores(word: Column, tokens: Column, morphemes: Column, gold: Column, cut: Column | None = None) -> dict[str, Column]:
+    """Alignment of clean tokens with morphemes, from the ends inside the word; gold: those of the morphemes, cut: of the tokens. Null without tokens, morphemes or word."""
+    cut = boundaries(tokens, word, False) if cut is None else cut
     both = F.size(F.array_intersect(cut, gold)).cast("double")
     part = lambda n: F.coalesce(F.try_divide(both, n.cast("double")), F.lit(0.0))
     p, r, m = part(F.size(cut)), part(F.size(gold)), F.size(morphemes)
@@ -176,7 +176,8 @@ def alignment(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Scores of each distinct word and its tokens, with n occurrences."""
 
     x = lookup(align_words(tokens), lexicon).withColumn("tokens", cleaned(F.col("tokens"))).where((F.size("tokens") > 0) & (F.size("morphemes") > 0))
-    made = scores(F.col("word"), F.col("tokens"), F.col("morphemes"), F.col("gold"))
+    x = x.withColumn("cut", boundaries(F.col("tokens"), F.col("word"), False))  # once a row, not once a score
+    made = scores(F.col("word"), F.col("tokens"), F.col("morphemes"), F.col("gold"), F.col("cut"))
     return x.select("tokenizer", "language", "word", "tokens", "morphemes", "n", *[c for c in EXTRA if c in x.columns], *[v.alias(k) for k, v in made.items()])
 
 

@@ -113,3 +113,16 @@ def test_frames(spark):
 def test_inferred():
     cases = {("happy", "happyness"): ["happy", "ness"], ("do", "undo"): ["un", "do"], ("abc", "ab"): ["ab"], ("run", "run"): ["run"], ("decide", "decision"): ["deci", "sion"], ("x", "y"): ["y"]}
     assert {k: M.inferred_morphemes(*k) for k in cases} == cases
+
+
+def test_pairs_are_made_once(spark):
+    """A plan must not hold the words of a text a second time, as a filter by the size of pairs would, nor the ends of tokens once a score."""
+    from lexigauge.operators import morphology
+
+    tokens = spark.createDataFrame([("t", "en", "a blue bird", ["a", " blue", " bird"]), ("t", "en", None, ["x"])], "tokenizer string, language string, text string, tokens array<string>")
+    x = morphology.align_words(tokens)
+    assert x._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert {(r.word, *r.tokens) for r in x.collect()} == {("blue", " blue"), ("bird", " bird")}
+    lexicon = spark.createDataFrame([("en", "d", "bird", ["bi", "rd"], 0)], "language string, dataset string, word string, morphemes array<string>, dataset_priority int")
+    plan = morphology.alignment(tokens, lexicon)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(" AS cut#") == 1
