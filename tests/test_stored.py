@@ -69,3 +69,9 @@ def test_stored_ids_of_all_tokenizers(spark):
     got = stored_ids(spark, "/root/testdata/sf0.001")
     assert {r[0] for r in got.select("tokenizer").distinct().collect()} == {t.name for t in from_files()}
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stated_error_is_that_of_merged_sketches():
+    from lexigauge.operators import sketches
+
+    assert abs(sketches.relative_error(12) - 1.04 / 64) < 1e-12
