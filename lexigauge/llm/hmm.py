@@ -2,9 +2,9 @@
 
 Words are counted over all training documents. Words that occur OFTEN times, and the
 CLASSES most frequent in any case, are observations of their own; the others share one
-class and, within it, are drawn by their add-one counts. Baum-Welch trains states, transitions and emissions: a warm start on a
-bounded sample, then passes over all whole training documents whose expected counts are
-added up across partitions. A text's likelihood is exact, by the scaled forward recursion over
+class and, within it, are drawn by their add-one counts. States, transitions and emissions start where they fit the counts of
+adjacent words in all training documents, and Baum-Welch trains them by passes over all whole training documents, whose expected
+counts are added up across partitions. No step learns from a sample. A text's likelihood is exact, by the scaled forward recursion over
 the whole text.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, cached_in_worker, pieces, stored, utf8
-from .sampling import bounded, held_out
+from .sampling import held_out
 
 STATES, CLASSES = 8, 8192
 #: Occurrences that make a word of the head a class of its own, so that classes grow with the corpus.
@@ -32,8 +32,10 @@ OFTEN = 100
 HEAD = 200_000
 #: Longer words go by a digest of their bytes, so that what every task gets has a bound. No word has the digest's leading space.
 WORD_BYTES = 64
-#: Documents for the warm start, about, and its rounds; passes over all training documents.
-WARM, WARM_ROUNDS, PASSES = 1_500, 10, 2
+#: Rounds that fit the start to counts of adjacent words; passes over all training documents.
+WARM, PASSES = 200, 2
+#: Classes told apart in counts of adjacent words, the most frequent ones; other words count there as one, and the end as another.
+ADJACENT = 512
 #: Texts of more tokens are trained on apart from others, and so many tokens of the shorter and of the longer ones at once.
 LONG, TOGETHER = 1024, (400_000, 1_000_000)
 #: Expected counts of one row when they are added up.
@@ -224,43 +226,94 @@ class Model:
         return get
 
 
+def adjacent(texts: DataFrame, m: Model) -> np.ndarray:
+    """How often each of the most frequent classes, the other words and the end stand behind each other, in all texts: exact counts."""
+    get, classes = m.in_worker(), m.classes
+    k = min(ADJACENT, classes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = get()[0].__getitem__
+        total = np.zeros((k + 2) ** 2, np.int64)
+        for b in pieces(batches):
+            held = [np.zeros(0, np.int64)]
+            for text in utf8(b.column(0)):
+                x = observed(ranks(at, text)[1], classes)
+                x = np.where(x > classes, k + 1, np.minimum(x, k))
+                held.append(x[:-1] * (k + 2) + x[1:])
+            total += np.bincount(np.concatenate(held), minlength=len(total))
+        yield in_blocks(total)
+
+    return added_up(texts.mapInArrow(run, BLOCKS), np.int64).reshape(k + 2, k + 2)
+
+
+def started(pairs: np.ndarray, base: np.ndarray, states: int, rounds: int) -> Params:
+    """Parameters fitted to counts of adjacent classes by rounds of expectation and maximisation; words that the counts do not tell apart share their states."""
+    p = initial(base, states)
+    if not pairs.sum():
+        return p
+    k = len(pairs) - 2
+    own = np.r_[base[:k], base[k:-1].sum(), base[-1]]
+    emit = np.concatenate([p.emit[:k], p.emit[k:-1].sum(0, keepdims=True), p.emit[-1:]])
+    both = p.step * p.start[:, None]  # of two adjacent words: the states of both
+    for _ in range(rounds):
+        r = pairs / np.maximum(emit @ both @ emit.T, 1e-300)
+        right, left = r @ emit, r.T @ emit
+        both, emit = both * (emit.T @ right) + 1, emit * (right @ both.T + left @ both) + 50 * own[:, None]
+        both, emit = both / both.sum(), emit / emit.sum(0)
+    start = both.sum(1)
+    rest = base[k:-1, None] / own[k]
+    return Params(start, both / start[:, None], np.concatenate([emit[:k], rest * emit[k], emit[-1:]]))
+
+
 def train(texts: DataFrame, counts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, classes: int = CLASSES, head: int = HEAD, warm: int = WARM, passes: int = PASSES) -> Model:
     """Fit on all texts; without any, the parameters stay at their start."""
     m = Model(texts.sparkSession, counts, classes, head, states)
     if not m.ends:
         return m
-    get, classes = m.in_worker(), m.classes
-
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = get()[0].__getitem__
-        for b in pieces(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([observed(ranks(at, x)[1], classes).tolist() for x in utf8(b.column(0))], pa.list_(pa.int32()))], names=["obs"])
-
-    few = bounded(texts, warm).select(F.col(text_col)).mapInArrow(sampled, "obs array<int>").toArrow()
-    got = sorted(few["obs"].to_pylist())
-    obs, sizes = runs([np.array(x, np.int64) for x in got])
-    for _ in range(WARM_ROUNDS if len(obs) else 0):
-        *e, _ll = expected(m.params, obs, sizes)
-        m.params = maximised(m.params, *e, m.base)
+    m.params = started(adjacent(texts.select(text_col), m), m.base, states, warm)
     for _ in range(passes):
         m.params = maximised(m.params, *summed(texts.select(text_col), m), m.base)
     return m
 
 
+BLOCKS = "block int, task int, x binary"
+
+
+def in_blocks(total: np.ndarray) -> pa.RecordBatch:
+    """A task's numbers as a few rows."""
+    from pyspark import TaskContext
+
+    # about the root of the number of tasks at each of the two steps that add up
+    task = math.isqrt(TaskContext.get().partitionId())
+    k = range(0, len(total), BLOCK)
+    return pa.RecordBatch.from_arrays([pa.array([i // BLOCK for i in k], pa.int32()), pa.array([task] * len(k), pa.int32()), pa.array([total[i : i + BLOCK].tobytes() for i in k], pa.binary())], names=["block", "task", "x"])
+
+
+def added_up(parts: DataFrame, kind: type) -> np.ndarray:
+    """The sum of all tasks' numbers of a kind, in two steps; single precision is added up in double."""
+    wide = np.int64 if kind is np.int64 else np.float64
+
+    def add(by: list[str]):
+        def f(t: pa.Table) -> pa.Table:
+            x = sum(np.frombuffer(v, kind).astype(wide) for v in t["x"].to_pylist())
+            return pa.table({"block": t["block"].slice(0, 1), "task": t["task"].slice(0, 1), "x": pa.array([x.astype(kind).tobytes()], pa.binary())})
+
+        return lambda d: d.groupBy(*by).applyInArrow(f, BLOCKS)
+
+    got = {r["block"]: np.frombuffer(bytes(r["x"]), kind) for r in add(["block"])(add(["block", "task"])(parts)).collect()}  # as large as one task's numbers
+    return np.concatenate([got[k] for k in sorted(got)]).astype(wide)
+
+
 def summed(texts: DataFrame, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One Baum-Welch expectation over all texts: counts of a task leave it as a few rows of single precision, and are added up in double, in two steps."""
     get, classes, states = m.in_worker(), m.classes, m.states
     raw = texts.sparkSession.sparkContext.broadcast(m.params.pack())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         p, at = Params.unpack(raw.value, states), get()[0].__getitem__
         total = np.zeros(states + states * states + len(p.emit) * states)
         held: tuple[list[np.ndarray], list[np.ndarray]] = [], []
         n = [0, 0]
-        # about the root of the number of tasks at each of the two steps that add up
-        task = math.isqrt(TaskContext.get().partitionId())
 
         def add(k: int) -> None:
             start, step, emit, _ = expected(p, *runs(held[k]))
@@ -278,19 +331,9 @@ def summed(texts: DataFrame, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarr
                     add(long)
         for k in (0, 1):
             add(k)
-        k = range(0, len(total), BLOCK)
-        yield pa.RecordBatch.from_arrays([pa.array([i // BLOCK for i in k], pa.int32()), pa.array([task] * len(k), pa.int32()), pa.array([total[i : i + BLOCK].astype(np.float32).tobytes() for i in k], pa.binary())], names=["block", "task", "x"])
-
-    def add_up(by: list[str]):
-        def f(t: pa.Table) -> pa.Table:
-            x = sum(np.frombuffer(v, np.float32).astype(np.float64) for v in t["x"].to_pylist())
-            return pa.table({"block": t["block"].slice(0, 1), "task": t["task"].slice(0, 1), "x": pa.array([x.astype(np.float32).tobytes()], pa.binary())})
-
-        return lambda d: d.groupBy(*by).applyInArrow(f, "block int, task int, x binary")
+        yield in_blocks(total.astype(np.float32))
 
-    parts = add_up(["block"])(add_up(["block", "task"])(texts.mapInArrow(run, "block int, task int, x binary")))
-    got = {r["block"]: np.frombuffer(bytes(r["x"]), np.float32) for r in parts.collect()}  # as large as the parameters
-    x = np.concatenate([got[k] for k in sorted(got)]).astype(np.float64)
+    x = added_up(texts.mapInArrow(run, BLOCKS), np.float32)
     s = states
     return x[:s], x[s : s + s * s].reshape(s, s), x[s + s * s :].reshape(-1, s)
 

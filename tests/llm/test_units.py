@@ -321,6 +321,29 @@ def test_top_k_over_many_annuli(spark, monkeypatch):
         assert [(v, -s) for s, v in want] == [(v, s) for _, v, s in sorted(g)]
 
 
+def test_hmm_start_is_fitted_to_all_texts(spark):
+    """More texts than any sample: what training starts from follows from the adjacent words of all of them, counted plainly."""
+    rng = np.random.default_rng(3)
+    rows = [(i, None if i % 50 == 0 else " ".join(f"w{int(x)}" for x in rng.integers(0, 9, int(rng.integers(0, 12))))) for i in range(4000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    counts = hmm.counted(d.select("text")).cache()
+    m = hmm.train(d, counts, states=3, classes=6, head=7, warm=30, passes=0)
+    k, index = m.classes, {w.decode(): i for i, w in enumerate(m.head)}
+    pairs = np.zeros((k + 2, k + 2))
+    for _, text in rows:
+        x = [min(index.get(w, k), k) for w in (text or "").split()] + [k + 1]
+        for a, b in zip(x, x[1:]):  # noqa: B905
+            pairs[a, b] += 1
+    assert (hmm.adjacent(d.select("text"), m) == pairs).all()
+    want = hmm.started(pairs, m.base, 3, 30)
+    for a, b in ((m.params.start, want.start), (m.params.step, want.step), (m.params.emit, want.emit)):
+        assert np.allclose(a, b, rtol=1e-9)
+    assert np.allclose(m.params.emit.sum(0), 1) and np.allclose(m.params.step.sum(1), 1)
+    q, e = m.params.start, m.params.emit  # pairs fit better than at the start without them
+    fit = lambda p: (pairs * np.log(p.emit @ (p.step * p.start[:, None]) @ p.emit.T)).sum()
+    assert fit(m.params) > fit(hmm.initial(m.base, 3)) and len(q) == 3 and e.shape == (k + 2, 3)
+
+
 def test_hmm_scores_brute_force(spark):
     """scored() against the plain recursion, with a head so small that most words are joined."""
     rng = random.Random(8)
