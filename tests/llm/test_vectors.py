@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexigauge.llm import queries as Q
 from lexigauge.llm import vector_dedup, whitening
@@ -83,6 +84,37 @@ def test_near_duplicates(spark):
     assert vector_dedup.digest(df.where("1 = 0")).count() == 0
 
 
+def test_compared_in_tiles():
+    """Single precision only leaves out; pairs next to the threshold are told apart in double precision."""
+    rng = np.random.default_rng(4)
+    a = unit(rng.standard_normal((700, 24)))
+    other = unit(rng.standard_normal((700, 24)))
+    other = unit(other - a * (a * other).sum(1, keepdims=True))
+    cos = 0.93 + rng.choice([-1, 1], 700) * 10.0 ** rng.integers(-12, -2, 700)
+    b = a * cos[:, None] + other * np.sqrt(1 - cos**2)[:, None]
+    trees = [vector_dedup.Tree(x, *[None] * 7) for x in (a, b)]
+    at = np.arange(700)
+    i, j = vector_dedup.compared(trees[0], at, trees[1], at, 0.93)
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(a @ b.T >= 0.93)), strict=True))
+    assert (np.isin(at, i[i == j]) == (cos > 0.93)).all()
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_bundles_meet(spark, kind):
+    """Pairs of bundles meet, not pairs of blocks: a vector is sent for each bundle, and results stay those of all pairs."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.standard_normal((300, 12)), grouped(rng, 100, 12, 0.15, 10)]).astype(np.float32)
+    data = [(i, int(i % 2), [*map(float, v)]) for i, v in enumerate(x)]
+    df = spark.createDataFrame(data, f"vec_id long, label int, embedding array<{kind}>")
+    _, made = vector_dedup.classes(df, "vec_id", "embedding", "label")
+    built = vector_dedup.blocks(made, 8, 500).withColumn("block", F.xxhash64("grp", "cell", "part")).cache()
+    rows = [(len(r[0]), len(r[1] or [])) for r in vector_dedup.meetings(built, 0.93, 40).select("blocks_a", "blocks_b").collect()]
+    n = built.count()
+    assert n >= 60 and len(rows) <= 2 * 5 * 6 / 2 and sum(a for a, b in rows if not b) == n
+    own = vector_dedup.near_duplicates(df, block=8, sample=500).collect()
+    assert sorted(repr(tuple(r)) for r in own) == plain_links(data)
+
+
 def plain_whitening(vectors):
     x = np.floor(1024 * np.array(vectors, np.float64)).astype(np.int64) + 100_000
     n, s = len(x), x.sum(0)
