@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.measure import SPACE, WORD_PUNCT, not_blank
 from ..functions.script import PREPROCESS
+from .parts import AT_ONCE, SHOWN, Encoder, encoded, portions
 
 
 @dataclass(frozen=True)
@@ -47,6 +48,8 @@ class Tokenizer:
     #: Of stored tokenizers: texts to lists of ids, and back, in a worker.
     ids: Callable[[list[str]], list] | None = field(default=None, compare=False, repr=False)
     back: Callable[[list], list[str]] | None = field(default=None, compare=False, repr=False)
+    #: Of those whose texts fall into parts (see parts.py): parts to lists of ids.
+    parts: Encoder | None = field(default=None, compare=False, repr=False)
 
     @property
     def vocab_size(self) -> int | None:
@@ -96,25 +99,6 @@ def _ranks(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-#: Characters (or ids) that a library gets at once, a text at least: what it holds of its results is many times as large.
-AT_ONCE = 1 << 18
-
-
-def portions(items: list, size: int = AT_ONCE) -> Iterator[list]:
-    """Items that are not None, in lists of about size characters or ids."""
-    held, n = [], 0
-    for x in items:
-        if x is None:
-            continue
-        held.append(x)
-        n += len(x)
-        if n >= size:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held
-
-
 def _arrow(f: Callable[[list[str]], list], kind: str) -> Callable[[Column], Column]:
     """A function over lists of texts (or id lists) as an Arrow UDF; nulls stay null. Ids are held as arrays, four bytes each."""
     held = (lambda x: np.array(x, np.int32)) if kind == "array<int>" else (lambda x: x)
@@ -132,7 +116,7 @@ def _arrow(f: Callable[[list[str]], list], kind: str) -> Callable[[Column], Colu
 #: Pieces of texts that a worker keeps with their ids, for each tokenizer: about 35 MB.
 KEEP = 200_000
 #: A cut for tokenizers whose pre-tokens begin at a space: before each space behind a letter of Latin script or an ASCII character that shows.
-BEFORE_SPACE = r"(?<=[!-~À-ÖØ-öø-ɏ])(?= )"
+BEFORE_SPACE = rf"(?<=[{SHOWN}])(?= )"
 
 
 @lru_cache(maxsize=8)
@@ -155,37 +139,87 @@ def by_pieces(encode: Callable[[list[str]], list], cut: str, known: dict[str, by
     return run
 
 
+def _plain(ids: Any) -> list[int]:
+    return ids if isinstance(ids, list) else [int(i) for i in ids]
+
+
+@dataclass(frozen=True)
+class ByLibrary:
+    """Ids of parts by a tokenizers JSON file: those of texts."""
+
+    path: str
+
+    def __call__(self, parts: list[str], begins: list[bool]) -> list:
+        return [e.ids for e in _hf(self.path).encode_batch_fast(parts, add_special_tokens=False)]
+
+
+@dataclass(frozen=True)
+class ByRanks:
+    path: str
+    pattern: str
+
+    def __call__(self, parts: list[str], begins: list[bool]) -> list:
+        return list(map(_ranks(self.path, self.pattern).encode_ordinary, parts))
+
+
+@dataclass(frozen=True)
+class BySentencePiece:
+    """The model puts a space before what it gets: the part's own, or one that is none of its."""
+
+    path: str
+
+    def __call__(self, parts: list[str], begins: list[bool]) -> list:
+        sp = _pieces(self.path)
+        found = sp.encode([x[1:] if x[0] == " " and not b else x for x, b in zip(parts, begins, strict=True)], num_threads=1)
+        space = sp.piece_to_id("▁")
+        # before a line's end that space is a token of its own; a space alone is no text to the model
+        return [ids if b else [space] if x == " " else ids[1:] if x[0] == "\n" else ids for x, b, ids in zip(parts, begins, found, strict=True)]
+
+
+def _falls_apart(sp: Any) -> bool:
+    """Whether no piece goes on behind a space or holds a line's end, and texts are taken as they are, behind one space."""
+    probe = "a  b \nc "
+    held = not any(re.search("[^▁]▁|\n", sp.id_to_piece(i)) for i in range(sp.vocab_size()))
+    return held and sp.is_byte(sp.piece_to_id("<0x0A>")) and sp.encode("\na")[:2] == [sp.piece_to_id(p) for p in ("▁", "<0x0A>")] and sp.decode(sp.encode(probe)) == probe
+
+
 def _named(token: str | None, i: int) -> str:
     return token if token is not None else f"<UNK_{i}>"
 
 
 def huggingface(config: dict[str, Any]) -> Tokenizer:
-    """A tokenizers JSON file at path; special tokens that its post-processor adds are counted (special=False leaves them out)."""
+    """A tokenizers JSON file at path; special tokens that its post-processor adds are counted (special=False leaves them out).
+
+    parts=True: its tokens end before a space or a line's end behind a character that shows (see parts.py).
+    """
     path, special = config["path"], config.get("special", True)
     tok = _hf(path)
     cut = config.get("cut")
 
     def encode(texts: list[str]) -> list:
         whole = lambda xs: [e.ids for e in _hf(path).encode_batch_fast(xs, add_special_tokens=special)]
-        return (by_pieces(whole, cut, _known(path, special, cut)) if cut else whole)(texts)
+        # other cuts are Spark's patterns, which Python's may not read
+        return (by_pieces(whole, cut, _known(path, special, cut)) if cut == BEFORE_SPACE else whole)(texts)
 
-    decode = lambda ids: _hf(path).decode_batch([list(map(int, x)) for x in ids], skip_special_tokens=False)
+    decode = lambda ids: _hf(path).decode_batch(list(map(_plain, ids)), skip_special_tokens=False)
 
     def pieces(texts: list[str]) -> list[list[str]]:
         p = _hf(path).pre_tokenizer
         return [[x for x, _ in p.pre_tokenize_str(t)] if p else [t] for t in texts]
 
+    if config.get("parts") and special and tok.encode("").ids:
+        raise ValueError(f"{path} adds tokens to every text, so its parts do not make one up")
     vocab = tok.get_vocab()
     unk = next((vocab[u] for u in (config.get("unk"), getattr(tok.model, "unk_token", None), "<unk>", "[UNK]", "<UNK>") if u and u in vocab), None)
-    return Tokenizer(config.get("name", "huggingface"), _arrow(encode, "array<int>"), vocab, unk, config.get("preprocess"), _arrow(decode, "string"), _arrow(pieces, "array<string>"), lambda ids: [_named(_hf(path).id_to_token(i), i) for i in ids], cut, encode, decode)
+    return Tokenizer(config.get("name", "huggingface"), _arrow(encode, "array<int>"), vocab, unk, config.get("preprocess"), _arrow(decode, "string"), _arrow(pieces, "array<string>"), lambda ids: [_named(_hf(path).id_to_token(i), i) for i in ids], cut, encode, decode, ByLibrary(path) if config.get("parts") else None)
 
 
 def sentencepiece(config: dict[str, Any]) -> Tokenizer:
-    """A SentencePiece model at path; bos and eos add their ids."""
+    """A SentencePiece model at path; bos and eos add their ids. parts=True: texts are encoded by parts (see parts.py), if the model allows it."""
     path, bos, eos = config["path"], config.get("bos", False), config.get("eos", False)
     sp = _pieces(path)
     encode = lambda texts: _pieces(path).encode(texts, add_bos=bos, add_eos=eos, num_threads=1)
-    decode = lambda ids: [_pieces(path).decode(list(map(int, x))) for x in ids]
+    decode = lambda ids: [_pieces(path).decode(_plain(x)) for x in ids]
 
     def pieces(texts: list[str]) -> list[list[str]]:
         out = []
@@ -199,19 +233,21 @@ def sentencepiece(config: dict[str, Any]) -> Tokenizer:
             out.append(words)
         return out
 
+    if config.get("parts") and (bos or eos or not _falls_apart(sp)):
+        raise ValueError(f"texts by {path} do not fall into parts")
     vocab = {sp.id_to_piece(i): i for i in range(sp.vocab_size())}
-    return Tokenizer(config.get("name", "sentencepiece"), _arrow(encode, "array<int>"), vocab, sp.unk_id() if sp.unk_id() >= 0 else None, config.get("preprocess"), _arrow(decode, "string"), _arrow(pieces, "array<string>"), lambda ids: _pieces(path).id_to_piece(ids), ids=encode, back=decode)
+    return Tokenizer(config.get("name", "sentencepiece"), _arrow(encode, "array<int>"), vocab, sp.unk_id() if sp.unk_id() >= 0 else None, config.get("preprocess"), _arrow(decode, "string"), _arrow(pieces, "array<string>"), lambda ids: _pieces(path).id_to_piece(ids), ids=encode, back=decode, parts=BySentencePiece(path) if config.get("parts") else None)
 
 
 def ranked(config: dict[str, Any]) -> Tokenizer:
-    """Byte-level BPE from a ranks file and its pattern."""
+    """Byte-level BPE from a ranks file and its pattern; parts as for huggingface."""
     path, pattern = config["path"], config["pattern"]
     enc = _ranks(path, pattern)
     encode = lambda texts: [_ranks(path, pattern).encode_ordinary(t) for t in texts]
-    decode = lambda ids: [_ranks(path, pattern).decode(list(map(int, x))) for x in ids]
+    decode = lambda ids: [_ranks(path, pattern).decode(_plain(x)) for x in ids]
     vocab = {token.decode("latin-1"): i for token, i in enc._mergeable_ranks.items()} if config.get("vocab", True) else None
     spell = lambda ids: [_ranks(path, pattern).decode_single_token_bytes(i).decode("utf-8", "replace") for i in ids]
-    return Tokenizer(config.get("name", "ranked"), _arrow(encode, "array<int>"), vocab, None, config.get("preprocess"), _arrow(decode, "string"), spell=spell, ids=encode, back=decode)
+    return Tokenizer(config.get("name", "ranked"), _arrow(encode, "array<int>"), vocab, None, config.get("preprocess"), _arrow(decode, "string"), spell=spell, ids=encode, back=decode, parts=ByRanks(path, pattern) if config.get("parts") else None)
 
 
 def bpe_files(config: dict[str, Any]) -> Tokenizer:
@@ -314,7 +350,7 @@ def from_config(config: dict[str, Any]) -> tuple[list[Tokenizer], list[str]]:
 TOKEN_COLUMNS = ["tokenizer", "language", "doc_id", "text", "tokens"]
 
 
-def _slices(batches: Iterator[pa.RecordBatch], column: str, size: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = 4 * AT_ONCE) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about size bytes of a string column, a row at least."""
     for b in batches:
         if not b.num_rows:
@@ -325,21 +361,16 @@ def _slices(batches: Iterator[pa.RecordBatch], column: str, size: int = AT_ONCE)
             yield b.slice(i, j - i)
 
 
-def _lists(found: list) -> pa.Array:
-    at = np.cumsum([0, *map(len, found)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.asarray(x, np.int32) for x in found]) if found else np.zeros(0, np.int32)))
-
-
 def _by_library(src: DataFrame, tokenizers: list[Tokenizer]) -> DataFrame:
     """tokenizer, language, doc_id, text, ids of texts that are not null: one Python worker a task has all tokenizers, and holds little of a batch at once."""
-    of = [(t.name, t.ids) for t in tokenizers]
+    names, of = [t.name for t in tokenizers], [(t.ids, t.parts) for t in tokenizers]
     kinds = {c: src.schema[c].dataType.simpleString() for c in ("language", "doc_id", "text")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches, "text"):
-            texts = b["text"].to_pylist()
-            for name, ids in of:
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(texts)), *b.columns, _lists(ids(texts))], names=["tokenizer", *kinds, "ids"])
+        for b in slices(batches, "text"):
+            for name, (ids, n) in zip(names, encoded(b["text"].to_pylist(), of), strict=True):
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * b.num_rows), *b.columns, lists], names=["tokenizer", *kinds, "ids"])
 
     return src.select(*kinds).mapInArrow(run, f"tokenizer string, {', '.join(f'{c} {k}' for c, k in kinds.items())}, ids array<int>")
 
@@ -349,19 +380,27 @@ def decoded(corpus: DataFrame, tokenizers: list[Tokenizer], same: dict[str, Toke
 
     equal: whether the tokenizer that same has for one's name gives the same ids; null without one.
     """
-    of = [(t.name, t.ids, t.back, (same or {})[t.name].ids if t.name in (same or {}) else None) for t in tokenizers]
+    others = [(same or {}).get(t.name) for t in tokenizers]
+    names, backs, there = [t.name for t in tokenizers], [t.back for t in tokenizers], [o is not None for o in others]
+    of = [(t.ids, t.parts) for t in [*tokenizers, *filter(None, others)]]
     kind = corpus.schema["doc_id"].dataType.simpleString()
 
+    def lists(ids: np.ndarray, n: np.ndarray) -> Iterator[list[int]]:
+        upto = np.cumsum(n).tolist()
+        return (ids[i:j].tolist() for i, j in zip([0, *upto], upto, strict=False))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches, "text"):
-            every = b["text"].to_pylist()
-            texts = [x for x in every if x is not None]
-            for name, ids, back, other in of:
-                found = [np.asarray(x, np.int32) for x in ids(texts)]
-                alike = [np.array_equal(x, y) for x, y in zip(found, other(texts), strict=True)] if other else [None] * len(texts)
-                row = zip(back(found), alike, strict=True)
-                rows = [(None, None) if x is None else next(row) for x in every]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), b["doc_id"], pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.bool_())], names=["tokenizer", "doc_id", "decoded", "equal"])
+        for b in slices(batches, "text"):
+            texts = b["text"].drop_null().to_pylist()
+            null = b["text"].is_null().to_pylist()
+            found = encoded(texts, of)
+            second = iter(found[len(names) :])
+            for name, back, other, (ids, n) in zip(names, backs, there, found, strict=False):
+                made = (x for few in portions(list(lists(ids, n))) for x in back(few))
+                shown = pa.array((None if x else next(made) for x in null), pa.string())
+                alike = (x == y for x, y in zip(lists(ids, n), lists(*next(second)), strict=True)) if other else None
+                equal = pa.array([None if x or alike is None else next(alike) for x in null], pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(null)), b["doc_id"], shown, equal], names=["tokenizer", "doc_id", "decoded", "equal"])
 
     return corpus.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"tokenizer string, doc_id {kind}, decoded string, equal boolean")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.measure import Measure
 from ..operators.encode import Tokenizer, encode, tokenizer, tokenizers_table
 from ..operators.facts import Facts, facts
+from ..operators.library_facts import by_libraries, library_facts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,4 +28,6 @@ def native_tokenizers() -> list[Tokenizer]:
 
 def document_facts(spark: SparkSession, sf_dir: str, measure: Measure = Measure(), tokenizers: list[Tokenizer] | None = None) -> Facts:
     ts = tokenizers or native_tokenizers()
+    if by_libraries(ts):
+        return library_facts(documents(spark, sf_dir), ts, tokenizers_table(spark, ts), measure)
     return facts(encode(documents(spark, sf_dir), ts), tokenizers_table(spark, ts), measure)

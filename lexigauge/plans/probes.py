@@ -251,10 +251,10 @@ def from_files() -> list[Tokenizer]:
     import public_tokenizers as P
 
     return [
-        tokenizer("huggingface", name="byte_bpe", path=P.path("byte_bpe_50k.json"), cut=BEFORE_SPACE),
-        tokenizer("huggingface", name="word_bpe", path=P.path("word_bpe_49k.json")),
-        tokenizer("ranked", name="multi", path=P.path("byte_bpe_multi_50k.tiktoken"), pattern=P.PATTERN),
-        tokenizer("sentencepiece", name="piece_bpe", path=P.path("piece_bpe_32k.model")),
+        tokenizer("huggingface", name="byte_bpe", path=P.path("byte_bpe_50k.json"), cut=BEFORE_SPACE, parts=True),
+        tokenizer("huggingface", name="word_bpe", path=P.path("word_bpe_49k.json"), parts=True),
+        tokenizer("ranked", name="multi", path=P.path("byte_bpe_multi_50k.tiktoken"), pattern=P.PATTERN, parts=True),
+        tokenizer("sentencepiece", name="piece_bpe", path=P.path("piece_bpe_32k.model"), parts=True),
     ]
 
 
@@ -266,7 +266,7 @@ def stored_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all texts by tokenizers of three libraries, decoded (word_bpe: the printable characters of the bytes of all words); equal: another library gives the same ids for the vocabulary."""
     import public_tokenizers as P
 
-    ranks = tokenizer("ranked", name="ranks", path=P.path("byte_bpe_50k.tiktoken"), pattern=P.PATTERN)
+    ranks = tokenizer("ranked", name="ranks", path=P.path("byte_bpe_50k.tiktoken"), pattern=P.PATTERN, parts=True)
     x = decoded(documents(spark, sf_dir).where(not_blank(F.col("text"))), from_files(), {"byte_bpe": ranks})
     bare = F.regexp_replace("decoded", r"</w>|\s+", "")
     return x.select("tokenizer", "doc_id", F.when(F.col("tokenizer") == "word_bpe", bare).otherwise(F.col("decoded")).alias("decoded"), "equal")

@@ -437,7 +437,7 @@ def training_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stored() -> list:
     import public_tokenizers as P
 
-    return [tokenizer("huggingface", name="byte_bpe", path=P.path("byte_bpe_50k.json"), cut=BEFORE_SPACE), tokenizer("sentencepiece", name="piece_bpe", path=P.path("piece_bpe_32k.model"))]
+    return [tokenizer("huggingface", name="byte_bpe", path=P.path("byte_bpe_50k.json"), cut=BEFORE_SPACE, parts=True), tokenizer("sentencepiece", name="piece_bpe", path=P.path("piece_bpe_32k.model"), parts=True)]
 
 
 @query()

@@ -75,3 +75,47 @@ def test_stated_error_is_that_of_merged_sketches():
     from lexigauge.operators import sketches
 
     assert abs(sketches.relative_error(12) - 1.04 / 64) < 1e-12
+
+
+def test_parts_make_up_texts():
+    """Ids and decoded texts put together from parts are those of whole texts, for every tokenizer from a file; a part is encoded once."""
+    import random
+
+    from lexigauge.operators import parts as E
+
+    made = random.Random(5)
+    bits = [*" \n\t.,'!(<|", "  ", " \n", "\n\n", "\x1c", "\x85", "\xa0", "　", "́", "´", "µ", "ß", "É", "é", "ÿ", "ɏ", "Σ", "日本", "😀", "the", "word", "'s", "'ll", "12", "▁", "▁a", "<s>", "</s>", "<|endoftext|>", "̀x", "ﬁ"]
+    texts = [*PROBE, "", " ", "  ", "\n", " a", "\na", "a ", "a\n", "a \nb", "a\n b", "a \n\nb", "a\x1c b", *["".join(made.choices(bits, k=made.randint(1, 14))) for _ in range(3000)], *[" ".join(made.choices(["the", "word.", "été", "12", "\nnew", "line"], k=9)) for _ in range(300)]]
+    ts = from_files()
+    kept = E.Parts([t.parts for t in ts])
+    for batch in (texts, texts[::-1]):
+        for t, (ids, n) in zip(ts, kept.encode(batch), strict=True):
+            upto = n.cumsum()
+            got = [ids[j - k : j].tolist() for j, k in zip(upto, n, strict=True)]
+            wrong = [(t.name, x, a, list(b)) for x, a, b in zip(batch, got, t.ids(batch), strict=True) if a != list(b)]
+            assert not wrong, wrong[:3]
+    seen = []
+    kept = E.Parts([lambda parts, begins: seen.extend(parts) or [[0]] * len(parts)])
+    for _ in range(2):
+        assert kept.encode(["one two two", "two one two"])[0][1].tolist() == [3, 3]
+    assert sorted(seen) == [" one", " two", "one", "two"]
+
+
+def test_facts_leave_workers_without_ids(spark):
+    """Facts made in the workers are those of encoded tokens, null languages and blank texts too, and no list of ids reaches Spark."""
+    from lexigauge.functions.measure import PRESETS
+    from lexigauge.operators.facts import facts
+    from lexigauge.operators.library_facts import library_facts, numbers
+    from lexigauge.plans.queries import stored_utilization
+
+    rows = [(i, [None, "de", "en"][i % 3], x) for i, x in enumerate([*PROBE, None, "", " \n", "a", *PROBE])]
+    docs = spark.createDataFrame(rows, "doc_id long, language string, text string")
+    ts = from_files()
+    for measure in (PRESETS["words"], PRESETS["bytes"]):
+        want, got = facts(encode(docs, ts), None, measure), library_facts(docs, ts, None, measure)
+        for a, b in ((want.docs, got.docs), (want.counts, got.counts)):
+            assert a.dtypes == b.dtypes and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    most = {(r.doc_id, t.tokenizer): t.most for r in numbers(docs, ts, "doc_id").collect() for t in r.by}
+    assert most == {(r.doc_id, r.tokenizer): max(map(int, r.tokens)) for r in encode(docs, ts).collect()}
+    plan = stored_utilization(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "cast(ids" not in plan and "array<int>" not in plan and "Generate" not in plan
