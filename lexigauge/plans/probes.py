@@ -12,6 +12,7 @@ from ..operators import metrics as M
 from ..operators import morphology, sketches, training, validate
 from ..operators.encode import BEFORE_SPACE, Tokenizer, decoded, encode, spelled, tokenizer, tokenizers_table
 from ..operators.facts import Facts, doc_facts
+from ..operators.library_facts import numbers
 from ..session import kept, scratch
 from ..sources import corpus as sources
 from ..sources import sinks
@@ -276,8 +277,8 @@ def stored_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vocabulary sizes and unknown ids, and whether the ids of all texts are below the size."""
     ts = from_files()
-    most = F.array_max(F.transform("tokens", lambda x: x.cast("bigint")))
-    ids = encode(documents(spark, sf_dir), ts).groupBy("tokenizer").agg(F.count("*").alias("texts"), F.max(most).alias("most"))
+    by = numbers(documents(spark, sf_dir), ts).select(F.explode("by").alias("t")).select("t.*")
+    ids = by.groupBy("tokenizer").agg(F.count("*").alias("texts"), F.max("most").alias("most"))
     return ids.join(F.broadcast(tokenizers_table(spark, ts)), "tokenizer").select("tokenizer", "vocab_size", "unk_id", "texts", (F.col("most") < F.col("vocab_size")).alias("inside"))
 
 
